@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumen3d.llm.common import LOWER, UPPER, WORD, read
 from lumen3d.llm.exact_dedup import exact_dedup
 from lumen3d.llm.mixing import DIGITS, mix_sources
+from lumen3d.llm.secret_scan import BASE, MORE, joined, secret_scan
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,38 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_mixing)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(read(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
+    of = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter("found", of(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_mixing, op9_secrets)}
+
+def _secret_spans(order: int, rule) -> str:
+    """Spans of one rule: cumulative lengths of gaps and matches, as in a scan from the left."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, g + m - n AS start, g + m AS stop, v FROM (
+  SELECT doc_id, n, v, sum(gap) OVER w AS g, sum(n) OVER w AS m FROM (
+    SELECT doc_id, unnest(range(len(hits))) AS i, unnest([length(x) FOR x IN hits]) AS n, unnest([length(x) FOR x IN vals]) AS v, unnest([length(x) FOR x IN gaps[1:len(hits)]]) AS gap FROM (
+      SELECT doc_id, regexp_extract_all(body, '{pattern}') AS hits, regexp_extract_all(body, '{pattern}', {rule.group}) AS vals, string_split_regex(body, '{pattern}') AS gaps FROM t))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE v >= {rule.min_length}"""
+
+
+def _secrets_oracle() -> str:
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    joined_up = lambda where: f"coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, o) FILTER ({where}), '')"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+s AS ({" UNION ALL ".join(_secret_spans(i, r) for i, r in enumerate(BASE + MORE))}
+)
+SELECT doc_id, {counts}, sha256({joined_up(f"kind IN ({base})")}) AS base_sha256, {joined_up("kind IS NOT NULL")} AS spans
+FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
 
 ORACLES = {
     "op1_exact_dedup": f"""
@@ -44,4 +76,5 @@ r AS (
   FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, CAST(size * least(floor(k * rate + u) - floor((k - 1) * rate + u), 3) AS BIGINT) AS taken FROM r
 """,
+    "op9_secrets": _secrets_oracle(),
 }
