@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumen3d.llm.common import LOWER, UPPER, WORD, read
 from lumen3d.llm.exact_dedup import exact_dedup
 from lumen3d.llm.mixing import DIGITS, mix_sources
+from lumen3d.llm.packing import pack_documents
 from lumen3d.llm.secret_scan import BASE, MORE, joined, secret_scan
 
 
@@ -15,6 +16,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,7 +38,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_mixing, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op5_mixing, op9_secrets)}
 
 def _secret_spans(order: int, rule) -> str:
     """Spans of one rule: cumulative lengths of gaps and matches, as in a scan from the left."""
