@@ -10,6 +10,7 @@ from lumen3d.llm.exact_dedup import exact_dedup
 from lumen3d.llm.mixing import DIGITS, mix_sources
 from lumen3d.llm.packing import pack_documents
 from lumen3d.llm.secret_scan import BASE, MORE, joined, secret_scan
+from lumen3d.llm.sharding import shard_documents
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(read(spark, sf_dir, "documents"), n_shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(read(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
@@ -38,7 +44,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op5_mixing, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op5_mixing, op6_sharding, op9_secrets)}
 
 def _secret_spans(order: int, rule) -> str:
     """Spans of one rule: cumulative lengths of gaps and matches, as in a scan from the left."""
