@@ -9,6 +9,7 @@ from lumen3d.llm.common import LOWER, UPPER, WORD, read
 from lumen3d.llm.exact_dedup import exact_dedup
 from lumen3d.llm.mixing import DIGITS, mix_sources
 from lumen3d.llm.packing import pack_documents
+from lumen3d.llm.quality import fit_quality, held_out, score_quality
 from lumen3d.llm.secret_scan import BASE, MORE, joined, secret_scan
 from lumen3d.llm.sharding import shard_documents
 
@@ -27,6 +28,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,7 +51,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op5_mixing, op6_sharding, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_quality, op5_mixing, op6_sharding, op9_secrets)}
 
 def _secret_spans(order: int, rule) -> str:
     """Spans of one rule: cumulative lengths of gaps and matches, as in a scan from the left."""
