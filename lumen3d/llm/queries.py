@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen3d.llm.common import LOWER, UPPER, WORD, read
+from lumen3d.llm.embedding_dedup import near_vectors
 from lumen3d.llm.exact_dedup import exact_dedup
 from lumen3d.llm.mixing import DIGITS, mix_sources
 from lumen3d.llm.packing import pack_documents
@@ -51,7 +52,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_quality, op5_mixing, op6_sharding, op9_secrets)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
 
 def _secret_spans(order: int, rule) -> str:
     """Spans of one rule: cumulative lengths of gaps and matches, as in a scan from the left."""
@@ -76,6 +79,8 @@ SELECT doc_id, {counts}, sha256({joined_up(f"kind IN ({base})")}) AS base_sha256
 FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
 
 
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_quality, op5_mixing, op6_sharding, op9_secrets, op10_embedding_dedup)}
+
 ORACLES = {
     "op1_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents),
