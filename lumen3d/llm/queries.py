@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumen3d.llm.common import LOWER, UPPER, WORD, read
 from lumen3d.llm.embedding_dedup import near_vectors
 from lumen3d.llm.exact_dedup import exact_dedup
+from lumen3d.llm.line_dedup import dedup_lines
 from lumen3d.llm.mixing import DIGITS, mix_sources
 from lumen3d.llm.packing import pack_documents
 from lumen3d.llm.quality import fit_quality, held_out, score_quality
@@ -44,6 +45,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(read(spark, sf_dir, "documents"), threshold=0.8)
+    return kept.select("doc_id", "n_lines", F.col("n_removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(read(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
@@ -79,7 +85,7 @@ SELECT doc_id, {counts}, sha256({joined_up(f"kind IN ({base})")}) AS base_sha256
 FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_quality, op5_mixing, op6_sharding, op9_secrets, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_quality, op5_mixing, op6_sharding, op8_line_dedup, op9_secrets, op10_embedding_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": f"""
