@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen3d.llm.common import shared_table, whole_text
@@ -48,7 +48,11 @@ def prefix_size(n, numerator: int, denominator: int):
 
 
 def line_sets(rows: DataFrame, ranks: tuple[np.ndarray, np.ndarray], threshold: Fraction) -> DataFrame:
-    """Of each line with words: uid, id, line, a 128-bit digest of its token set, the set's size and its prefix by rarity."""
+    """Of each line with words: id, uid, line, a 128-bit digest of its token set, the set's size, a parity bitmap and its prefix by rarity.
+
+    A bit of the bitmap says whether an odd number of tokens hash to it; two bitmaps differ in no more bits than
+    their sets differ in tokens. Prefixes hold 32 bits of their tokens, which can only add candidates.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(ranks)
     p, q = threshold.numerator, threshold.denominator
 
@@ -63,41 +67,103 @@ def line_sets(rows: DataFrame, ranks: tuple[np.ndarray, np.ndarray], threshold:
             firsts = np.searchsorted(row, np.arange(n))
             spread = mixed(tokens)
             digest = [np.add.reduceat(x, firsts) if n else x for x in (spread, mixed(spread + np.uint64(1)))]
+            bit, half = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) & np.uint64(1)
+            maps = [np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), firsts) if n else spread for h in (0, 1)]
             order = np.lexsort((tokens, rank, row))
-            place = np.arange(len(row)) - firsts[row]
-            kept = place < prefix_size(sizes, p, q)[row]
+            kept = np.arange(len(row)) - firsts[row] < prefix_size(sizes, p, q)[row]
+            prefix = pa.ListArray.from_arrays(rows_as_lists(tokens[order][kept], row[kept], n).offsets, pa.array((tokens[order][kept] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             pick = lambda c, i: batch.column(c).take(pa.array(i))
             yield pa.RecordBatch.from_arrays(
-                [pick(0, texts), pick(1, texts), pa.array(numbers.astype(np.int32)), *(pa.array(d.view(np.int64)) for d in digest), pa.array(sizes.astype(np.int32)), rows_as_lists(tokens[order][kept], row[kept], n)],
-                names=["uid", "id", "line", "h1", "h2", "n", "prefix"],
+                [pick(1, texts), pick(0, texts), pa.array(numbers.astype(np.int32)), *(pa.array(d.view(np.int64)) for d in digest), pa.array(sizes.astype(np.int32)), *(pa.array(m.view(np.int64)) for m in maps), prefix],
+                names=["id", "uid", "line", "h1", "h2", "n", "m1", "m2", "prefix"],
             )
 
-    return rows.select("uid", "id", "body").mapInArrow(sets, "uid long, id long, line int, h1 long, h2 long, n int, prefix array<long>")
+    return rows.select("uid", "id", "body").mapInArrow(sets, "id long, uid long, line int, h1 long, h2 long, n int, m1 long, m2 long, prefix array<int>")
 
 
-def may_reach(threshold: Fraction) -> Column:
-    """Length and positional filters of two sets that share a token at places i and j (from 0) of their orders."""
-    p, q = threshold.numerator, threshold.denominator
-    overlap = F.least("i", "j") + 1 + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
-    return (F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p) & (overlap * (p + q) >= (F.col("n_a") + F.col("n_b")) * p)
+def ordered_classes(lines: DataFrame) -> DataFrame:
+    """One row per token set: cls, a number in the order of first lines, and the first line that holds the set.
+
+    Equal sets are summed up where they are before they move. The numbers follow from a range-partitioned sort
+    and hold once the table is written.
+    """
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "uid", "line", "n", "m1", "m2", "prefix")).alias("f")).select("f.*")
+    n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return shared_table(first.repartitionByRange(n, "id", "uid", "line").sortWithinPartitions("id", "uid", "line").withColumn("cls", F.monotonically_increasing_id()), "line-classes")
 
 
-def similar_sets(classes: DataFrame, rows: DataFrame, threshold: Fraction, broadcast_rows: int) -> DataFrame:
-    """(a, b): pairs of classes (cls, rep, n, prefix) that reach the threshold; rep is a line (id, uid, line) that holds the set.
+def may_reach(n_a, n_b, i, j, differ, p: int, q: int):
+    """Length, positional and bitmap filters of two sets that share a token at places i and j (from 0) of their orders."""
+    overlap = np.minimum(i, j) + 1 + np.minimum(n_a - i - 1, n_b - j - 1)
+    return (n_a * q >= n_b * p) & (n_b * q >= n_a * p) & (overlap * (p + q) >= (n_a + n_b) * p) & ((n_a + n_b - differ) * (p + q) >= 2 * (n_a + n_b) * p)
 
-    Sets of fewer tokens than the threshold lets differ match equal sets only, and so need no join.
+
+def meetings(entries: DataFrame, threshold: Fraction, every: bool) -> DataFrame:
+    """(a, b, more): classes a before b that share a prefix token and pass the filters.
+
+    entries: token, cls, n, place, m1, m2, wanted. Of each class and token only the first partner is given, with
+    more saying that there are others; with every, all partners of wanted classes are. Entries of a token are
+    compared at distance 1, 2 and so on of their order, all tokens at once.
     """
     p, q = threshold.numerator, threshold.denominator
-    joined = classes.where(F.col("n") * (q - p) >= p).select("cls", "n", F.posexplode("prefix").alias("i", "token"))
-    # pairs meet under their rarest tokens and a class of sizes; the smaller set also looks into the next class
-    size = lambda n: F.floor(F.log(q / p, n) + F.lit(1e-9)).cast("int")
-    left = joined.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), "i", F.explode(F.array(size(F.col("n")), size(F.col("n")) + 1)).alias("size"))
-    right = joined.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("j"), size(F.col("n")).alias("size"))
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    pairs = shared_table(left.join(right, ["token", "size"]).where(ordered & may_reach(threshold)).select("a", "b").distinct(), "line-candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep.uid", "rep.line"), "cls").groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("line", "cls"))).alias("wanted"))
-    needed = shared_table(needed, "line-needed")
-    found = rows.join(F.broadcast(needed) if needed.count() <= broadcast_rows else needed, "uid")
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        token, cls, n, place, m1, m2 = (table.column(c).to_numpy() for c in ("token", "cls", "n", "place", "m1", "m2"))
+        n, place, m1, m2 = n.astype(np.int64), place.astype(np.int64), m1.view(np.uint64), m2.view(np.uint64)
+        best, count = np.full(len(cls), -1, np.int64), np.zeros(len(cls), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        wanted = table.column("wanted").to_numpy(zero_copy_only=False)
+        at, d = np.arange(len(token)), 0
+        while len(at):
+            d += 1
+            at = at[at + d < len(token)]
+            at = at[token[at] == token[at + d]]
+            seen = at[wanted[at + d]]
+            later = seen + d
+            differ = np.bitwise_count(m1[seen] ^ m1[later]).astype(np.int64) + np.bitwise_count(m2[seen] ^ m2[later])
+            hit = may_reach(n[seen], n[later], place[seen], place[later], differ, p, q)
+            seen, later = seen[hit], later[hit]
+            if every:
+                found.append((cls[seen], cls[later]))
+            else:
+                best[later] = seen
+                count[later] += 1
+        if every:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (cls[:0], cls[:0])
+            more = np.zeros(len(a), bool)
+        else:
+            b_at = np.flatnonzero(best >= 0)
+            a, b, more = cls[best[b_at]], cls[b_at], count[b_at] > 1
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], names=["a", "b", "more"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            token = batch.column(0).to_numpy()
+            if not len(token):
+                continue
+            cut = int(np.searchsorted(token, token[-1]))  # the last token may go on in the next batch
+            if cut or (held and held[-1].column(0)[0].as_py() != token[0].item()):
+                yield compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    n = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return entries.select("token", "cls", "n", "place", "m1", "m2", "wanted").repartition(n, "token").sortWithinPartitions("token", "cls").mapInArrow(meet, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, a written table, marked for broadcasting if it holds at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: Fraction, broadcast_rows: int) -> DataFrame:
+    """pairs with similar, by the whole token sets of their classes' first lines."""
+    p, q = threshold.numerator, threshold.denominator
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "uid", "line"), "cls").groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("line", "cls"))).alias("wanted"))
+    found = rows.join(broadcast_if_small(shared_table(needed, "line-needed"), broadcast_rows), "uid")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +176,31 @@ def similar_sets(classes: DataFrame, rows: DataFrame, threshold: Fraction, broad
     tokens = shared_table(found.select("body", "wanted").mapInArrow(sets, "cls long, tokens array<long>").dropDuplicates(["cls"]), "line-tokens")
     both = pairs.join(tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     overlap = F.size(F.array_intersect("ta", "tb"))
-    return both.where(overlap * q >= (F.size("ta") + F.size("tb") - overlap) * p).select("a", "b")
+    return both.select("a", "b", "more", (overlap * q >= (F.size("ta") + F.size("tb") - overlap) * p).alias("similar"))
+
+
+def later_matches(classes: DataFrame, rows: DataFrame, threshold: Fraction, broadcast_rows: int) -> DataFrame:
+    """(cls): classes that are similar to one whose first line comes before theirs.
+
+    In the first turn each class is held against the first partner that passes the filters under each of its
+    prefix tokens, which settles groups of near copies without all their pairs. Classes that this leaves open and
+    that have more partners are held against all of them in the second turn.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    # smaller sets are similar to equal ones only, and those are one class already
+    able = classes.where(F.col("n") * (q - p) >= p)
+    entries = able.select("cls", "n", "m1", "m2", F.posexplode("prefix").alias("place", "token"))
+    first = shared_table(verified(shared_table(meetings(entries.withColumn("wanted", F.lit(True)), threshold, every=False), "line-candidates"), classes, rows, threshold, broadcast_rows), "line-verified")
+    gone = first.where("similar").select(F.col("b").alias("cls")).distinct()
+    still = first.groupBy(F.col("b").alias("cls")).agg(F.max("similar").alias("similar"), F.max("more").alias("more")).where("more and not similar").select("cls")
+    still = shared_table(still, "line-open")
+    if still.isEmpty():
+        return gone
+    wanted = able.join(broadcast_if_small(still, broadcast_rows), "cls", "left_semi")
+    tokens = shared_table(wanted.select(F.explode("prefix").alias("token")).distinct(), "line-open-tokens")
+    flagged = entries.join(broadcast_if_small(tokens, broadcast_rows), "token", "left_semi").join(broadcast_if_small(still.withColumn("w", F.lit(True)), broadcast_rows), "cls", "left").withColumn("wanted", F.coalesce("w", F.lit(False)))
+    second = verified(shared_table(meetings(flagged, threshold, every=True), "line-candidates"), classes, rows, threshold, broadcast_rows)
+    return gone.union(second.where("similar").select(F.col("b").alias("cls"))).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -138,20 +228,20 @@ def _with_kept_lines(docs: DataFrame, id_col: str, text_col: str, threshold: Fra
     top = token_counts(rows).where("n > 1").orderBy(F.desc("n"), "token").limit(RANKED).toPandas()
     tokens, counts = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
-    lines = shared_table(line_sets(rows, (tokens[order], counts[order]), threshold), "lines")
-    # a class is named by a hash of its digest
-    classes = shared_table(lines.withColumn("cls", F.xxhash64("h1", "h2", "n")).groupBy("cls").agg(F.min(F.struct("id", "uid", "line", "n", "prefix")).alias("rep")).select("cls", "rep", "rep.n", "rep.prefix"), "line-classes")
-    pairs = similar_sets(classes, rows, threshold, broadcast_rows)
-    first = lambda of: classes.select(F.col("cls").alias(of), F.struct("rep.id", "rep.uid", "rep.line").alias(f"first_{of}"))
-    gone = pairs.join(first("a"), "a").join(first("b"), "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct()
-    stay = classes.join(gone, "cls", "left_anti").groupBy("rep.uid").agg(F.collect_list("rep.line").alias("_stay"))
-    all_lines = F.split(whole_text(text_col), "\n", -1)
-    has_words = lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))
-    kept = F.filter(F.col("_lines"), lambda x, i: F.array_contains("_stay", i) | ~has_words(x))
+    classes = ordered_classes(line_sets(rows, (tokens[order], counts[order]), threshold))
+    stay = classes.join(later_matches(classes, rows, threshold, broadcast_rows), "cls", "left_anti").groupBy("uid").agg(F.collect_list("line").alias("stay"))
+    # what goes is a fraction of the corpus; where it is small, texts need not move to meet it
+    none = F.array().cast("array<int>")
+    numbered = F.transform(F.split("body", "\n", -1), lambda x, i: F.when(F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")), i))
+    worded = rows.select("uid", F.array_compact(numbered).alias("worded")).dropDuplicates(["uid"])
+    gone = worded.join(stay, "uid", "left").select("uid", F.array_except("worded", F.coalesce("stay", none)).alias("_gone")).where(F.size("_gone") > 0)
+    gone = broadcast_if_small(shared_table(gone, "lines-gone").withColumnRenamed("uid", "_uid"), broadcast_rows)
     plain = docs.drop("n_lines", "n_removed_lines")
     names = {c: f"_c{i}" for i, c in enumerate(plain.columns)}
-    safe = plain.select(*[plain[c].alias(n) for c, n in names.items()], F.xxhash64(plain[id_col], plain[text_col]).alias("_uid"), all_lines.alias("_lines"))
-    found = safe.join(stay.withColumnRenamed("uid", "_uid"), "_uid", "left").withColumn("_stay", F.coalesce("_stay", F.array().cast("array<int>"))).withColumn("_kept", kept)
-    text = F.when(F.col(names[text_col]).isNotNull(), F.array_join("_kept", "\n"))
+    safe = plain.select(*[plain[c].alias(n) for c, n in names.items()], F.xxhash64(plain[id_col], plain[text_col]).alias("_uid"), F.split(whole_text(text_col), "\n", -1).alias("_lines"))
+    removed = F.coalesce("_gone", none)
+    kept = F.filter("_lines", lambda x, i: ~F.array_contains(removed, i))
+    found = safe.join(gone, "_uid", "left")
+    text = F.when(F.size(removed) > 0, F.array_join(kept, "\n")).otherwise(F.col(names[text_col]))
     columns = [(text if c == text_col else F.col(n)).alias(c) for c, n in names.items()]
-    return found.select(*columns, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed_lines"))
+    return found.select(*columns, F.size("_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed_lines"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,40 +19,103 @@ from lumen3d.llm.common import shared_table, whole_text
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, round int, part long, bin int, offset long, done boolean"
 NAMES = lambda schema: [x.split()[0] for x in schema.split(", ")]
-#: Ids by word, for one Python worker; emptied when it holds this many.
-CACHE_WORDS = 600_000
+#: Ids by word, for one Python worker; with this many, those not used since the last turn are forgotten.
+CACHE_WORDS = 400_000
+#: ASCII marks, which the pre-tokenizer takes in runs; the apostrophe, which may begin a contraction, is left out.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKS_SET = {MARKS[i : i + 1] for i in range(len(MARKS))}
+#: Letters that normalisation maps one to one: ASCII and the composed Latin ones.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
 
 _tokenizers: dict = {}
 
 
-def _word_ids(path: str):
-    """The tokenizer and its cache of word -> ids as bytes, once per worker."""
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+class _Turns:
+    """A cache in two generations: what is used moves to the young one, and the old one is forgotten when that is full."""
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    return _tokenizers[path]
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        value = self.old.pop(key, None)
+        if value is not None:
+            self.young[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self.young) >= CACHE_WORDS:
+            self.old, self.young = self.young, {}
 
 
-def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
-    """Each text's ids, little-endian and four bytes each, without special tokens.
+class WordTokenizer:
+    """Ids of whole texts, word by word, as little-endian bytes.
 
-    No token of the vocabulary spans white space, so ids of the words between ASCII white space are the ids of
-    the text, and frequent words are tokenised once per worker.
+    No token of the vocabulary spans white space, so the ids of the words between ASCII white space are the ids of
+    a text. A word of plain letters and then ASCII marks other than an apostrophe is two pieces to the
+    pre-tokenizer; its letters are looked up in lower case and go to the vocabulary's model alone.
     """
-    tokenizer, cache = _word_ids(path)
-    for text in texts:
-        words = text.encode().split()
-        missing = list(set(words).difference(cache))
-        if missing:
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                missing = list(set(words))
-            for at in range(0, len(missing), 20_000):
-                part = missing[at : at + 20_000]
-                for word, found in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-        yield b"".join(map(cache.__getitem__, words))
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.whole.model)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words, self.cores = _Turns(), _Turns()
+
+    @staticmethod
+    def _split(word: bytes) -> tuple[bytes, bytes] | None:
+        core = word.rstrip(MARKS)
+        if core.isalpha():
+            return core.lower(), word[len(core) :]
+        text = core.decode()
+        return (text.lower().encode(), word[len(core) :]) if core and PLAIN.fullmatch(text) else None
+
+    @staticmethod
+    def _encode(tokenizer, words: list[bytes], into: dict) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                into[word] = array("I", found.ids).tobytes()
+
+    def _looked_up(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of some texts' words, in a table small enough for the processor's caches."""
+        get, cores = self.words.get, self.cores
+        found = {w: self.words.young.get(w) or get(w) for w in words}
+        hard, halves, letters = [], [], set()
+        for word in [w for w, x in found.items() if x is None]:
+            pair = self._split(word)
+            if pair is None:
+                hard.append(word)
+            else:
+                halves.append((word, pair))
+                letters.update(pair)
+        letters.discard(b"")
+        letters = [x for x in letters if x not in cores.young and cores.get(x) is None]
+        new: dict = {}
+        self._encode(self.whole, [x for x in letters if x[:1] in MARKS_SET], cores.young)
+        self._encode(self.letters, [x for x in letters if x[:1] not in MARKS_SET], cores.young)
+        self._encode(self.whole, hard, new)
+        known = cores.young
+        new.update((word, known[core] + known[mark] if mark else known[core]) for word, (core, mark) in halves)
+        self.words.young.update(new)
+        found.update(new)
+        return found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        self.words.turn()
+        self.cores.turn()
+        split = [t.encode().split() for t in texts]
+        of = self._looked_up(set(chain.from_iterable(split))).__getitem__
+        return [b"".join(map(of, words)) for words in split]
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -60,7 +126,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, capacity:
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for at in range(0, len(ids), 256):
-                for doc, data in zip(ids[at : at + 256], token_ids(batch.column(1).slice(at, 256).to_pylist(), path), strict=True):
+                for doc, data in zip(ids[at : at + 256], word_tokenizer(path).ids(batch.column(1).slice(at, 256).to_pylist()), strict=True):
                     data += end
                     for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[start : start + 4 * capacity]
