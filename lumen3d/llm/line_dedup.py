@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen3d.llm.common import shared_table, whole_text
+from lumen3d.llm.common import broadcast_if_small, shared_table, whole_text
 from lumen3d.llm.words import distinct_by_row, hashed, mixed, rows_as_lists, words_of
 
 #: Tokens whose ranks are sent to every task: the most frequent ones. All others are rarer and precede them.
@@ -154,11 +154,6 @@ def meetings(entries: DataFrame, threshold: Fraction, every: bool) -> DataFrame:
     return entries.select("token", "cls", "n", "place", "m1", "m2", "wanted").repartition(n, "token").sortWithinPartitions("token", "cls").mapInArrow(meet, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df, a written table, marked for broadcasting if it holds at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: Fraction, broadcast_rows: int) -> DataFrame:
     """pairs with similar, by the whole token sets of their classes' first lines."""
     p, q = threshold.numerator, threshold.denominator

@@ -10,6 +10,7 @@ from lumen3d.llm.embedding_dedup import near_vectors
 from lumen3d.llm.exact_dedup import exact_dedup
 from lumen3d.llm.line_dedup import dedup_lines
 from lumen3d.llm.mixing import DIGITS, mix_sources
+from lumen3d.llm.near_dedup import near_duplicates
 from lumen3d.llm.packing import pack_documents
 from lumen3d.llm.quality import fit_quality, held_out, score_quality
 from lumen3d.llm.secret_scan import BASE, MORE, joined, secret_scan
@@ -30,6 +31,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=4, threshold=0.8)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
@@ -85,7 +90,7 @@ SELECT doc_id, {counts}, sha256({joined_up(f"kind IN ({base})")}) AS base_sha256
 FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op4_quality, op5_mixing, op6_sharding, op8_line_dedup, op9_secrets, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_near_dedup, op4_quality, op5_mixing, op6_sharding, op8_line_dedup, op9_secrets, op10_embedding_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": f"""
