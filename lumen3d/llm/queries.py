@@ -15,6 +15,7 @@ from lumen3d.llm.packing import pack_documents
 from lumen3d.llm.quality import fit_quality, held_out, score_quality
 from lumen3d.llm.secret_scan import BASE, MORE, joined, secret_scan
 from lumen3d.llm.sharding import shard_documents
+from lumen3d.llm.substring_dedup import remove_recurring
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_recurring(read(spark, sf_dir, "documents"), width=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(read(spark, sf_dir, "documents"), threshold=0.8)
     return kept.select("doc_id", "n_lines", F.col("n_removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -90,7 +96,7 @@ SELECT doc_id, {counts}, sha256({joined_up(f"kind IN ({base})")}) AS base_sha256
 FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_near_dedup, op4_quality, op5_mixing, op6_sharding, op8_line_dedup, op9_secrets, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_near_dedup, op4_quality, op5_mixing, op6_sharding, op7_substring_dedup, op8_line_dedup, op9_secrets, op10_embedding_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": f"""
