@@ -1,8 +1,61 @@
-"""The corpus pipeline; its stages follow as their operators do."""
+"""From raw documents to packed training sequences: quality, lines, near copies, mixture, packing."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumen3d.llm.common import broadcast_if_small, shared_table
+from lumen3d.llm.line_dedup import dedup_lines
+from lumen3d.llm.mixing import mix_sources
+from lumen3d.llm.near_dedup import near_duplicates
+from lumen3d.llm.packing import pack_documents
+from lumen3d.llm.quality import fit_quality, score_quality
+from lumen3d.llm.queries import QUALITY, tokenizer_path
+
+#: Decisions about up to so many documents are sent to each task, so that texts need not move; more are joined.
+BROADCAST_ROWS = 1_000_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts: their whole text scores QUALITY or more."""
+    network = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, network, id_col=None, name="_score").where(F.col("_score") >= QUALITY).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that are similar to an earlier one; n_chars follows the text."""
+    kept = dedup_lines(docs, threshold=0.8).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return kept.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, on shingles of five words: the one with the smallest doc_id."""
+    dropped = shared_table(near_duplicates(docs, width=5, threshold=0.8).where("not kept").select("doc_id").distinct(), "dropped-copies")
+    return docs.join(broadcast_if_small(dropped, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it, up to three times; rows that repeat a doc_id come as often as the most frequent of them."""
+    copies = mix_sources(docs, weights=(5, 2, 1), cap=3).groupBy(F.xxhash64("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies <> 1")
+    taken = docs.withColumn("_id", F.xxhash64("doc_id")).join(broadcast_if_small(shared_table(copies, "mixture-copies"), BROADCAST_ROWS), "_id", "left")
+    return taken.withColumn("_times", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int")))).where("_times > 0").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    return pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("packing", packing)]
+
+#: SQL has no convolutional network; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over documents, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,9 @@ from lumen3d.llm.secret_scan import BASE, MORE, joined, secret_scan
 from lumen3d.llm.sharding import shard_documents
 from lumen3d.llm.substring_dedup import remove_recurring
 
+#: Documents that score less are rejected.
+QUALITY = 0.7
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
@@ -39,7 +42,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
