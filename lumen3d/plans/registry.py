@@ -1,4 +1,533 @@
-"""Queries over the test tables, and the SQL each is held against."""
+"""Queries over the test tables, and the SQL each is held against; names begin with the identifier of the operator."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumen3d.functions import columns as fn
+from lumen3d.operators import grid, inpainting, knn, light, raster, segmentation, segments
+from lumen3d.plans.fixtures import BULK_SQL, EVENTS_SQL, GRID, HEIGHTS_SQL, LIGHT, PLACED_SQL, RASTER_SQL, SPECTRA_SQL, TRANSFORM, bulk_points, event_points, heights, spectra
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
+    """Sums of doubles depend on their order; results agree to so many digits."""
+    return frame.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in frame.schema])
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.with_pixel(event_points(spark, sf_dir), GRID)
+
+
+def dark(spark: SparkSession) -> DataFrame:
+    """A stand-in for shadow: every fifth pixel."""
+    return spark.range(0, GRID.height * GRID.width, 5).withColumnRenamed("id", "pixel")
+
+
+R = lambda *cols: ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in cols)
+
+# ---- projections
+
+
+@query("p1_geotransform", f"WITH {BULK_SQL} SELECT min(x) AS x0, 4.0::DOUBLE AS dx, max(y) AS y0, -4.0::DOUBLE AS dy, CAST(trunc((max(x) - min(x)) / 4.0) AS INTEGER) AS width, CAST(trunc((max(y) - min(y)) / 4.0) AS INTEGER) AS height FROM li")
+def _(spark, d):
+    return grid.fitted_grid(bulk_points(spark, d), 4.0)
+
+
+@query("p3_pixels", f"WITH {PLACED_SQL} SELECT point_id, pixel FROM pt")
+def _(spark, d):
+    return placed(spark, d).select("point_id", "pixel")
+
+
+@query("p4_pixel_to_geo", f"WITH {SPECTRA_SQL} SELECT pixel, row, col, col * {TRANSFORM[1]} + {TRANSFORM[0]} AS geo_x, {TRANSFORM[3]} + row * ({TRANSFORM[5]}) AS geo_y FROM hsi")
+def _(spark, d):
+    return grid.pixel_to_geo(spectra(spark, d).select("pixel", "row", "col"), GRID)
+
+
+@query("p5_geo_to_pixel", f"WITH {EVENTS_SQL} SELECT point_id, CAST(trunc((x - {TRANSFORM[0]}) / {TRANSFORM[1]}) AS INTEGER) AS col, CAST(trunc(({TRANSFORM[3]} - y) / ({TRANSFORM[5]})) AS INTEGER) AS row FROM ev")
+def _(spark, d):
+    places = event_points(spark, d).select("point_id", F.col("x").alias("geo_x"), F.col("y").alias("geo_y"))
+    return grid.geo_to_pixel(places, GRID).select("point_id", "col", "row")
+
+
+@query("p5_geo_to_pixel_corrected", f"WITH {EVENTS_SQL} SELECT point_id, CAST(trunc((x - {TRANSFORM[0]}) / {TRANSFORM[1]}) AS INTEGER) AS col, CAST(trunc((y - {TRANSFORM[3]}) / ({TRANSFORM[5]})) AS INTEGER) AS row FROM ev")
+def _(spark, d):
+    places = event_points(spark, d).select("point_id", F.col("x").alias("geo_x"), F.col("y").alias("geo_y"))
+    return grid.geo_to_pixel(places, GRID, corrected=True).select("point_id", "col", "row")
+
+
+@query("p6_along_light", f"WITH {EVENTS_SQL} SELECT point_id, round(x - z / {LIGHT[2]!r} * {LIGHT[0]}, 6) AS x, round(y - z / {LIGHT[2]!r} * {LIGHT[1]}, 6) AS y, round(z / {LIGHT[2]!r}, 6) AS z FROM ev")
+def _(spark, d):
+    return rounded(grid.along_light(event_points(spark, d), LIGHT).select("point_id", "x", "y", "z"))
+
+
+@query("p7_yuv_to_rgb", f"WITH {EVENTS_SQL}, t AS (SELECT *, x - 0.25 * (y + z) AS gr FROM ev) SELECT point_id, round(z + gr, 6) AS r, round(gr, 6) AS g, round(y + gr, 6) AS b FROM t")
+def _(spark, d):
+    return rounded(event_points(spark, d).select("point_id", *fn.yuv_to_rgb(F.col("x"), F.col("y"), F.col("z"))))
+
+
+_LONG = "unnest(range(len(bands))) AS band, unnest(bands) AS value"
+
+
+@query("p8_scaled_cube", f"WITH {SPECTRA_SQL}, m AS (SELECT max(list_max(bands)) AS most FROM hsi), l AS (SELECT pixel, {_LONG} FROM hsi) SELECT pixel, CAST(band AS INTEGER) AS band, round(value / most + 1e-10, 9) AS value FROM l, m")
+def _(spark, d):
+    return rounded(raster.bands_long(raster.scaled_cube(spectra(spark, d))).select("pixel", "band", "value"), 9)
+
+
+@query("p9_scaled_for_clusters", f"WITH {SPECTRA_SQL}, m AS (SELECT max(list_max(bands)) AS most FROM hsi), l AS (SELECT pixel, {_LONG} FROM hsi) SELECT pixel, CAST(band AS INTEGER) AS band, round(value / CASE WHEN most = 1 THEN 1 ELSE most END + 1e-4, 9) AS value FROM l, m")
+def _(spark, d):
+    return rounded(raster.bands_long(raster.scaled_cube(spectra(spark, d), 1e-4, keep_unit_max=True)).select("pixel", "band", "value"), 9)
+
+
+@query("p10_unit_spectra", f"WITH {SPECTRA_SQL}, n AS (SELECT pixel, bands, sqrt(list_sum([v * v FOR v IN bands])) AS len FROM hsi), l AS (SELECT pixel, len, {_LONG} FROM n) SELECT pixel, CAST(band AS INTEGER) AS band, round(value / len, 9) AS value FROM l")
+def _(spark, d):
+    return rounded(raster.bands_long(spectra(spark, d).withColumn("bands", fn.unit(F.col("bands")))).select("pixel", "band", "value"), 9)
+
+
+@query("p12_upward_normals", f"WITH {EVENTS_SQL}, t AS (SELECT point_id, nx, ny, nz - 0.7 AS nz FROM ev) SELECT point_id, {R('nx', 'ny', 'nz')} FROM (SELECT point_id, nx * s AS nx, ny * s AS ny, nz * s AS nz FROM (SELECT *, CASE WHEN nz > 0 THEN 1.0 ELSE -1.0 END AS s FROM t))")
+def _(spark, d):
+    t = event_points(spark, d).withColumn("nz", F.col("nz") - 0.7)
+    parts = fn.upward(F.col("nx"), F.col("ny"), F.col("nz"))
+    return rounded(t.select("point_id", *[p.alias(n) for p, n in zip(parts, ("nx", "ny", "nz"), strict=True)]))
+
+
+@query("p13_clipped_intensity", f"WITH {EVENTS_SQL}, m AS (SELECT max(least(intensity, 100)) AS most FROM ev) SELECT point_id, round(least(intensity, 100) / most, 6) AS intensity FROM ev, m")
+def _(spark, d):
+    t = event_points(spark, d).select("point_id", fn.clipped(F.col("intensity"), 100.0).alias("intensity"))
+    most = t.agg(F.max("intensity").alias("most"))
+    return rounded(t.join(F.broadcast(most)).select("point_id", (F.col("intensity") / F.col("most")).alias("intensity")))
+
+
+@query("p16_link_distances", f"WITH {EVENTS_SQL} SELECT a.point_id AS a, b.point_id AS b, round((a.r - b.r) * (a.r - b.r) + (a.g - b.g) * (a.g - b.g) + (a.b - b.b) * (a.b - b.b), 11) AS colour, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + 10.0 * ((a.z - b.z) * (a.z - b.z)), 11) AS stretched, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 11) AS plain FROM ev a JOIN ev b ON b.point_id = a.point_id + 1")
+def _(spark, d):
+    t = event_points(spark, d)
+    names = ("x", "y", "z", "r", "g", "b")
+    a = t.select(F.col("point_id").alias("a"), *[F.col(c).alias(f"a{c}") for c in names], (F.col("point_id") + 1).alias("key"))
+    b = t.select(F.col("point_id").alias("b_id"), *[F.col(c).alias(f"b{c}") for c in names])
+    m = a.join(b, F.col("key") == F.col("b_id"))
+    of = lambda cs, w=None: fn.squared_distance([F.col(f"a{c}") for c in cs], [F.col(f"b{c}") for c in cs], w)
+    return rounded(m.select("a", F.col("b_id").alias("b"), of("rgb").alias("colour"), of("xyz", [1.0, 1.0, 10.0]).alias("stretched"), F.sqrt(of("xyz")).alias("plain")), 11)
+
+
+# ---- filters
+
+
+@query("f1_selected", f"WITH {EVENTS_SQL} SELECT point_id FROM ev WHERE point_id IN (SELECT event_id // 3 FROM events)")
+def _(spark, d):
+    t = event_points(spark, d)
+    return segments.selected(t, t.select(F.floor(F.col("point_id") / 3).alias("point_id"))).select("point_id")
+
+
+@query("f1_selected_inverted", f"WITH {EVENTS_SQL} SELECT point_id FROM ev WHERE point_id NOT IN (SELECT event_id // 3 FROM events)")
+def _(spark, d):
+    t = event_points(spark, d)
+    return segments.selected(t, t.select(F.floor(F.col("point_id") / 3).alias("point_id")), invert=True).select("point_id")
+
+
+@query("f2_gathered", f"WITH {EVENTS_SQL} SELECT i.event_id AS ordinal, point_id, x FROM events i JOIN ev ON ev.point_id = i.event_id // 3")
+def _(spark, d):
+    t = event_points(spark, d)
+    return segments.gathered(t, t.select(F.col("point_id").alias("ordinal"), F.floor(F.col("point_id") / 3).alias("point_id"))).select("ordinal", "point_id", "x")
+
+
+@query("f3_cropped", f"WITH {SPECTRA_SQL} SELECT pixel, row - 2 AS row, col - 3 AS col FROM hsi WHERE row >= 2 AND row < 9 AND col >= 3 AND col < 20")
+def _(spark, d):
+    return raster.cropped(spectra(spark, d), TRANSFORM, (2, 9), (3, 20))[0].select("pixel", "row", "col")
+
+
+@query("f4_cropped_by_place", f"WITH {SPECTRA_SQL} SELECT pixel, row - 0 AS row, col - 2 AS col FROM hsi WHERE row >= 0 AND row < 10 AND col >= 2 AND col < 15")
+def _(spark, d):
+    return raster.cropped_by_place(spectra(spark, d), TRANSFORM, (4.5, 30.2), (70.0, 39.0))[0].select("pixel", "row", "col")
+
+
+@query("f5_split_by_height", f"WITH {EVENTS_SQL} SELECT CASE WHEN z <= 5 THEN 'ground' ELSE 'other' END AS class, count(*) AS n, round(sum(intensity), 4) AS intensity FROM ev GROUP BY 1")
+def _(spark, d):
+    t = event_points(spark, d).withColumn("class", F.when(F.col("z") <= 5, "ground").otherwise("other"))
+    return rounded(t.groupBy("class").agg(F.count("*").alias("n"), F.sum("intensity").alias("intensity")), 4)
+
+
+@query("f6_split_by_returns", f"WITH {EVENTS_SQL} SELECT point_id, CASE WHEN num_returns > 1 THEN 'tree' WHEN z <= 5 THEN 'ground' ELSE 'other' END AS class FROM ev")
+def _(spark, d):
+    return segments.split_by_returns(event_points(spark, d), 5.0).select("point_id", "class")
+
+
+@query("f7_steep_cells", f"WITH {PLACED_SQL}, w AS (SELECT *, min(z) OVER (PARTITION BY pixel) AS lo, max(z) OVER (PARTITION BY pixel) AS hi FROM pt) SELECT point_id, pixel, z FROM w WHERE hi - lo > 6.0 AND z - lo < 1.5")
+def _(spark, d):
+    return grid.low_points_of_steep_cells(placed(spark, d), 6.0, 1.5).select("point_id", "pixel", "z")
+
+
+@query("f9_valid_heights", f"WITH {HEIGHTS_SQL} SELECT row, col, value FROM hz WHERE value > -1000")
+def _(spark, d):
+    return heights(spark, d).where(F.col("value") > F.lit(-1000.0)).select("row", "col", "value")
+
+
+@query("f10_sized_clusters", f"WITH {EVENTS_SQL}, s AS (SELECT seg FROM ev WHERE seg >= 0 GROUP BY seg HAVING count(*) BETWEEN 5 AND 1735), n AS (SELECT seg, CAST(row_number() OVER (ORDER BY seg) - 1 AS INTEGER) AS k FROM s) SELECT point_id, coalesce(k, -1) AS label FROM ev LEFT JOIN n USING (seg)")
+def _(spark, d):
+    t = event_points(spark, d).drop("label").withColumnRenamed("seg", "label")
+    return segments.sized_clusters(t, 5, 1735).select("point_id", "label")
+
+
+# ---- neighbours
+
+
+@query("j3_within_radius", f"WITH {EVENTS_SQL} SELECT a.point_id AS query_id, b.point_id AS nbr_id, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 6) AS d2 FROM ev a JOIN ev b ON abs(a.x - b.x) < 1 AND abs(a.y - b.y) < 1 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 1")
+def _(spark, d):
+    t = event_points(spark, d)
+    return rounded(knn.within_radius(t, t, 1.0))
+
+
+@query("j4_nearest_within", f"WITH {EVENTS_SQL}, m AS (SELECT a.point_id AS query_id, b.point_id AS nbr_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM ev a JOIN ev b ON abs(a.x - b.x) < 1.5 AND abs(a.y - b.y) < 1.5), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d2, nbr_id) AS INTEGER) AS rank FROM m WHERE d2 < 2.25) SELECT query_id, rank, nbr_id, round(d2, 6) AS d2 FROM r WHERE rank <= 5")
+def _(spark, d):
+    t = event_points(spark, d)
+    return rounded(knn.nearest_within(t, t, 1.5, 5))
+
+
+@query("j1_k_nearest", f"WITH {EVENTS_SQL}, m AS (SELECT a.point_id AS query_id, b.point_id AS nbr_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM ev a, ev b), k AS (SELECT query_id, min({{'d2': d2, 'nbr_id': nbr_id}}, 10) AS best FROM m GROUP BY query_id), u AS (SELECT query_id, unnest(range(len(best))) AS i, unnest(best) AS s FROM k) SELECT query_id, CAST(i + 1 AS INTEGER) AS rank, s.nbr_id AS nbr_id, round(s.d2, 6) AS d2 FROM u")
+def _(spark, d):
+    t = event_points(spark, d)
+    return rounded(knn.k_nearest(t, t, 10))
+
+
+@query("j2_search", f"WITH {EVENTS_SQL}, q AS (SELECT CAST(pixel AS BIGINT) AS id, (pixel % 25) * 2.0 AS x, (pixel // 25) * 2.0 AS y, 5.0 AS z FROM range(750) t(pixel)), m AS (SELECT q.id AS query_id, b.point_id AS nbr_id, (q.x - b.x) * (q.x - b.x) + (q.y - b.y) * (q.y - b.y) + (q.z - b.z) * (q.z - b.z) AS d2 FROM q, ev b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d2, nbr_id) AS INTEGER) AS rank FROM m) SELECT query_id, rank, nbr_id, round(d2, 6) AS d2 FROM r WHERE rank <= 3")
+def _(spark, d):
+    asked = spark.range(750).select(F.col("id").alias("point_id"), ((F.col("id") % 25) * 2.0).alias("x"), (F.floor(F.col("id") / 25) * 2.0).alias("y"), F.lit(5.0).alias("z"))
+    return rounded(knn.search(asked, event_points(spark, d), k=3))
+
+
+@query("j6_fused", f"WITH {EVENTS_SQL}, " + ", ".join(f"n{i} AS (SELECT a.point_id, min({{'d2': (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 'id': b.point_id, 'v': b.intensity}}) AS s FROM ev a JOIN ev b ON b.num_returns = {i} AND abs(a.x - b.x) < 1 AND abs(a.y - b.y) < 1 AND abs(a.z - b.z) < 1 GROUP BY a.point_id)" for i in (1, 2, 3)) + " SELECT ev.num_returns AS cloud, ev.point_id, n1.s.v AS value_1, n2.s.v AS value_2, n3.s.v AS value_3 FROM ev JOIN n1 USING (point_id) JOIN n2 USING (point_id) JOIN n3 USING (point_id) WHERE n1.s.d2 < 1 AND n2.s.d2 < 1 AND n3.s.d2 < 1")
+def _(spark, d):
+    t = event_points(spark, d)
+    return knn.fused([t.where(F.col("num_returns") == i) for i in (1, 2, 3)]).select("cloud", "point_id", "value_1", "value_2", "value_3")
+
+
+@query("f8_inliers", f"WITH {EVENTS_SQL}, m AS (SELECT a.point_id AS query_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM ev a, ev b), k AS (SELECT query_id AS point_id, list_avg(min(d, 10)) AS mean FROM m GROUP BY query_id) SELECT point_id FROM k WHERE mean < (SELECT avg(mean) + 2 * stddev_samp(mean) FROM k)")
+def _(spark, d):
+    return knn.inliers(event_points(spark, d), 10, 2.0)
+
+
+_NEAR = "m AS (SELECT a.point_id AS query_id, b.point_id AS nbr_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM ev a JOIN ev b ON abs(a.x - b.x) < 1.5 AND abs(a.y - b.y) < 1.5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, nbr_id) AS rank FROM m WHERE d2 < 2.25), nn AS (SELECT * FROM r WHERE rank <= 5)"
+
+
+@query("j15_neighbour_links", f"WITH {EVENTS_SQL}, {_NEAR} SELECT query_id AS a, nbr_id AS b FROM nn WHERE nbr_id > query_id")
+def _(spark, d):
+    t = event_points(spark, d)
+    return knn.neighbour_links(knn.nearest_within(t, t, 1.5, 5))
+
+
+@query("j16_boundaries", f"WITH {EVENTS_SQL}, {_NEAR} SELECT a.label, b.label AS nbr_label, count(DISTINCT a.point_id) AS n FROM nn JOIN ev a ON a.point_id = query_id JOIN ev b ON b.point_id = nbr_id WHERE a.label <> b.label GROUP BY ALL")
+def _(spark, d):
+    t = event_points(spark, d)
+    near = knn.nearest_within(t, t, 1.5, 5)
+    _, meets = segments.voxel_boundaries(t, near)
+    own, other = t.select(F.col("point_id").alias("query_id"), "label"), t.select(F.col("point_id").alias("nbr_id"), F.col("label").alias("nbr_label"))
+    return near.join(own, "query_id").join(other, "nbr_id").join(meets, ["label", "nbr_label"], "left_semi").groupBy("label", "nbr_label").agg(F.countDistinct("query_id").alias("n"))
+
+
+@query("j16_boundary_points", f"WITH {EVENTS_SQL}, {_NEAR} SELECT DISTINCT query_id AS point_id FROM nn JOIN ev a ON a.point_id = query_id JOIN ev b ON b.point_id = nbr_id WHERE a.label <> b.label")
+def _(spark, d):
+    t = event_points(spark, d)
+    return segments.voxel_boundaries(t, knn.nearest_within(t, t, 1.5, 5))[0]
+
+
+@query("j7_selected_pixels", f"WITH {PLACED_SQL} SELECT l.pixel, point_id FROM (SELECT CAST(i % 40 AS BIGINT) AS pixel FROM range(60) t(i)) l JOIN pt USING (pixel)")
+def _(spark, d):
+    return grid.select_pixels(placed(spark, d), spark.range(60).select((F.col("id") % 40).alias("pixel"))).select("pixel", "point_id")
+
+
+@query("j8_unshadowed_pixels", f"WITH {PLACED_SQL} SELECT DISTINCT pixel FROM pt WHERE pixel % 5 <> 0")
+def _(spark, d):
+    return grid.unshadowed_pixels(placed(spark, d), dark(spark))
+
+
+@query("j10_spectra_of_points", f"WITH {PLACED_SQL}, {SPECTRA_SQL} SELECT point_id, round(bands[21], 6) AS r, round(bands[28], 6) AS g, round(bands[18], 6) AS b FROM pt JOIN hsi USING (pixel)")
+def _(spark, d):
+    bands = raster.bands_long(spectra(spark, d), [20, 27, 17])
+    wide = bands.groupBy("pixel").agg(*[F.max(F.when(F.col("band") == b, F.col("value"))).alias(n) for b, n in ((20, "r"), (27, "g"), (17, "b"))])
+    return rounded(placed(spark, d).select("point_id", "pixel").join(wide, "pixel").select("point_id", "r", "g", "b"))
+
+
+@query("j11_means_of_labels", f"WITH {EVENTS_SQL}, m AS (SELECT label, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM ev GROUP BY label) SELECT point_id, {R('m.r', 'm.g', 'm.b')} FROM ev JOIN m USING (label)")
+def _(spark, d):
+    t = event_points(spark, d)
+    means = t.groupBy("label").agg(*[F.avg(c).alias(c) for c in "rgb"])
+    return rounded(t.select("point_id", "label").join(means, "label").select("point_id", "r", "g", "b"))
+
+
+@query("j12_held_in_boxes", f"WITH {PLACED_SQL}, bx AS (SELECT label, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM pt WHERE point_id % 97 = 0 GROUP BY label), sg AS (SELECT pixel AS label, (min(x) + max(x)) * 0.5 AS cx, (min(y) + max(y)) * 0.5 AS cy FROM pt GROUP BY pixel) SELECT DISTINCT sg.label FROM sg JOIN bx ON cx > x1 - 0.5 AND cx < x2 + 0.5 AND cy > y1 - 0.5 AND cy < y2 + 0.5")
+def _(spark, d):
+    t = placed(spark, d)
+    boxes = grid.bounding_box(t.where(F.col("point_id") % 97 == 0), ["label"])
+    return segments.held_in_boxes(grid.bounding_box(t, ["pixel"]).withColumnRenamed("pixel", "label"), boxes)
+
+
+@query("j14_spectral_links", f"WITH {SPECTRA_SQL}, n AS (SELECT pixel, row, col, bands, sqrt(list_sum([v * v FOR v IN bands])) AS len FROM hsi), u AS (SELECT pixel, row, col, [v / len FOR v IN bands] AS u FROM n) SELECT a.pixel AS a, b.pixel AS b, round(acos(greatest(least(list_inner_product(a.u, b.u), 1.0), -1.0)), 4) AS w FROM u a JOIN u b ON (b.row - a.row, b.col - a.col) IN ((0, 1), (1, 0), (1, 1), (-1, 1))")
+def _(spark, d):
+    return raster.spectral_links(spectra(spark, d)).select("a", "b", F.round(F.col("w").cast("double"), 4).alias("w"))
+
+
+# ---- aggregations
+
+
+@query("a1_bounding_boxes", f"WITH {EVENTS_SQL} SELECT label, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM ev GROUP BY label")
+def _(spark, d):
+    return grid.bounding_box(event_points(spark, d), ["label"])
+
+
+@query("a2_bounding_box", f"WITH {BULK_SQL} SELECT min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM li")
+def _(spark, d):
+    return grid.bounding_box(bulk_points(spark, d))
+
+
+@query("a3_weighted_centroids", f"WITH {EVENTS_SQL} SELECT label, round(sum(intensity * x) / sum(intensity), 6) AS x, round(sum(intensity * y) / sum(intensity), 6) AS y, round(sum(intensity * z) / sum(intensity), 6) AS z FROM ev GROUP BY label")
+def _(spark, d):
+    return rounded(grid.weighted_centroid(event_points(spark, d), F.col("intensity"), ["label"]))
+
+
+@query("a4_dsm", f"WITH {BULK_SQL}, g AS (SELECT min(x) AS x0, max(y) AS y0, CAST(trunc((max(x) - min(x)) / 4.0) AS INTEGER) AS w, CAST(trunc((max(y) - min(y)) / 4.0) AS INTEGER) AS h FROM li), p AS (SELECT CAST(greatest(least(CAST(trunc((y - y0) / -4.0) AS INTEGER), h - 1), 0) AS BIGINT) * w + greatest(least(CAST(trunc((x - x0) / 4.0) AS INTEGER), w - 1), 0) AS pixel, z FROM li, g) SELECT pixel, max(z) AS z, count(*) AS n FROM p GROUP BY pixel")
+def _(spark, d):
+    t = bulk_points(spark, d)
+    return grid.surface_model(t, grid.grid_of(t, 4.0), no_data=None)
+
+
+@query("a4_dsm_dense", f"WITH {PLACED_SQL}, {RASTER_SQL} SELECT px.pixel, greatest(coalesce(max(z), -1000.0), -1000.0) AS z, count(point_id) AS n FROM px LEFT JOIN pt USING (pixel) GROUP BY px.pixel")
+def _(spark, d):
+    return grid.surface_model(event_points(spark, d), GRID)
+
+
+@query("a5_points_in_grid", f"WITH {PLACED_SQL} SELECT pixel, array_to_string(list_sort(list(point_id)), ',') AS point_ids FROM pt GROUP BY pixel")
+def _(spark, d):
+    return grid.points_in_grid(event_points(spark, d), GRID).select("pixel", F.array_join(F.col("point_ids").cast("array<string>"), ",").alias("point_ids"))
+
+
+@query("a7_mean_images", f"WITH {PLACED_SQL}, {RASTER_SQL} SELECT px.pixel, round(coalesce(avg(intensity), 0), 6) AS intensity, round(coalesce(avg(z), 0), 6) AS z FROM px LEFT JOIN pt USING (pixel) GROUP BY px.pixel")
+def _(spark, d):
+    return rounded(grid.mean_images(event_points(spark, d), GRID, ["intensity", "z"]))
+
+
+@query("a8_incidence", f"WITH {PLACED_SQL}, n AS (SELECT pixel, row_number() OVER (ORDER BY pixel) - 1 AS row FROM (SELECT DISTINCT pixel FROM pt WHERE pixel % 5 <> 0)) SELECT row, point_id AS col, 1.0::DOUBLE AS v FROM pt JOIN n USING (pixel)")
+def _(spark, d):
+    return grid.incidence(placed(spark, d), dark(spark))
+
+
+@query("a9_lit_normals", f"WITH {PLACED_SQL} SELECT pixel, label, round(sum(({LIGHT[0]} * nx + {LIGHT[1]} * ny + {LIGHT[2]!r} * nz) * nz), 6) AS v FROM pt WHERE pixel % 5 <> 0 GROUP BY ALL")
+def _(spark, d):
+    return rounded(grid.lit_normals(placed(spark, d), dark(spark), LIGHT))
+
+
+@query("a10_normal_image", f"WITH {PLACED_SQL}, {RASTER_SQL} SELECT px.pixel, round(coalesce(sum(nx * nz) / sum(nz), -1), 6) AS nx, round(coalesce(sum(ny * nz) / sum(nz), -1), 6) AS ny, round(coalesce(sum(nz * nz) / sum(nz), -1), 6) AS nz FROM px LEFT JOIN pt USING (pixel) GROUP BY px.pixel")
+def _(spark, d):
+    return rounded(grid.normal_image(event_points(spark, d), GRID))
+
+
+@query("a11_supervoxel_moments", f"WITH {EVENTS_SQL} SELECT label, count(*) AS size, min(x) AS min_x, max(z) AS max_z, {R('avg(x)').replace('avg(x)', 'x').replace('round(x', 'round(avg(x)')}, round(avg(r), 6) AS r, round(covar_pop(x, x), 5) AS c_xx, round(covar_pop(x, y), 5) AS c_xy, round(covar_pop(z, z), 5) AS c_zz FROM ev GROUP BY label")
+def _(spark, d):
+    t = segments.moment_table(event_points(spark, d), ("r", "g", "b"))
+    return t.select("label", "size", "min_x", "max_z", F.round("x", 6).alias("x"), F.round("r", 6).alias("r"), *[F.round(c, 5).alias(c) for c in ("c_xx", "c_xy", "c_zz")])
+
+
+@query("a12_principal_normals")
+def _(spark, d):
+    return rounded(segments.supervoxels(event_points(spark, d), ("r", "g", "b")), 4)
+
+
+@query("a13_majority", f"WITH {EVENTS_SQL}, c AS (SELECT label, seg, count(*) AS n FROM ev WHERE seg <> -1 GROUP BY ALL), w AS (SELECT label, seg, row_number() OVER (PARTITION BY label ORDER BY n DESC, seg) AS k FROM c) SELECT l.label, coalesce(seg, -1) AS seg FROM (SELECT DISTINCT label FROM ev) l LEFT JOIN w ON w.label = l.label AND k = 1")
+def _(spark, d):
+    return segments.majority(event_points(spark, d), "label", "seg")
+
+
+_STRETCH = """l AS (SELECT pixel, unnest([20, 27, 17]) AS band, unnest([bands[21], bands[28], bands[18]]) AS value FROM hsi),
+e AS (SELECT band, min(value) AS lo, max(value) AS hi, count(*) AS n FROM l GROUP BY band),
+y AS (SELECT pixel, l.band, n, (value - lo) * 255 / (hi - lo) AS byte, CAST(round_even((value - lo) * 255 / (hi - lo), 0) AS INTEGER) AS bin FROM l JOIN e ON l.band = e.band),
+h AS (SELECT e.band, b.bin, e.n, coalesce(c, 0) AS c FROM e CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(256)) b LEFT JOIN (SELECT band, bin, count(*) AS c FROM y GROUP BY ALL) k ON k.band = e.band AND k.bin = b.bin),
+s AS (SELECT band, bin, sum(c) OVER (PARTITION BY band ORDER BY bin) / n AS share FROM h),
+g AS (SELECT band, min({'a': abs(share - 0.02), 'b': bin}).b AS f, min({'a': abs(share - 0.98), 'b': bin}).b AS t FROM s GROUP BY band)"""
+
+
+@query("a14_stretched", f"WITH {SPECTRA_SQL}, {_STRETCH} SELECT pixel, CAST(y.band AS INTEGER) AS band, round(greatest(least((byte - f) / (t - f), 1.0), 0.0), 6) AS stretched FROM y JOIN g ON g.band = y.band")
+def _(spark, d):
+    return rounded(raster.stretched(raster.bands_long(spectra(spark, d), [20, 27, 17])).select("pixel", "band", "stretched"))
+
+
+@query("a15_stretched_bytes", f"WITH {SPECTRA_SQL}, {_STRETCH} SELECT pixel, CAST(y.band AS INTEGER) AS band, round(greatest(least((bin - f) / (t - f), 1.0), 0.0), 6) AS stretched FROM y JOIN g ON g.band = y.band")
+def _(spark, d):
+    return rounded(raster.stretched(raster.bands_long(spectra(spark, d), [20, 27, 17]), quantised=True).select("pixel", "band", "stretched"))
+
+
+@query("a15_min_max_bytes", f"WITH {SPECTRA_SQL}, {_STRETCH} SELECT pixel, CAST(band AS INTEGER) AS band, bin AS byte FROM y")
+def _(spark, d):
+    return raster.min_max_bytes(raster.bands_long(spectra(spark, d), [20, 27, 17])).select("pixel", "band", "byte")
+
+
+@query("a16_dense_labels", f"WITH {EVENTS_SQL} SELECT point_id, CAST(dense_rank() OVER (ORDER BY num_returns * 100 + label * 7) - 1 AS INTEGER) AS label FROM ev")
+def _(spark, d):
+    t = event_points(spark, d).select("point_id", (F.col("num_returns") * 100 + F.col("label") * 7).alias("v"))
+    return segments.dense_labels(t, "v").select("point_id", "label")
+
+
+@query("a17_largest", f"WITH {EVENTS_SQL} SELECT label, count(*) AS n FROM ev GROUP BY label ORDER BY n DESC, label LIMIT 1")
+def _(spark, d):
+    return segments.largest(event_points(spark, d))
+
+
+@query("a18_multi_return", f"WITH {EVENTS_SQL} SELECT label, count(*) AS n, round(avg(CASE WHEN num_returns > 1 THEN 1 ELSE 0 END), 6) AS share, avg(CASE WHEN num_returns > 1 THEN 1 ELSE 0 END) < 0.66 AS is_building FROM ev GROUP BY label")
+def _(spark, d):
+    return rounded(segments.multi_return_labels(event_points(spark, d), 0.66))
+
+
+@query("a19_filled_shadows", f"WITH {SPECTRA_SQL}, t AS (SELECT *, list_sum(bands) / len(bands) AS br FROM hsi), l AS (SELECT pixel, label, br, {_LONG} FROM t), m AS (SELECT label, band, avg(value) AS v FROM l WHERE br > 0.5 GROUP BY ALL) SELECT pixel, CAST(l.band AS INTEGER) AS band, round(CASE WHEN br < 0.5 AND v IS NOT NULL THEN v ELSE value END, 6) AS value FROM l LEFT JOIN m ON m.label = l.label AND m.band = l.band")
+def _(spark, d):
+    t = spectra(spark, d).withColumn("brightness", fn.array_sum(F.col("bands")) / F.size("bands"))
+    return rounded(raster.bands_long(raster.filled_shadows(t, F.col("brightness"), 0.5)).select("pixel", "band", "value"))
+
+
+@query("a20_light_samples", f"WITH {PLACED_SQL}, {SPECTRA_SQL}, n AS (SELECT pixel, sum(nx * nz) / sum(nz) AS nx, sum(ny * nz) / sum(nz) AS ny, sum(nz * nz) / sum(nz) AS nz FROM pt GROUP BY pixel), g AS (SELECT label FROM pt GROUP BY label HAVING count(*) > 50), c AS (SELECT DISTINCT label, pixel FROM pt JOIN g USING (label)) SELECT c.label, count(*) AS n, round(sum(n.nx * list_sum(bands) / len(bands)), 5) AS sx, round(sum(n.nz * n.nz), 5) AS szz FROM c JOIN n USING (pixel) JOIN (SELECT pixel, bands FROM hsi) h USING (pixel) GROUP BY c.label")
+def _(spark, d):
+    t = placed(spark, d)
+    s = light.light_samples(t, grid.normal_image(t, GRID), spectra(spark, d), least_points=50)
+    return rounded(s.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("nx") * F.col("brightness")).alias("sx"), F.sum(F.col("nz") * F.col("nz")).alias("szz")), 5)
+
+
+@query("a20_light")
+def _(spark, d):
+    t = placed(spark, d)
+    return rounded(light.combined_light(light.light_directions(light.light_samples(t, grid.normal_image(t, GRID), spectra(spark, d), least_points=50))), 4)
+
+
+@query("a22_nearest_spread", f"WITH {EVENTS_SQL}, {_NEAR}, l AS (SELECT query_id, min(d2) AS d FROM nn WHERE query_id <> nbr_id GROUP BY query_id), o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k, count(*) OVER () AS n FROM l) SELECT round(d, 6) AS spread FROM o WHERE k = n // 2")
+def _(spark, d):
+    t = event_points(spark, d)
+    return rounded(segments.nearest_spread(knn.nearest_within(t, t, 1.5, 5), F.col("d2")))
+
+
+@query("a23_octree_leaves")
+def _(spark, d):
+    return grid.octree_leaves(event_points(spark, d), 4.0)
+
+
+@query("a24_label_count", f"WITH {EVENTS_SQL} SELECT count(DISTINCT label) AS n FROM ev")
+def _(spark, d):
+    return event_points(spark, d).agg(F.countDistinct("label").alias("n"))
+
+
+# ---- rasters
+
+
+def _stencil(kernel, out: str) -> str:
+    taps = " + ".join(f"{kernel[u][v]!r} * max(CASE WHEN dr = {1 - u} AND dc = {1 - v} THEN n.value END)" for u in range(3) for v in range(3))
+    return f"{taps} AS {out}"
+
+
+_AROUND = f"""st AS (SELECT a.range - 1 AS dr, b.range - 1 AS dc FROM range(3) a, range(3) b),
+ne AS (SELECT h.row, h.col, dr, dc, least(greatest(h.row + dr, 0), {GRID.height - 1}) AS r2, least(greatest(h.col + dc, 0), {GRID.width - 1}) AS c2 FROM hz h, st)"""
+
+
+@query("w1_convolved", f"WITH {HEIGHTS_SQL}, {_AROUND} SELECT ne.row, ne.col, round({_stencil(fn.SOBEL_X, 'out').replace(' AS out', '')}, 6) AS out FROM ne JOIN hz n ON n.row = r2 AND n.col = c2 GROUP BY ne.row, ne.col")
+def _(spark, d):
+    return rounded(raster.convolved(heights(spark, d), fn.SOBEL_X).select("row", "col", "out"))
+
+
+@query("w2_surface_normals", f"WITH {HEIGHTS_SQL}, {_AROUND}, s AS (SELECT ne.row, ne.col, {_stencil(fn.normal_filters()[3], 'n1')}, {_stencil(fn.normal_filters()[2], 'n2')} FROM ne JOIN hz n ON n.row = r2 AND n.col = c2 GROUP BY ne.row, ne.col), t AS (SELECT *, 1 / sqrt(n1 * n1 + n2 * n2 + 1) AS n3 FROM s) SELECT row, col, round(n1, 4) AS n1, round(n2, 4) AS n2, round(n2 * n3, 4) AS nx, round(n1 * n3, 4) AS ny, round(n3, 4) AS nz FROM t")
+def _(spark, d):
+    return rounded(raster.surface_normals(heights(spark, d)).select("row", "col", "n1", "n2", "nx", "ny", "nz"), 4)
+
+
+@query("w3_valid_in_window", f"WITH {HEIGHTS_SQL}, st AS (SELECT a.range - 2 AS dr, b.range - 2 AS dc FROM range(5) a, range(5) b), ne AS (SELECT h.row, h.col, least(greatest(h.row + dr, 0), {GRID.height - 1}) AS r2, least(greatest(h.col + dc, 0), {GRID.width - 1}) AS c2 FROM hz h, st) SELECT ne.row, ne.col, count(*) FILTER (n.value > 4) AS n_valid FROM ne JOIN hz n ON n.row = r2 AND n.col = c2 GROUP BY ne.row, ne.col")
+def _(spark, d):
+    return raster.valid_in_window(heights(spark, d), F.col("value") > 4).select("row", "col", "n_valid")
+
+
+@query("w4_hillshade")
+def _(spark, d):
+    return rounded(raster.hillshade(heights(spark, d), valid_min=-999.0), 4)
+
+
+@query("w8_contour_mask")
+def _(spark, d):
+    return segmentation.contour_mask(spectra(spark, d))
+
+
+@query("w9_superpixel_borders", f"WITH {SPECTRA_SQL}, z AS (SELECT max(row) AS h, max(col) AS w FROM hsi), ne AS (SELECT pixel, label, least(greatest(row + dr, 0), h) AS r2, least(greatest(col + dc, 0), w) AS c2 FROM hsi, z, (VALUES (-1, -1), (-1, 1), (1, -1), (1, 1)) s(dr, dc)) SELECT ne.pixel, count(*) FILTER (n.label <> ne.label) AS n FROM ne JOIN hsi n ON n.row = r2 AND n.col = c2 GROUP BY ne.pixel HAVING count(*) FILTER (n.label <> ne.label) > 1")
+def _(spark, d):
+    return raster.superpixel_borders(spectra(spark, d))
+
+
+# ---- order, sets, shadows, segmentation
+
+
+@query("o1_sorted", f"WITH {EVENTS_SQL} SELECT point_id, row_number() OVER (ORDER BY y, x, point_id) - 1 AS place FROM ev WHERE label = 3")
+def _(spark, d):
+    from pyspark.sql import Window as W
+
+    t = event_points(spark, d).where("label = 3")
+    return t.select("point_id", (F.row_number().over(W.orderBy("y", "x", "point_id")) - 1).cast("long").alias("place"))
+
+
+@query("u1_united", f"WITH {EVENTS_SQL} SELECT point_id, x, y, z FROM ev UNION ALL SELECT point_id, x, y, z FROM ev WHERE label < 3")
+def _(spark, d):
+    t = event_points(spark, d)
+    return segments.united(t.select("point_id", "x", "y", "z", "r"), t.where("label < 3").select("point_id", "x", "y", "z", "nz"))
+
+
+@query("u2_offset_labels", f"WITH {EVENTS_SQL} SELECT point_id, label FROM ev WHERE num_returns = 1 UNION ALL SELECT point_id, CAST(label + (SELECT max(label) + 1 FROM ev WHERE num_returns = 1) AS INTEGER) FROM ev WHERE num_returns = 2 UNION ALL SELECT point_id, CAST(label + (SELECT max(label) + 1 FROM ev WHERE num_returns = 1) + (SELECT max(label) + 1 FROM ev WHERE num_returns = 2) AS INTEGER) FROM ev WHERE num_returns = 3")
+def _(spark, d):
+    t = event_points(spark, d).select("point_id", "label", "num_returns")
+    return segments.offset_labels([t.where(F.col("num_returns") == i) for i in (1, 2, 3)]).select("point_id", "label")
+
+
+@query("g1_graph_segments")
+def _(spark, d):
+    t = event_points(spark, d)
+    links = knn.neighbour_links(knn.k_nearest(t, t, 10))
+    own = t.select(F.col("point_id").alias("a"), *[F.col(c).alias(f"a{c}") for c in "rgb"])
+    other = t.select(F.col("point_id").alias("b"), *[F.col(c).alias(f"b{c}") for c in "rgb"])
+    weight = fn.squared_distance([F.col(f"a{c}") for c in "rgb"], [F.col(f"b{c}") for c in "rgb"])
+    weighed = links.join(own, "a").join(other, "b").select("a", "b", weight.cast("float").alias("w"))
+    return segmentation.graph_segments(t.select(F.col("point_id").alias("node")), weighed, 0.6, 50)
+
+
+@query("g4_superpixels")
+def _(spark, d):
+    t = spectra(spark, d)
+    return segmentation.graph_segments(t.select(F.col("pixel").alias("node")), raster.spectral_links(t), 0.06, 5)
+
+
+@query("g9_region_growing")
+def _(spark, d):
+    t = event_points(spark, d)
+    near = knn.k_nearest(t, t, 10)
+    return segmentation.region_growing(segments.point_normals(t, neighbours=near), near)
+
+
+@query("g12_occluded")
+def _(spark, d):
+    return segments.occluded(placed(spark, d).withColumn("label", F.col("pixel")), LIGHT, 0.5, 0.5, 10)
+
+
+@query("l1_inpainted")
+def _(spark, d):
+    return rounded(inpainting.inpainted(heights(spark, d), 1.0, 1.0, -1000.0), 4)
+
+
+@query("l9_point_normals")
+def _(spark, d):
+    return rounded(segments.point_normals(event_points(spark, d), 10), 4)
+
+
+@query("c13_shadow_cells")
+def _(spark, d):
+    return grid.shadow_cells(event_points(spark, d), LIGHT, 2.0, GRID, 6.0, 1.5)
