@@ -92,7 +92,8 @@ def gradients(chunks: np.ndarray, firsts: np.ndarray, labels: np.ndarray, w: dic
     p = 1 / (1 + np.exp(-np.clip(features @ w["out"] + w["out_bias"], -40, 40)))
     d = ((p - labels) / len(labels)).astype("f4")
     d_features = d[:, None] * w["out"][None]
-    d_top = d_features[doc, FILTERS:] / counts[doc][:, None] + np.where(top == largest[doc], d_features[doc, :FILTERS], 0)
+    ties = top == largest[doc]
+    d_top = d_features[doc, FILTERS:] / counts[doc][:, None] + ties / np.add.reduceat(ties, firsts, dtype=np.int64)[doc] * d_features[doc, :FILTERS]
     d_top = (d_top * (1 - top**2)).astype("f4")
     picked = np.take_along_axis(seen, at[:, :, None], axis=1)  # (n, FILTERS, width)
     d_filters = np.einsum("nfw,nf->wf", picked, d_top)
