@@ -11,72 +11,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen3d.llm.common import broadcast_if_small, shared_table, whole_text
-from lumen3d.llm.words import distinct_by_row, hashed, mixed, rows_as_lists, words_of
-
-#: Tokens whose ranks are sent to every task: the most frequent ones. All others are rarer and precede them.
-RANKED = 65_536
-
-
-def line_tokens(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines with words: the text's number, the line's number, and their distinct tokens with the line's ordinal."""
-    texts, numbers, words = [], [], []
-    for i, body in enumerate(bodies):
-        for k, line in enumerate(body.encode().split(b"\n")):
-            if own := words_of(line, lower=True):
-                texts.append(i)
-                numbers.append(k)
-                words.append(own)
-    tokens, lengths = hashed(words)
-    tokens, rows = distinct_by_row(tokens, np.repeat(np.arange(len(words)), lengths))
-    return np.array(texts, np.int64), np.array(numbers, np.int64), tokens, rows
+from lumen3d.llm.words import Words, by_size, distinct_by_row, mixed, rows_as_lists
+
+#: Distinct words that a task counts at a time.
+COUNTED = 500_000
+#: Bits of an order key: the power of two that the token's count reaches, and the end of its hash.
+RANK_BITS, HASH_BITS = 5, 45
+KEY_BITS = RANK_BITS + HASH_BITS
+#: Lines that are sorted at once; a line's number fills the rest of 64 bits.
+MOST_LINES = 1 << (64 - KEY_BITS)
+ENTRY = np.dtype([("cls", "<i8"), ("m1", "<u8"), ("m2", "<u8"), ("token", "<i4"), ("n", "<i4"), ("place", "<i4"), ("wanted", "?")])
+#: Tokens whose counts are sent to every task, the most frequent ones, by slots of the start of their hash. All
+#: others are rarer and precede them.
+RANKED, SLOT_BITS = 65_536, 19
+
+
+def line_words(bodies: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts, the ordinal of each word's line among lines with words, and those lines' texts and numbers."""
+    words = Words(bodies, lower=True)
+    line = words.lines()
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (words.text[1:] != words.text[:-1])
+    firsts = np.flatnonzero(new)
+    return words, np.cumsum(new) - 1, words.text[firsts], line[firsts]
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """(token, n): lines that hold each token, summed up in each batch before they move."""
+    """(token, n): occurrences of each token in all texts, summed up in each task before they move."""
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        tokens, place = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        return tokens, np.bincount(place, np.concatenate([n for _, n in parts]), len(tokens)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, n = np.unique(line_tokens(batch.column(0).to_pylist())[2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+        parts, held = [], 0
+        batch_of = lambda t, n: pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], names=["token", "n"])
+        for batch in by_size(batches, 0):
+            parts.append(np.unique(Words(batch.column(0), lower=True).hashes, return_counts=True))
+            held += len(parts[-1][0])
+            if held > COUNTED:
+                parts = [summed(parts)]
+                held = len(parts[0][0])
+                if held > COUNTED // 2:
+                    yield batch_of(*parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield batch_of(*summed(parts))
 
     return rows.select("body").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def rarity_table(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The power of two that a token's count reaches, by the first SLOT_BITS of its hash; tokens that share a slot share the greatest."""
+    table = np.zeros(1 << SLOT_BITS, np.uint64)
+    np.maximum.at(table, (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.minimum(np.log2(np.maximum(counts, 1)), (1 << RANK_BITS) - 1).astype(np.uint64))
+    return table
+
+
 def prefix_size(n, numerator: int, denominator: int):
     """n - ceil(threshold * n) + 1: sets of n tokens that are similar share one of so many rarest tokens."""
     return n - (n * numerator + denominator - 1) // denominator + 1
 
 
-def line_sets(rows: DataFrame, ranks: tuple[np.ndarray, np.ndarray], threshold: Fraction) -> DataFrame:
+def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: Fraction) -> DataFrame:
     """Of each line with words: id, uid, line, a 128-bit digest of its token set, the set's size, a parity bitmap and its prefix by rarity.
 
     A bit of the bitmap says whether an odd number of tokens hash to it; two bitmaps differ in no more bits than
     their sets differ in tokens. Prefixes hold 32 bits of their tokens, which can only add candidates.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(ranks)
+    shared = rows.sparkSession.sparkContext.broadcast(rarity)
     p, q = threshold.numerator, threshold.denominator
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, places = shared.value
-        for batch in batches:
-            texts, numbers, tokens, row = line_tokens(batch.column(2).to_pylist())
-            n = len(texts)
-            sizes = np.bincount(row, minlength=n)
-            at = np.minimum(np.searchsorted(ranked, tokens), max(len(ranked) - 1, 0))
-            rank = np.where(ranked[at] == tokens, places[at], 0) if len(ranked) else np.zeros(len(tokens), np.int64)
-            firsts = np.searchsorted(row, np.arange(n))
-            spread = mixed(tokens)
-            digest = [np.add.reduceat(x, firsts) if n else x for x in (spread, mixed(spread + np.uint64(1)))]
-            bit, half = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) & np.uint64(1)
-            maps = [np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), firsts) if n else spread for h in (0, 1)]
-            order = np.lexsort((tokens, rank, row))
-            kept = np.arange(len(row)) - firsts[row] < prefix_size(sizes, p, q)[row]
-            prefix = pa.ListArray.from_arrays(rows_as_lists(tokens[order][kept], row[kept], n).offsets, pa.array((tokens[order][kept] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            pick = lambda c, i: batch.column(c).take(pa.array(i))
-            yield pa.RecordBatch.from_arrays(
-                [pick(1, texts), pick(0, texts), pa.array(numbers.astype(np.int32)), *(pa.array(d.view(np.int64)) for d in digest), pa.array(sizes.astype(np.int32)), *(pa.array(m.view(np.int64)) for m in maps), prefix],
-                names=["id", "uid", "line", "h1", "h2", "n", "m1", "m2", "prefix"],
-            )
+        table = shared.value
+        for batch in by_size(batches, 2):
+            words, line_of, texts, numbers = line_words(batch.column(2))
+            every = (table[(words.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] << np.uint64(HASH_BITS)) | (words.hashes & np.uint64((1 << HASH_BITS) - 1))
+            for at in range(0, len(texts), MOST_LINES):
+                n = min(MOST_LINES, len(texts) - at)
+                a, b = np.searchsorted(line_of, [at, at + n])
+                keys = every[a:b] | ((line_of[a:b] - at).astype(np.uint64) << np.uint64(KEY_BITS))
+                keys.sort()
+                keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+                row = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
+                firsts = np.searchsorted(row, np.arange(n))
+                sizes = np.diff(np.append(firsts, len(row)))
+                spread = mixed(keys & np.uint64((1 << HASH_BITS) - 1))
+                digest = [np.add.reduceat(x, firsts) for x in (spread, mixed(spread + np.uint64(1)))]
+                bit, second = np.uint64(1) << (spread & np.uint64(63)), (spread & np.uint64(64)) > 0
+                maps = [np.bitwise_xor.reduceat(np.where(second == h, bit, np.uint64(0)), firsts) for h in (False, True)]
+                kept = np.arange(len(row)) - firsts[row] < prefix_size(sizes, p, q)[row]
+                tokens = (keys[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[kept], np.arange(n + 1)).astype(np.int32)), pa.array(tokens))
+                pick = lambda c, i=texts[at : at + n], b=batch: b.column(c).take(pa.array(i))
+                yield pa.RecordBatch.from_arrays(
+                    [pick(1), pick(0), pa.array(numbers[at : at + n].astype(np.int32)), *(pa.array(d.view(np.int64)) for d in digest), pa.array(sizes.astype(np.int32)), *(pa.array(m.view(np.int64)) for m in maps), prefix],
+                    names=["id", "uid", "line", "h1", "h2", "n", "m1", "m2", "prefix"],
+                )
 
     return rows.select("uid", "id", "body").mapInArrow(sets, "id long, uid long, line int, h1 long, h2 long, n int, m1 long, m2 long, prefix array<int>")
 
@@ -92,66 +123,107 @@ def ordered_classes(lines: DataFrame) -> DataFrame:
     return shared_table(first.repartitionByRange(n, "id", "uid", "line").sortWithinPartitions("id", "uid", "line").withColumn("cls", F.monotonically_increasing_id()), "line-classes")
 
 
-def may_reach(n_a, n_b, i, j, differ, p: int, q: int):
-    """Length, positional and bitmap filters of two sets that share a token at places i and j (from 0) of their orders."""
-    overlap = np.minimum(i, j) + 1 + np.minimum(n_a - i - 1, n_b - j - 1)
-    return (n_a * q >= n_b * p) & (n_b * q >= n_a * p) & (overlap * (p + q) >= (n_a + n_b) * p) & ((n_a + n_b - differ) * (p + q) >= 2 * (n_a + n_b) * p)
+def dealt_entries(classes: DataFrame, buckets: int, only: np.ndarray | None) -> DataFrame:
+    """(bucket, entries): the prefix tokens (of only, if given) of classes (cls, n, m1, m2, wanted, prefix), packed by a hash of the token."""
+    shared = None if only is None else classes.sparkSession.sparkContext.broadcast(only)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, n, m1, m2, wanted = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            lists = batch.column(5)
+            sizes = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(cls)), sizes)
+            token, place = lists.flatten().to_numpy(), np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            if shared is not None:
+                asked = np.isin(token, shared.value)
+                row, token, place = row[asked], token[asked], place[asked]
+            bucket = mixed(token.astype(np.uint64)) % np.uint64(buckets)
+            order = np.argsort(bucket)
+            row, bucket = row[order], bucket[order]
+            entries = np.empty(len(row), ENTRY)
+            entries["token"], entries["place"] = token[order], place[order]
+            for name, values in (("cls", cls), ("n", n), ("m1", m1), ("m2", m2), ("wanted", wanted)):
+                entries[name] = values[row]
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            data, ends = entries.tobytes(), np.append(starts, len(entries)) * ENTRY.itemsize
+            blobs = [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+
+    return classes.select("cls", "n", "m1", "m2", "wanted", "prefix").mapInArrow(deal, "bucket long, entries binary")
+
+
+def compared(entries: np.ndarray, p: int, q: int, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Partners a, b and whether there are more; see meetings().
+
+    Entries are sorted by token and size, so that one leaves the comparison once sizes differ too much.
+    """
+    order = np.argsort((entries["token"].astype(np.int64) << 32) | entries["n"])
+    token, cls, n, place, m1, m2, wanted = (entries[c][order] for c in ("token", "cls", "n", "place", "m1", "m2", "wanted"))
+    none = np.iinfo(np.int64).max
+    best, count = np.full(len(cls), none, np.int64), np.zeros(len(cls), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    limit = n.astype(np.int64) * q // p
+    at, d = np.arange(len(token)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(token)]
+        at = at[(token[at] == token[at + d]) & (n[at + d] <= limit[at])]
+        one, two = at, at + d
+        total = n[one] + n[two]
+        overlap = np.minimum(place[one], place[two]) + 1 + np.minimum(n[one] - place[one], n[two] - place[two]) - 1
+        near = np.flatnonzero(overlap * (p + q) >= total * p)
+        one, two, total = one[near], two[near], total[near]
+        differ = np.bitwise_count(m1[one] ^ m1[two]) + np.bitwise_count(m2[one] ^ m2[two]).astype(np.int32)
+        near = np.flatnonzero(((total - differ) * (p + q) >= 2 * total * p) & (cls[one] != cls[two]))
+        one, two = one[near], two[near]
+        for first, second in ((one, two), (two, one)):  # the class that comes first is the other's partner
+            turn = (cls[first] < cls[second]) & wanted[second]
+            first, second = first[turn], second[turn]
+            if every:
+                found.append((cls[first], cls[second]))
+            else:
+                best[second] = np.minimum(best[second], cls[first])
+                count[second] += 1
+    if every:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (cls[:0], cls[:0])
+        return a, b, np.zeros(len(a), bool)
+    b_at = np.flatnonzero(best < none)
+    return best[b_at], cls[b_at], count[b_at] > 1
 
 
-def meetings(entries: DataFrame, threshold: Fraction, every: bool) -> DataFrame:
+def meetings(classes: DataFrame, threshold: Fraction, every: bool, only: np.ndarray | None = None, entries_per_bucket: int = 250_000) -> DataFrame:
     """(a, b, more): classes a before b that share a prefix token and pass the filters.
 
-    entries: token, cls, n, place, m1, m2, wanted. Of each class and token only the first partner is given, with
-    more saying that there are others; with every, all partners of wanted classes are. Entries of a token are
-    compared at distance 1, 2 and so on of their order, all tokens at once.
+    classes: cls, n, m1, m2, wanted, prefix. Of each class and token only the first partner is given, with more
+    saying that there are others; with every, all partners of wanted classes are. only: the tokens to look at. A
+    bucket of tokens holds about entries_per_bucket entries; those of a token are compared at distance 1, 2 and so
+    on of their order, all tokens of a bucket at once.
     """
     p, q = threshold.numerator, threshold.denominator
-
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        token, cls, n, place, m1, m2 = (table.column(c).to_numpy() for c in ("token", "cls", "n", "place", "m1", "m2"))
-        n, place, m1, m2 = n.astype(np.int64), place.astype(np.int64), m1.view(np.uint64), m2.view(np.uint64)
-        best, count = np.full(len(cls), -1, np.int64), np.zeros(len(cls), np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        wanted = table.column("wanted").to_numpy(zero_copy_only=False)
-        at, d = np.arange(len(token)), 0
-        while len(at):
-            d += 1
-            at = at[at + d < len(token)]
-            at = at[token[at] == token[at + d]]
-            seen = at[wanted[at + d]]
-            later = seen + d
-            differ = np.bitwise_count(m1[seen] ^ m1[later]).astype(np.int64) + np.bitwise_count(m2[seen] ^ m2[later])
-            hit = may_reach(n[seen], n[later], place[seen], place[later], differ, p, q)
-            seen, later = seen[hit], later[hit]
-            if every:
-                found.append((cls[seen], cls[later]))
-            else:
-                best[later] = seen
-                count[later] += 1
-        if every:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (cls[:0], cls[:0])
-            more = np.zeros(len(a), bool)
-        else:
-            b_at = np.flatnonzero(best >= 0)
-            a, b, more = cls[best[b_at]], cls[b_at], count[b_at] > 1
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], names=["a", "b", "more"])
+    buckets = max(1, -(-(classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) // entries_per_bucket))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[bytes] = []
+        at = None
+
+        def out() -> pa.RecordBatch:
+            entries = np.frombuffer(b"".join(held), ENTRY)
+            held.clear()
+            a, b, more = compared(entries, p, q, every)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], names=["a", "b", "more"])
+
         for batch in batches:
-            token = batch.column(0).to_numpy()
-            if not len(token):
-                continue
-            cut = int(np.searchsorted(token, token[-1]))  # the last token may go on in the next batch
-            if cut or (held and held[-1].column(0)[0].as_py() != token[0].item()):
-                yield compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != at and held:
+                    yield out()
+                at = bucket
+                held.append(blob)
         if held:
-            yield compare(pa.Table.from_batches(held))
+            yield out()
 
-    n = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return entries.select("token", "cls", "n", "place", "m1", "m2", "wanted").repartition(n, "token").sortWithinPartitions("token", "cls").mapInArrow(meet, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = dealt_entries(classes, buckets, only).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, more boolean")
+    return met.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: Fraction, broadcast_rows: int) -> DataFrame:
@@ -161,11 +233,11 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: F
     found = rows.join(broadcast_if_small(shared_table(needed, "line-needed"), broadcast_rows), "uid")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, numbers, tokens, row = line_tokens(batch.column(0).to_pylist())
+        for batch in by_size(batches, 0):
+            words, line_of, texts, numbers = line_words(batch.column(0))
             wanted = [dict(w) for w in batch.column(1).to_pylist()]
             cls = [wanted[t].get(k) for t, k in zip(texts.tolist(), numbers.tolist(), strict=True)]
-            lists = rows_as_lists(tokens, row, len(texts))
+            lists = rows_as_lists(*distinct_by_row(words.hashes, line_of), len(cls))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), lists], names=["cls", "tokens"]).filter(pa.array([c is not None for c in cls], pa.bool_()))
 
     tokens = shared_table(found.select("body", "wanted").mapInArrow(sets, "cls long, tokens array<long>").dropDuplicates(["cls"]), "line-tokens")
@@ -184,17 +256,17 @@ def later_matches(classes: DataFrame, rows: DataFrame, threshold: Fraction, broa
     p, q = threshold.numerator, threshold.denominator
     # smaller sets are similar to equal ones only, and those are one class already
     able = classes.where(F.col("n") * (q - p) >= p)
-    entries = able.select("cls", "n", "m1", "m2", F.posexplode("prefix").alias("place", "token"))
-    first = shared_table(verified(shared_table(meetings(entries.withColumn("wanted", F.lit(True)), threshold, every=False), "line-candidates"), classes, rows, threshold, broadcast_rows), "line-verified")
+    first = shared_table(verified(shared_table(meetings(able.withColumn("wanted", F.lit(True)), threshold, every=False), "line-candidates"), classes, rows, threshold, broadcast_rows), "line-verified")
     gone = first.where("similar").select(F.col("b").alias("cls")).distinct()
     still = first.groupBy(F.col("b").alias("cls")).agg(F.max("similar").alias("similar"), F.max("more").alias("more")).where("more and not similar").select("cls")
     still = shared_table(still, "line-open")
     if still.isEmpty():
         return gone
-    wanted = able.join(broadcast_if_small(still, broadcast_rows), "cls", "left_semi")
-    tokens = shared_table(wanted.select(F.explode("prefix").alias("token")).distinct(), "line-open-tokens")
-    flagged = entries.join(broadcast_if_small(tokens, broadcast_rows), "token", "left_semi").join(broadcast_if_small(still.withColumn("w", F.lit(True)), broadcast_rows), "cls", "left").withColumn("wanted", F.coalesce("w", F.lit(False)))
-    second = verified(shared_table(meetings(flagged, threshold, every=True), "line-candidates"), classes, rows, threshold, broadcast_rows)
+    # only entries of tokens that open classes have can meet one
+    flagged = able.join(broadcast_if_small(still.withColumn("w", F.lit(True)), broadcast_rows), "cls", "left").withColumn("wanted", F.coalesce("w", F.lit(False)))
+    tokens = shared_table(flagged.where("wanted").select(F.explode("prefix").alias("token")).distinct(), "line-open-tokens")
+    only = np.sort(tokens.toPandas()["token"].to_numpy(np.int32)) if tokens.count() <= broadcast_rows else None
+    second = verified(shared_table(meetings(flagged, threshold, True, only), "line-candidates"), classes, rows, threshold, broadcast_rows)
     return gone.union(second.where("similar").select(F.col("b").alias("cls"))).distinct()
 
 
@@ -221,9 +293,8 @@ def _with_kept_lines(docs: DataFrame, id_col: str, text_col: str, threshold: Fra
     uid = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("body"))
     top = token_counts(rows).where("n > 1").orderBy(F.desc("n"), "token").limit(RANKED).toPandas()
-    tokens, counts = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    classes = ordered_classes(line_sets(rows, (tokens[order], counts[order]), threshold))
+    rarity = rarity_table(top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
+    classes = ordered_classes(line_sets(rows, rarity, threshold))
     stay = classes.join(later_matches(classes, rows, threshold, broadcast_rows), "cls", "left_anti").groupBy("uid").agg(F.collect_list("line").alias("stay"))
     # what goes is a fraction of the corpus; where it is small, texts need not move to meet it
     none = F.array().cast("array<int>")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumen3d.llm.common import broadcast_if_small, shared_table, whole_text
 from lumen3d.llm.components import component_ids
-from lumen3d.llm.words import distinct_by_row, hashed, mixed, rows_as_lists, windows, words_of
+from lumen3d.llm.words import Words, by_size, distinct_by_row, mixed, rows_as_lists, windows
 
 #: Samples and rows of a band. A pair at the threshold 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 SAMPLES, ROWS = 128, 4
@@ -31,19 +31,19 @@ _rng = np.random.default_rng(7)
 _HIGH, _LOW = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1) for _ in range(2))
 
 
-def shingle_sets(bodies: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(bodies: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's distinct shingles of width words, A-Z lower-cased, with the text's number; a shorter text's words are one shingle."""
-    words = [words_of(b.encode(), lower=True) for b in bodies]
-    hashes, lengths = hashed(words)
+    words = Words(bodies, lower=True)
+    lengths = words.counts()
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    row = np.repeat(np.arange(len(words)), lengths)
-    found = windows(hashes, width)
-    inside = np.arange(len(found)) + width <= starts[1:][row[: len(found)]] if len(found) else np.zeros(0, bool)
-    values, rows = [found[inside]], [row[: len(found)][inside]]
-    for i in np.flatnonzero((lengths > 0) & (lengths < width)):
-        own = hashes[starts[i] : starts[i + 1]]
-        values.append(windows(own, len(own), salt=int(len(own))))
-        rows.append(np.array([i]))
+    found = windows(words.hashes, width)
+    row = words.text[: len(found)]
+    inside = np.arange(len(found)) + width <= starts[1:][row]
+    values, rows = [found[inside]], [row[inside]]
+    for n in range(1, width):  # texts of n words
+        short = np.flatnonzero(lengths == n)
+        values.append(mixed(windows(words.hashes, n)[starts[short]] + np.uint64(n)) if len(short) else found[:0])
+        rows.append(short)
     return distinct_by_row(np.concatenate(values), np.concatenate(rows))
 
 
@@ -101,22 +101,20 @@ def features(rows: DataFrame, width: int) -> DataFrame:
     """Of each row (id, uid, body): n, the class of its shingle set (null for an empty one), band keys, odd sketch and parities."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                n = batch.num_rows
-                shingles, row = shingle_sets(batch.column(2).to_pylist(), width)
-                ends = np.searchsorted(row, np.arange(n + 1))
-                sizes = np.diff(ends)
-                samples = np.stack([min_hashes(shingles[a:b]) if b > a else np.zeros(SAMPLES, np.uint32) for a, b in zip(ends, ends[1:], strict=False)])
-                spread = mixed(shingles)
-                cls = np.zeros(n, np.uint64)
-                held = sizes > 0
-                cls[held] = mixed(np.add.reduceat(spread, ends[:-1][held]) * np.uint64(3) + np.add.reduceat(mixed(spread + np.uint64(1)), ends[:-1][held])) if held.any() else 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(cls.view(np.int64), mask=~held), as_lists(band_keys(samples)), as_lists(odd_sketches(samples)), as_lists(set_parities(shingles, row, n))],
-                    names=["id", "uid", "n", "cls", "bands", "sketch", "parity"],
-                )
+        for batch in by_size(batches, 2):
+            n = batch.num_rows
+            shingles, row = shingle_sets(batch.column(2), width)
+            ends = np.searchsorted(row, np.arange(n + 1))
+            sizes = np.diff(ends)
+            samples = np.stack([min_hashes(shingles[a:b]) if b > a else np.zeros(SAMPLES, np.uint32) for a, b in zip(ends, ends[1:], strict=False)])
+            spread = mixed(shingles)
+            cls = np.zeros(n, np.uint64)
+            held = sizes > 0
+            cls[held] = mixed(np.add.reduceat(spread, ends[:-1][held]) * np.uint64(3) + np.add.reduceat(mixed(spread + np.uint64(1)), ends[:-1][held])) if held.any() else 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(cls.view(np.int64), mask=~held), as_lists(band_keys(samples)), as_lists(odd_sketches(samples)), as_lists(set_parities(shingles, row, n))],
+                names=["id", "uid", "n", "cls", "bands", "sketch", "parity"],
+            )
 
     return rows.select("id", "uid", "body").mapInArrow(compute, "id long, uid long, n long, cls long, bands array<long>, sketch array<long>, parity array<long>")
 
@@ -212,11 +210,9 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
     found = rows.join(broadcast_if_small(shared_table(needed, "near-needed"), broadcast_rows), "uid")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                shingles, row = shingle_sets(batch.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0), rows_as_lists(shingles, row, batch.num_rows)], names=["cls", "shingles"])
+        for batch in by_size(batches, 1):
+            shingles, row = shingle_sets(batch.column(1), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows_as_lists(shingles, row, batch.num_rows)], names=["cls", "shingles"])
 
     held = shared_table(found.select("cls", "body").mapInArrow(sets, "cls long, shingles array<long>").dropDuplicates(["cls"]), "near-sets")
     both = pairs.join(held.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")

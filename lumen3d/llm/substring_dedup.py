@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen3d.llm.common import broadcast_if_small, shared_table, whole_text
-from lumen3d.llm.words import hashed, mixed, windows, words_of
+from lumen3d.llm.words import Words, by_size, mixed, windows
 
 #: Words of a phrase that stands for the passages around it.
 PHRASE = 16
@@ -24,8 +24,11 @@ def letters(words: np.ndarray) -> str:
     return words.astype(np.uint8).tobytes().decode("latin-1")
 
 
-def word_hashes(body: str) -> np.ndarray:
-    return hashed([words_of(body.encode(), lower=False)])[0]
+def each_text(bodies: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each text."""
+    words = Words(bodies, lower=False)
+    ends = np.cumsum(words.counts())
+    return (words.hashes[a:b] for a, b in zip(np.concatenate([[0], ends]), ends, strict=False))
 
 
 def least_phrases(phrases: np.ndarray, width: int) -> np.ndarray:
@@ -44,10 +47,9 @@ def anchors(rows: DataFrame, width: int) -> DataFrame:
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, 1):
             cls, n, found, ends = [], [], [], [0]
-            for body in batch.column(1).to_pylist():
-                words = word_hashes(body)
+            for words in each_text(batch.column(1)):
                 cls.append(int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True))
                 n.append(len(words))
                 phrases = windows(words, PHRASE)
@@ -61,87 +63,122 @@ def anchors(rows: DataFrame, width: int) -> DataFrame:
 
 
 def dealt(texts: DataFrame) -> DataFrame:
-    """Rows (cls, copies, own, shards, body) as rows of shards: the phrases (kind 0) that a text owns, and its word hashes (kind 1)."""
+    """Rows (cls, copies, own, own_shard, shards, body) as rows of shards: the phrases that a text owns (kind 0), as letters, and the text (kind 1)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                out: list[tuple] = []
-                for row in whole.slice(at, 200).to_pylist():
-                    words = word_hashes(row["body"])
-                    if row["own"]:
-                        phrases = windows(words, PHRASE)
-                        order = np.argsort(phrases, kind="stable")
-                        for p in order[np.searchsorted(phrases[order], np.array(row["own"], np.int64).view(np.uint64))].tolist():
-                            out.append((row["own_shard"], 0, row["cls"], 0, words[p : p + PHRASE].tobytes()))
-                    out += [(shard, 1, row["cls"], row["copies"], words.tobytes()) for shard in row["shards"]]
-                columns = zip(*out, strict=True) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "kind", "cls", "copies", "words"])
-
-    return texts.select("cls", "copies", "own", "own_shard", "shards", "body").mapInArrow(deal, "shard long, kind int, cls long, copies long, words binary")
+        for batch in by_size(batches, 5):
+            out: list[tuple] = []
+            for words, cls, copies, own, own_shard, shards, body in zip(each_text(batch.column(5)), *(c.to_pylist() for c in batch.columns), strict=True):
+                if own:
+                    phrases = windows(words, PHRASE)
+                    order = np.argsort(phrases, kind="stable")
+                    for p in order[np.searchsorted(phrases[order], np.array(own, np.int64).view(np.uint64))].tolist():
+                        out.append((own_shard, 0, cls, 0, letters(words[p : p + PHRASE])))
+                out += [(shard, 1, cls, copies, body) for shard in shards]
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "kind", "cls", "copies", "body"])
+
+    return texts.select("cls", "copies", "own", "own_shard", "shards", "body").mapInArrow(deal, "shard long, kind int, cls long, copies long, body string")
+
+
+def automaton_of(phrases: list[str]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in phrases:
+        automaton.add_word(phrase)
+    automaton.make_automaton()
+    return automaton
+
+
+def anchored_windows(words: np.ndarray, automaton: ahocorasick.Automaton, width: int) -> np.ndarray:
+    """Starts of the windows whose least phrase the automaton holds."""
+    hit = np.zeros(len(words) + 1, bool)
+    if automaton.kind == ahocorasick.AHOCORASICK:
+        hit[np.fromiter((end for end, _ in automaton.iter(letters(words))), np.int64) - (PHRASE - 1)] = True
+    return np.flatnonzero(hit[least_phrases(windows(words, PHRASE), width)])
 
 
 def located(rows: DataFrame, width: int) -> DataFrame:
-    """(cls, copies, start, high, low): windows whose least phrase an automaton of the shard has found, with 128-bit hashes.
+    """(cls, sure, start, high, low, n): of each text, the ranges of words that windows seen twice in the same task cover, and the windows
+    of which it has the first in the task, with 128-bit hashes and the number that the task has seen.
 
     Rows come sorted by shard, salt and kind: a shard's phrases are compiled when its first text comes, and texts
-    are streamed through, so that a task holds one automaton and one text at a time.
+    are streamed through. A task holds one automaton, and the windows of TEXTS_PER_TASK texts or so.
     """
 
+    def judged(held: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(h[2]) for h in held]
+        high, low = (np.concatenate([h[i] for h in held]) for i in (3, 4))
+        text = np.repeat(np.arange(len(held)), sizes)
+        start = np.concatenate([h[2] for h in held])
+        order = np.lexsort((np.arange(len(high)), low, high))
+        new = np.ones(len(order), bool)
+        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        group = np.cumsum(new) - 1
+        n = np.bincount(group, np.array([h[1] for h in held])[text[order]]).astype(np.int64)
+        sure = np.zeros(len(order), bool)
+        sure[order] = n[group] > 1
+        first = np.sort(order[new])
+        count = np.empty(len(order), np.int64)
+        count[order] = n[group]
+        lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(np.asarray(ends, np.int32)), pa.array(values))
+        firsts = np.searchsorted(text[first], np.arange(len(held) + 1))
+        ranges = [covered(s[m], width) for s, m in zip(np.split(start, np.cumsum(sizes)[:-1]), np.split(sure, np.cumsum(sizes)[:-1]), strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([h[0] for h in held], pa.int64()), pa.array(ranges, pa.list_(pa.int64())), lists(start[first].astype(np.int32), firsts), lists(high[first].view(np.int64), firsts), lists(low[first].view(np.int64), firsts), lists(count[first], firsts)],
+            names=["cls", "sure", "start", "high", "low", "n"],
+        )
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, phrases, automaton = None, [], None
-        for batch in batches:
-            cls_out, copies_out, starts, high, low, ends = [], [], [], [], [], [0]
-            for shard, salt, kind, cls, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        at, phrases, automaton, held = None, [], None, []
+        for batch in by_size(batches, 5):
+            texts = each_text(batch.column(5))
+            for words, shard, salt, kind, cls, copies, body in zip(texts, *(c.to_pylist() for c in batch.columns), strict=True):
                 if (shard, salt) != at:
-                    at, phrases, automaton = (shard, salt), [], None
+                    if held:
+                        yield judged(held)
+                    at, phrases, automaton, held = (shard, salt), [], None, []
                 if kind == 0:
-                    phrases.append(letters(np.frombuffer(data, np.uint64)))
+                    phrases.append(body)
                     continue
                 if automaton is None:
-                    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-                    for phrase in phrases:
-                        automaton.add_word(phrase)
-                    automaton.make_automaton()
-                    phrases = []
-                words = np.frombuffer(data, np.uint64)
-                if automaton.kind != ahocorasick.AHOCORASICK:
-                    continue
-                places = np.fromiter((end for end, _ in automaton.iter(letters(words))), np.int64) - (PHRASE - 1)
-                hit = np.zeros(len(words) + 1, bool)
-                hit[places] = True
-                least = least_phrases(windows(words, PHRASE), width)
-                own = np.flatnonzero(hit[least])
-                if not len(own):
-                    continue
-                cls_out.append(cls)
-                copies_out.append(copies)
-                starts.append(own)
-                high.append(windows(words, width)[own])
-                low.append(windows(mixed(words), width)[own])
-                ends.append(ends[-1] + len(own))
-            if cls_out:
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x).astype(t).view(v))) for x, t, v in ((starts, np.int32, np.int32), (high, np.uint64, np.int64), (low, np.uint64, np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(cls_out, pa.int64()), pa.array(copies_out, pa.int64()), *lists], names=["cls", "copies", "start", "high", "low"])
+                    automaton, phrases = automaton_of(phrases), []
+                own = anchored_windows(words, automaton, width)
+                if len(own):
+                    held.append((cls, copies, own, windows(words, width)[own], windows(mixed(words), width)[own]))
+        if held:
+            yield judged(held)
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.select("shard", "salt", "kind", "cls", "copies", "words").repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return placed.mapInArrow(stream, "cls long, copies long, start array<int>, high array<long>, low array<long>")
+    placed = rows.select("shard", "salt", "kind", "cls", "copies", "body").repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    return placed.mapInArrow(stream, "cls long, sure array<long>, start array<int>, high array<long>, low array<long>, n array<long>")
 
 
-def as_ranges(starts: DataFrame, width: int) -> DataFrame:
-    """(cls, ranges) from (cls, starts): the words that the windows cover, as first word and end of each run."""
+def covered(starts: np.ndarray, width: int) -> list[int]:
+    """The words that windows at ascending starts cover: first word and end of each run."""
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.diff(starts) > width)
+    return np.column_stack([starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + width]).ravel().tolist()
+
+
+def as_ranges(found: DataFrame, width: int) -> DataFrame:
+    """(cls, ranges) from (cls, sure, starts): the union of ranges and of what windows cover, as first word and end of each run."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for found in batch.column(1).to_pylist():
-                at = np.unique(np.array(found, np.int64))
-                cut = np.flatnonzero(np.diff(at) > width)
-                out.append(np.column_stack([at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + width]).ravel().tolist())
+            for sure, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                pairs = sorted([(r[i], r[i + 1]) for r in sure or [] for i in range(0, len(r), 2)] + [(s, s + width) for s in starts or []])
+                runs: list[list[int]] = []
+                for a, b in pairs:
+                    if runs and a <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], b)
+                    else:
+                        runs.append([a, b])
+                out.append([x for r in runs for x in r])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["cls", "ranges"])
 
-    return starts.select("cls", "starts").mapInArrow(merge, "cls long, ranges array<long>")
+    return found.select("cls", "sure", "starts").mapInArrow(merge, "cls long, ranges array<long>")
 
 
 def recurring_ranges(docs: DataFrame, id_col: str, text_col: str, width: int, broadcast_rows: int) -> DataFrame:
@@ -158,18 +195,19 @@ def recurring_ranges(docs: DataFrame, id_col: str, text_col: str, width: int, br
     hits = seen.join(F.broadcast(recurring) if n_phrases <= broadcast_rows else recurring, "phrase")
     shard = F.pmod(F.xxhash64("owner"), F.lit(shards))
     own = F.collect_set(F.when(F.col("owner") == F.col("cls"), F.col("phrase"))).alias("own")
-    routed = shared_table(hits.groupBy("cls").agg(own, F.collect_set(shard).alias("shards"), F.first("copies").alias("copies")).join(classes.select("cls", "uid"), "cls"), "passage-routes")
-    routed = broadcast_if_small(routed.withColumn("own_shard", F.pmod(F.xxhash64("cls"), F.lit(shards))), broadcast_rows)
-    parts = shared_table(dealt(rows.join(routed, "uid")).dropDuplicates(["shard", "kind", "cls", "words"]), "passage-shards")
+    routed_rows = shared_table(hits.groupBy("cls").agg(own, F.collect_set(shard).alias("shards"), F.first("copies").alias("copies")).join(classes.select("cls", "uid"), "cls"), "passage-routes")
+    routed = broadcast_if_small(routed_rows.withColumn("own_shard", F.pmod(F.xxhash64("cls"), F.lit(shards))), broadcast_rows)
     # a shard's texts are split over salts, each of which gets all of the shard's phrases
-    salts = parts.where("kind = 1").groupBy("shard").agg(F.ceil(F.count("*") / F.lit(TEXTS_PER_TASK)).cast("int").alias("salts"))
-    salted = parts.join(F.broadcast(salts) if shards <= broadcast_rows else salts, "shard")
-    salted = salted.withColumn("salt", F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")))))
+    salts = routed_rows.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / F.lit(TEXTS_PER_TASK)).cast("int").alias("salts"))
+    parts = dealt(rows.join(routed, "uid")).join(broadcast_if_small(shared_table(salts, "passage-salts"), broadcast_rows), "shard")
+    salted = parts.withColumn("salt", F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")))))
     found = shared_table(located(salted, width), "passage-windows")
-    each = found.select("cls", "copies", F.explode(F.arrays_zip("start", "high", "low")).alias("w")).select("cls", "copies", "w.*")
-    again = each.groupBy("high", "low").agg(F.sum("copies").alias("n")).where("n > 1").select("high", "low")
-    starts = each.join(again, ["high", "low"]).groupBy("cls").agg(F.collect_list("start").alias("starts"))
-    ranges = as_ranges(starts, width)
+    # windows that their task has seen once may recur in another one
+    each = found.select("cls", F.explode(F.arrays_zip("start", "high", "low", "n")).alias("w")).select("cls", "w.*")
+    again = each.groupBy("high", "low").agg(F.sum("n").alias("total")).where("total > 1").select("high", "low")
+    late = each.where("n = 1").join(again, ["high", "low"]).groupBy("cls").agg(F.collect_list("start").alias("starts"))
+    sure = found.where(F.size("sure") > 0).groupBy("cls").agg(F.collect_list("sure").alias("sure"))
+    ranges = as_ranges(sure.join(late, "cls", "full_outer"), width)
     return shared_table(every_row.select("uid", "cls").distinct().join(ranges, "cls").select("uid", "ranges"), "passage-ranges")
 
 
@@ -184,7 +222,8 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     phrase as recurring; equal word sequences are one text with a number of copies by then. Each phrase belongs to
     the least text that has it, so that the phrases of a passage share a shard. Shards' phrases are compiled into
     Aho-Corasick automata, and each text is streamed through those of its phrases' shards, which locate every
-    occurrence. The windows anchored there are counted by 128-bit hashes, summed up before they move.
+    occurrence. The windows anchored there are counted by 128-bit hashes, first among the texts of a task, then
+    over all of them.
 
     Null text has no words. Rows that repeat an identifier and its text are two copies and lose what they share.
     Identifiers may be null. An empty table gives no rows. Other columns are ignored, whatever their names.
@@ -195,10 +234,10 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), whole_text(text_col).alias("body")).join(ranges, "uid", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, 1):
             n_words, n_removed, kept = [], [], []
             for body, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = words_of(body.encode(), lower=False)
+                words = body.encode().split()
                 n_words.append(len(words))
                 for a, b in zip(cut[-2::-2], cut[-1::-2], strict=True) if cut else ():
                     del words[a:b]

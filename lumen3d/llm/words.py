@@ -2,37 +2,78 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
-import xxhash
-
-#: Words whose hashes one Python worker keeps.
-CACHE_WORDS = 1_000_000
-
-
-class _Hashes(dict):
-    """Hash by word; frequent words are hashed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
-def words_of(text: bytes, lower: bool) -> list[bytes]:
-    """Runs of anything but ASCII white space (0x20, 0x09 to 0x0D), with A-Z lower-cased on demand."""
-    return (text.lower() if lower else text).split()
-
-
-def hashed(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, one list after another, and the lists' lengths."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(lengths.sum())), lengths
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: A multiplier of the greatest order modulo 2 ** 64, and its inverse.
+BASE = 0x9E3779B97F4A7C15 | 5
+INVERSE = pow(BASE, -1, 1 << 64)
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_AS_IS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWERED = _AS_IS[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
+
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_up_to(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse, kept by each worker."""
+    while len(_powers[0]) < n:
+        for i, base in enumerate((BASE, INVERSE)):
+            _powers[i] = np.concatenate([_powers[i], _powers[i] * np.uint64(pow(base, len(_powers[i]), 1 << 64))])
+    return _powers
+
+
+class Words:
+    """The words of several texts as arrays: hashes, first bytes and ends, and the text that each is in.
+
+    Words are runs of anything but ASCII white space (0x20, 0x09 to 0x0D); their hashes are polynomials of a random
+    value for each byte, taken from running sums, and mixed. With lower, A-Z count as a-z.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool) -> None:
+        column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        base, size = (int(offsets[0]), int(offsets[-1] - offsets[0])) if len(column) else (0, 0)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[base : base + size] if size else np.zeros(0, np.uint8)
+        self.bounds = offsets - base
+        self.data = data
+        space = np.ones(size + 2, bool)
+        space[1:-1] = _IS_SPACE[data]
+        begins = ~space[1:] & space[:-1]
+        ends = space[1:] & ~space[:-1]
+        inner = self.bounds[1:-1]
+        cut = inner[(inner > 0) & (inner < size)]
+        cut = cut[~space[cut + 1] & ~space[cut]]  # a word ends where its text does
+        begins[cut] = ends[cut] = True
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends)
+        powers, inverses = _powers_up_to(size + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((_LOWERED if lower else _AS_IS)[data] * powers[:size], out=sums[1:])
+        self.hashes = mixed((sums[self.ends] - sums[self.starts]) * inverses[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.text = np.searchsorted(self.bounds, self.starts, side="right") - 1 if len(column) else np.zeros(0, np.int64)
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.text, minlength=len(self.bounds) - 1)
+
+    def lines(self) -> np.ndarray:
+        """The number of each word's line in its text."""
+        newlines = np.flatnonzero(self.data == 10)
+        return np.searchsorted(newlines, self.starts) - np.searchsorted(newlines, self.bounds[:-1])[self.text]
+
+
+def by_size(batches, column: int, most_bytes: int = 1_000_000):
+    """Record batches cut into slices whose texts hold at most so many bytes, or one text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,7 +106,5 @@ def distinct_by_row(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, n
 
 def rows_as_lists(values: np.ndarray, rows: np.ndarray, n: int):
     """An Arrow list array of n rows from values that are sorted by row."""
-    import pyarrow as pa
-
     ends = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
