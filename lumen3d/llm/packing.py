@@ -2,113 +2,150 @@
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen3d.llm.common import shared_table, whole_text
+from lumen3d.llm.words import Words, by_size, mixed
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, round int, part long, bin int, offset long, done boolean"
 NAMES = lambda schema: [x.split()[0] for x in schema.split(", ")]
 #: Ids by word, for one Python worker; with this many, those not used since the last turn are forgotten.
 CACHE_WORDS = 400_000
-#: ASCII marks, which the pre-tokenizer takes in runs; the apostrophe, which may begin a contraction, is left out.
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-MARKS_SET = {MARKS[i : i + 1] for i in range(len(MARKS))}
-#: Letters that normalisation maps one to one: ASCII and the composed Latin ones.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+#: Slots of a worker's table of ids; it starts anew when half of them are taken.
+SLOTS = 1 << 21
 
 _tokenizers: dict = {}
 
 
-class _Turns:
-    """A cache in two generations: what is used moves to the young one, and the old one is forgotten when that is full."""
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that are ASCII letters, and ASCII marks without the apostrophe, which may begin a contraction."""
+    letter, mark = np.zeros(256, bool), np.zeros(256, bool)
+    letter[[c for c in range(128) if chr(c).isalpha()]] = True
+    mark[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+    return letter, mark
+
+
+LETTER, MARK = _kinds()
+#: Lead bytes of the composed Latin letters U+00C0 to U+017E, and the pairs among them that are no plain letters.
+LEADS, EXCLUDED = (0xC3, 0xC4, 0xC5), ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (0xC5, 0xBF))
 
-    def __init__(self) -> None:
-        self.young: dict = {}
-        self.old: dict = {}
 
-    def get(self, key):
-        value = self.old.pop(key, None)
-        if value is not None:
-            self.young[key] = value
-        return value
+def plain_letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII letters and of composed Latin ones, which normalisation keeps and lower-cases one by one."""
+    found = LETTER[data]
+    if data.size and data.max() >= 0x80:
+        lead = np.isin(data, LEADS)
+        for one, two in EXCLUDED:
+            lead[:-1] &= ~((data[:-1] == one) & (data[1:] == two))
+        found |= lead
+        found[1:] |= lead[:-1]
+    return found
 
-    def turn(self) -> None:
-        if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, {}
+
+class IdTable:
+    """Ids by 64-bit key, in open addressing over arrays, so that a batch of keys is looked up at once."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.start, self.size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.ids, self.end, self.taken = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free slot where it belongs."""
+        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        left = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) % SLOTS
+            here = self.keys[slot[left]]
+            left = left[(here != keys[left]) & (here != 0)]
+        return slot
+
+    def add(self, keys: np.ndarray, found: list[list[int]]) -> None:
+        """Distinct keys that are not in the table, with their ids."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        starts = self.end + np.concatenate([[0], np.cumsum(sizes)])
+        while starts[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.end : starts[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.end, self.taken = int(starts[-1]), self.taken + len(keys)
+        left = np.arange(len(keys))
+        while len(left):  # of keys that want one slot, one gets it and the others look on
+            slot = self.slots(keys[left])
+            _, first = np.unique(slot, return_index=True)
+            at, won = slot[first], left[first]
+            self.keys[at], self.start[at], self.size[at] = keys[won], starts[won], sizes[won]
+            left = np.delete(left, first)
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word, as little-endian bytes.
+    """Ids of whole texts, word by word.
 
     No token of the vocabulary spans white space, so the ids of the words between ASCII white space are the ids of
-    a text. A word of plain letters and then ASCII marks other than an apostrophe is two pieces to the
-    pre-tokenizer; its letters are looked up in lower case and go to the vocabulary's model alone.
+    a text. A word of plain letters and then marks is two pieces to the pre-tokenizer, and its letters go to the
+    vocabulary's model alone; all other words go to the tokenizer as they are. Pieces are found by 64-bit hashes
+    in a table of the ids of those that the worker has seen.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.letters = Tokenizer(self.whole.model)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words, self.cores = _Turns(), _Turns()
-
-    @staticmethod
-    def _split(word: bytes) -> tuple[bytes, bytes] | None:
-        core = word.rstrip(MARKS)
-        if core.isalpha():
-            return core.lower(), word[len(core) :]
-        text = core.decode()
-        return (text.lower().encode(), word[len(core) :]) if core and PLAIN.fullmatch(text) else None
-
-    @staticmethod
-    def _encode(tokenizer, words: list[bytes], into: dict) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                into[word] = array("I", found.ids).tobytes()
-
-    def _looked_up(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of some texts' words, in a table small enough for the processor's caches."""
-        get, cores = self.words.get, self.cores
-        found = {w: self.words.young.get(w) or get(w) for w in words}
-        hard, halves, letters = [], [], set()
-        for word in [w for w, x in found.items() if x is None]:
-            pair = self._split(word)
-            if pair is None:
-                hard.append(word)
-            else:
-                halves.append((word, pair))
-                letters.update(pair)
-        letters.discard(b"")
-        letters = [x for x in letters if x not in cores.young and cores.get(x) is None]
-        new: dict = {}
-        self._encode(self.whole, [x for x in letters if x[:1] in MARKS_SET], cores.young)
-        self._encode(self.letters, [x for x in letters if x[:1] not in MARKS_SET], cores.young)
-        self._encode(self.whole, hard, new)
-        known = cores.young
-        new.update((word, known[core] + known[mark] if mark else known[core]) for word, (core, mark) in halves)
-        self.words.young.update(new)
-        found.update(new)
-        return found
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        self.words.turn()
-        self.cores.turn()
-        split = [t.encode().split() for t in texts]
-        of = self._looked_up(set(chain.from_iterable(split))).__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        self.table = IdTable()
+
+    def _slots(self, words: Words, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: bool) -> np.ndarray:
+        """Table slots of pieces; pieces that are not in the table are tokenised first."""
+        slot = self.table.slots(keys)
+        new, first = np.unique(keys[self.table.keys[slot] == 0], return_index=True)
+        if not len(new):
+            return slot
+        missing = np.flatnonzero(self.table.keys[slot] == 0)[first]
+        texts = [words.data[a:b].tobytes().decode() for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
+        tokenizer = self.letters if letters else self.whole
+        found = tokenizer.encode_batch_fast([x.lower() for x in texts] if letters else texts, add_special_tokens=False)
+        self.table.add(new, [x.ids for x in found])
+        return self.table.slots(keys)
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin and end."""
+        if self.table.taken > SLOTS // 2:
+            self.table = IdTable()
+        # special tokens are told by case; elsewhere case makes no difference
+        words = Words(column, lower=not pc.any(pc.match_substring(column, "<|")).as_py())
+        letter = plain_letters(words.data)
+        other = np.append(np.flatnonzero(~letter), len(words.data))
+        middle = np.minimum(other[np.searchsorted(other, words.starts)], words.ends)
+        marks = np.concatenate([[0], np.cumsum(MARK[words.data], dtype=np.int64)])
+        simple = marks[words.ends] - marks[middle] == words.ends - middle
+        slots = np.zeros((len(words.starts), 2), np.int64)
+        used = np.zeros((len(words.starts), 2), bool)
+        for side, chosen, starts, ends in (
+            (0, np.flatnonzero(simple & (middle > words.starts)), words.starts, middle),
+            (1, np.flatnonzero(simple & (words.ends > middle)), middle, words.ends),
+            (0, np.flatnonzero(~simple), words.starts, words.ends),
+        ):
+            letters = side == 0 and len(chosen) and bool(simple[chosen[0]])
+            keys = words.hashes_of(starts[chosen], ends[chosen])
+            keys = np.maximum(keys if letters else mixed(keys), 1)
+            slots[chosen, side] = self._slots(words, keys, starts[chosen], ends[chosen], letters)
+            used[chosen, side] = True
+        sizes = np.where(used, self.table.size[slots], 0).ravel().astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.table.start[slots].ravel() - total[:-1], sizes) + np.arange(total[-1])
+        return self.table.ids[at], total[2 * np.concatenate([[0], np.cumsum(words.counts())])]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -123,14 +160,14 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, capacity:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for at in range(0, len(ids), 256):
-                for doc, data in zip(ids[at : at + 256], word_tokenizer(path).ids(batch.column(1).slice(at, 256).to_pylist()), strict=True):
-                    data += end
-                    for piece, start in enumerate(range(0, len(data), 4 * capacity)):
-                        cut = data[start : start + 4 * capacity]
-                        out.append((doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
+        for batch in by_size(batches, 1):
+            out = []
+            ids, bounds = word_tokenizer(path).ids(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                data = ids[a:b].astype("<u4").tobytes() + end
+                for piece, start in enumerate(range(0, len(data), 4 * capacity)):
+                    cut = data[start : start + 4 * capacity]
+                    out.append((doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
 

@@ -47,13 +47,18 @@ class Words:
         cut = cut[~space[cut + 1] & ~space[cut]]  # a word ends where its text does
         begins[cut] = ends[cut] = True
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends)
-        powers, inverses = _powers_up_to(size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((_LOWERED if lower else _AS_IS)[data] * powers[:size], out=sums[1:])
-        self.hashes = mixed((sums[self.ends] - sums[self.starts]) * inverses[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        powers, self._inverses = _powers_up_to(size + 1)
+        self._sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((_LOWERED if lower else _AS_IS)[data] * powers[:size], out=self._sums[1:])
+        self.hashes = self.hashes_of(self.starts, self.ends)
         self.text = np.searchsorted(self.bounds, self.starts, side="right") - 1 if len(column) else np.zeros(0, np.int64)
 
+    def hashes_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes."""
+        return mixed((self._sums[ends] - self._sums[starts]) * self._inverses[starts] + (ends - starts).astype(np.uint64))
+
     def counts(self) -> np.ndarray:
+        """Words of each text."""
         return np.bincount(self.text, minlength=len(self.bounds) - 1)
 
     def lines(self) -> np.ndarray:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,8 +150,11 @@ def test_packing(spark):
 def test_tokens_of_odd_words():
     tokenizer = packing.WordTokenizer(queries.tokenizer_path())
     odd = ["It's O'Neil's we'll 'S x'reY", "ÀÉ Ñandú!! naïve--x", "a_b c__ _x 12ab 3.14 ſ", "Σας ΟΔΟΣ İstanbul x́!!", "日本 👍🏽 a\x1cb a\xa0b", "don't!! 's ß ŉ ĳ Ÿ"]
-    for text, ids in zip(odd, tokenizer.ids(odd), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokens_by_library(text, queries.tokenizer_path())
+    odd += ["<|endoftext|> a<|endoftext|>b <|ENDOFTEXT|>", "THE the <|startoftext|>", "", "!!! | ### x", "×÷ a×b ſſ ŁÓDŹ"]
+    for group in (odd, odd[:6], odd[8:], odd[::-1]):
+        ids, bounds = tokenizer.ids(pa.array(group))
+        for text, a, b in zip(group, bounds, bounds[1:], strict=False):
+            assert ids[a:b].tolist() == tokens_by_library(text, queries.tokenizer_path())
 
 
 @pytest.mark.parametrize("seed", range(5))
