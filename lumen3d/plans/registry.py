@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen3d.functions import columns as fn
-from lumen3d.operators import grid, inpainting, knn, light, raster, segmentation, segments
+from lumen3d.operators import clustering, grid, inpainting, knn, light, merging, raster, segmentation, segments
+from lumen3d.plans import pipelines
 from lumen3d.plans.fixtures import BULK_SQL, EVENTS_SQL, GRID, HEIGHTS_SQL, LIGHT, PLACED_SQL, RASTER_SQL, SPECTRA_SQL, TRANSFORM, bulk_points, event_points, heights, spectra
+from lumen3d.sources import las, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -531,3 +533,102 @@ def _(spark, d):
 @query("c13_shadow_cells")
 def _(spark, d):
     return grid.shadow_cells(event_points(spark, d), LIGHT, 2.0, GRID, 6.0, 1.5)
+
+
+# ---- composites
+
+
+def with_class(spark, d):
+    t = event_points(spark, d)
+    return segments.split_by_returns(t, 5.0)
+
+
+@query("g6_fusion_supervoxels")
+def _(spark, d):
+    t = event_points(spark, d).where("label < 2")
+    return segmentation.fusion_supervoxels(t, knn.k_nearest(t, t, 10), 40)
+
+
+@query("g11_merged_classes")
+def _(spark, d):
+    t = placed(spark, d)
+    return merging.merged_classes(t.drop("label").withColumnRenamed("seg", "label").withColumn("voxel", F.col("pixel")), 1.0, 12)
+
+
+@query("g14_clustered_superpixels")
+def _(spark, d):
+    t = raster.scaled_cube(spectra(spark, d), 1e-4, keep_unit_max=True)
+    size = t.agg(F.max("row") + 1, F.max("col") + 1).first()
+    found = clustering.superpixels(t, size[0], size[1], 5, 0.1, 3, 64)
+    return clustering.connected_superpixels(found.join(t.select("pixel", "bands"), "pixel"), 5)
+
+
+@query("g20_hashed_colours")
+def _(spark, d):
+    return rounded(segmentation.hashed_colours(event_points(spark, d).select("point_id", F.col("seg").alias("label"))))
+
+
+@query("w7_border_normals")
+def _(spark, d):
+    mask = heights(spark, d).select("row", "col", (F.col("value") > 2).alias("inside"))
+    return rounded(pipelines.border_normals(mask))
+
+
+@query("c2_surface")
+def _(spark, d):
+    return rounded(pipelines.surface(event_points(spark, d), GRID), 4)
+
+
+@query("c3_intensity_image")
+def _(spark, d):
+    return rounded(pipelines.intensity_image(event_points(spark, d), GRID), 4)
+
+
+@query("c4_normals_image")
+def _(spark, d):
+    return rounded(pipelines.normals_image(event_points(spark, d), GRID), 4)
+
+
+@query("c5_graph_supervoxels")
+def _(spark, d):
+    return pipelines.graph_supervoxels(event_points(spark, d), 0.6, 20, 8, radius=3.0).select("point_id", "label")
+
+
+@query("c6_buildings_and_trees")
+def _(spark, d):
+    return pipelines.buildings_and_trees(event_points(spark, d), 5.0, 0.6, 20, 0.66, 8)
+
+
+@query("c7_surface_superpixels")
+def _(spark, d):
+    return pipelines.surface_superpixels(event_points(spark, d), GRID, 0.3, 5)
+
+
+@query("c9_light_direction")
+def _(spark, d):
+    return rounded(pipelines.light_direction(event_points(spark, d), spectra(spark, d), GRID, 50), 4)
+
+
+@query("c10_class_supervoxels")
+def _(spark, d):
+    return pipelines.class_supervoxels(with_class(spark, d), [("ground", 4.0, 0.6, 5), ("tree", 4.0, 0.6, 5), ("other", 4.0, 0.6, 5)]).select("point_id", "class", "label")
+
+
+@query("c12_reflectance")
+def _(spark, d):
+    return rounded(pipelines.reflectance(event_points(spark, d), spectra(spark, d), GRID, LIGHT, 15.0, 0.2, 10), 4)
+
+
+@query("c15_gamma_shown", f"WITH {SPECTRA_SQL}, {_STRETCH} SELECT pixel, CAST(l.band AS INTEGER) AS band, round(pow((value - lo) / (hi - lo), 0.5), 6) AS shown FROM l JOIN e ON e.band = l.band")
+def _(spark, d):
+    return rounded(pipelines.gamma_shown(raster.bands_long(spectra(spark, d), [20, 27, 17]), 0.5).select("pixel", "band", "shown"))
+
+
+@query("s9_column_major", "SELECT CAST(i % 30 AS INTEGER) AS row, CAST((i // 30) % 25 AS INTEGER) AS col, CAST(i // 750 AS INTEGER) AS band, i * 0.5 AS value FROM range(2250) t(i)")
+def _(spark, d):
+    return tiff.column_major(spark.range(2250).select(F.col("id").alias("i"), (F.col("id") * 0.5).alias("value")), 30, 25)
+
+
+@query("s10_cube_cloud")
+def _(spark, d):
+    return rounded(las.cube_cloud(spark, 50))
