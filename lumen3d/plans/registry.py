@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen3d.functions import columns as fn
-from lumen3d.operators import clustering, grid, inpainting, knn, light, merging, raster, segmentation, segments
+from lumen3d.operators import clouds, clustering, grid, inpainting, knn, light, merging, raster, segmentation, segments
 from lumen3d.plans import pipelines
 from lumen3d.plans.fixtures import BULK_SQL, EVENTS_SQL, GRID, HEIGHTS_SQL, LIGHT, PLACED_SQL, RASTER_SQL, SPECTRA_SQL, TRANSFORM, bulk_points, event_points, heights, spectra
 from lumen3d.sources import las, tiff
@@ -632,3 +632,27 @@ def _(spark, d):
 @query("s10_cube_cloud")
 def _(spark, d):
     return rounded(las.cube_cloud(spark, 50))
+
+
+_OCTREE = "bb AS (SELECT min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, min(z) AS z1, max(z) AS z2 FROM ev), cu AS (SELECT *, greatest((x2 - x1) / 2, (y2 - y1) / 2, (z2 - z1) / 2) AS h FROM bb), cv AS (SELECT h * 2 * 1.01 / 16 AS s, least(x1, (x1 + x2) / 2 - h) AS ox, least(y1, (y1 + y2) / 2 - h) AS oy, least(z1, (z1 + z2) / 2 - h) AS oz FROM cu)"
+
+
+@query("g22_octree_leaves", f"WITH {EVENTS_SQL}, {_OCTREE}, k AS (SELECT ev.*, CAST(floor((x - ox) / s) AS BIGINT) AS kx, CAST(floor((y - oy) / s) AS BIGINT) AS ky, CAST(floor((z - oz) / s) AS BIGINT) AS kz FROM ev, cv) SELECT kx, ky, kz, count(*) AS n, round(arg_max(r, point_id), 6) AS r, round(arg_max(g, point_id), 6) AS g, round(arg_max(b, point_id), 6) AS b FROM k WHERE kx BETWEEN 0 AND 15 AND ky BETWEEN 0 AND 15 AND kz BETWEEN 0 AND 15 GROUP BY kx, ky, kz")
+def _(spark, d):
+    return rounded(clouds.leaf_colours(event_points(spark, d), 4))
+
+
+@query("g13_label_centroids", f"WITH {EVENTS_SQL} SELECT label, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('x', 'y', 'z', 'nx', 'ny', 'nz', 'r', 'g', 'b'))} FROM ev GROUP BY label")
+def _(spark, d):
+    return rounded(clouds.label_centroids(event_points(spark, d)))
+
+
+@query("j17_neighbour_lists", f"WITH {EVENTS_SQL}, {_NEAR} SELECT query_id, array_to_string(list(nbr_id ORDER BY rank), ',') AS near FROM nn GROUP BY query_id")
+def _(spark, d):
+    t = event_points(spark, d)
+    return clouds.neighbour_lists(knn.nearest_within(t, t, 1.5, 5)).select("query_id", F.array_join(F.col("near").cast("array<string>"), ",").alias("near"))
+
+
+@query("j17_members", f"WITH {EVENTS_SQL} SELECT label, array_to_string(list_sort(list(point_id)), ',') AS point_ids FROM ev GROUP BY label")
+def _(spark, d):
+    return clouds.members(event_points(spark, d)).select("label", F.array_join(F.col("point_ids").cast("array<string>"), ",").alias("point_ids"))

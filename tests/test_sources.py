@@ -58,3 +58,48 @@ def test_cube_faces(spark):
     normals = segments.point_normals(cube, 6, neighbours=knn.k_nearest(cube, cube, 6)).toPandas()
     flat = normals[normals["curvature"].astype(float) < 1e-9]
     assert len(flat) > 100 and np.allclose(np.abs(flat[["nx", "ny", "nz"]].to_numpy(float)).max(axis=1), 1)
+
+
+def mat_file(arrays, packed):
+    import struct
+    import zlib
+
+    def element(kind, data):
+        return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    out = b"x".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
+    for name, array in arrays.items():
+        kind, cls = {"f8": (9, 6), "i4": (5, 12), "u1": (2, 9)}[array.dtype.str[1:]]
+        body = element(6, struct.pack("<II", cls, 0)) + element(5, np.array(array.shape, "<i4").tobytes()) + element(1, name.encode()) + element(kind, array.tobytes(order="F"))
+        whole = element(14, body)
+        out += struct.pack("<II", 15, len(z := zlib.compress(whole))) + z if packed else whole
+    return out
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_mat_and_numpy_files(spark, tmp_path, packed):
+    from lumen3d.sources import arrays
+
+    held = {"data": np.arange(24.0).reshape(2, 3, 4), "III": np.arange(5, dtype="i4").reshape(5, 1), "b": np.arange(3, dtype="u1").reshape(1, 3)}
+    (tmp_path / "a.mat").write_bytes(mat_file(held, packed))
+    got = arrays.load(spark, f"file://{tmp_path}/a.mat")
+    assert set(got) == set(held) and all((got[k] == held[k]).all() and got[k].shape == held[k].shape for k in held)
+    np.save(tmp_path / "b.npy", held["data"])
+    assert (arrays.load(spark, f"file://{tmp_path}/b.npy")["array"] == held["data"]).all()
+    np.save(tmp_path / "c.npy", np.array([{"a": 1}], object), allow_pickle=True)
+    with pytest.raises(ValueError):
+        arrays.load(spark, f"file://{tmp_path}/c.npy")
+
+
+def test_arrays_become_tables(spark):
+    from lumen3d.sources import arrays
+
+    xyz = np.arange(12.0).reshape(4, 3)
+    got = arrays.points_of(spark, xyz, colour=xyz, intensity=np.arange(4)).orderBy("point_id").toPandas()
+    assert (got[["x", "y", "z"]].to_numpy() == xyz).all() and (got["colour_2"] == xyz[:, 2]).all()
+    with pytest.raises(ValueError):
+        arrays.points_of(spark, xyz[:, :2])
+    cube = np.arange(24).reshape(2, 3, 4)
+    assert (arrays.cube_of(arrays.pixels_of(spark, cube)) == cube).all()
+    with pytest.raises(TypeError):
+        arrays.pixels_of(spark, cube.astype(complex))
