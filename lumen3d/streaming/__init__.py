@@ -1 +1 @@
-
+"""Operators on streams of points."""
