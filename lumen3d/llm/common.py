@@ -1,44 +1,18 @@
-"""What the corpus operators share: tables in the cluster's shared folder, words and input checks."""
+"""What the corpus operators share; tables in the cluster's shared folder come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumen3d.functions.tables import broadcast_if_small, shared_root, shared_table
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "broadcast_if_small", "read", "shared_root", "shared_table", "whole_text"]
+
 #: Words are runs of anything but these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only a local session may go without the setting; it then gets a folder of its own.
-    """
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_root is None:
-        _own_root = f"file://{tempfile.mkdtemp(prefix='lumen3d-')}"
-    return _own_root
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
@@ -52,8 +26,3 @@ def whole_text(text_col: str) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df, a written table, marked for broadcasting if it holds at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumen3d.llm.common import whole_text
+from lumen3d.llm.words import by_size
 
 #: Bytes of a chunk, and of those that it shares with the next.
 CHUNK, OVERLAP = 512, 32
@@ -155,7 +156,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return train([r[2] for r in rows], np.array([r[3] for r in rows], "f4"), seed)
 
 
-def score_quality(docs: DataFrame, network: Network, id_col: str | None = "doc_id", text_col: str = "text", at_once: int = 64, name: str = "score") -> DataFrame:
+def score_quality(docs: DataFrame, network: Network, id_col: str | None = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """Each row's id and the network's score of its whole text (0 to 1; higher is better); with no id_col, all columns and the score.
 
     Null text counts as empty, and an empty text is scored as a chunk of padding. Every chunk of a text of any
@@ -169,10 +170,8 @@ def score_quality(docs: DataFrame, network: Network, id_col: str | None = "doc_i
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Network(shared.value)
-        for batch in batches:
-            bodies = batch.column(batch.num_columns - 1)
-            found = [scores([x or b"" for x in bodies.slice(at, at_once).to_pylist()], model) for at in range(0, batch.num_rows, at_once)]
-            out = np.concatenate(found) if found else np.zeros(0)
+        for batch in by_size(batches, -1, 200_000):
+            out = scores([x or b"" for x in batch.columns[-1].to_pylist()], model)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out.astype("f8"))], names=[*batch.schema.names[:-1], name])
 
     given = docs.select(*[docs[c] for c in docs.columns if c != name], body.alias("\x00body")) if id_col is None else docs.select(F.col(id_col).alias("doc_id"), body.alias("\x00body"))

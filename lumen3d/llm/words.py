@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _libc = None
+
 #: A multiplier of the greatest order modulo 2 ** 64, and its inverse.
 BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -67,7 +75,13 @@ class Words:
         return np.searchsorted(newlines, self.starts) - np.searchsorted(newlines, self.bounds[:-1])[self.text]
 
 
-def by_size(batches, column: int, most_bytes: int = 1_000_000):
+def trim() -> None:
+    """Gives memory that has been freed back to the system, where the C library can: workers live on between tasks."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def by_size(batches, column: int, most_bytes: int = 500_000):
     """Record batches cut into slices whose texts hold at most so many bytes, or one text."""
     for batch in batches:
         if not batch.num_rows:
@@ -79,6 +93,7 @@ def by_size(batches, column: int, most_bytes: int = 1_000_000):
             stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
