@@ -10,20 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumen3d.functions.tables import small_batches
 from lumen3d.llm.common import broadcast_if_small, shared_table, whole_text
 from lumen3d.llm.words import Words, by_size, distinct_by_row, mixed, rows_as_lists
 
-#: Distinct words that a task counts at a time.
-COUNTED = 500_000
-#: Bits of an order key: the power of two that the token's count reaches, and the end of its hash.
+#: Bits of an order key: the power of two that its slot's count reaches, and the end of its hash.
 RANK_BITS, HASH_BITS = 5, 45
 KEY_BITS = RANK_BITS + HASH_BITS
 #: Lines that are sorted at once; a line's number fills the rest of 64 bits.
 MOST_LINES = 1 << (64 - KEY_BITS)
 ENTRY = np.dtype([("cls", "<i8"), ("m1", "<u8"), ("m2", "<u8"), ("token", "<i4"), ("n", "<i4"), ("place", "<i4"), ("wanted", "?")])
-#: Tokens whose counts are sent to every task, the most frequent ones, by slots of the start of their hash. All
-#: others are rarer and precede them.
-RANKED, SLOT_BITS = 65_536, 19
+#: Bits of the start of a hash that make a slot of the table of rarities, and the blocks that the table is summed in.
+SLOT_BITS, BLOCKS = 19, 512
 
 
 def line_words(bodies: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,36 +34,41 @@ def line_words(bodies: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndar
     return words, np.cumsum(new) - 1, words.text[firsts], line[firsts]
 
 
-def token_counts(rows: DataFrame) -> DataFrame:
-    """(token, n): occurrences of each token in all texts, summed up in each task before they move."""
+def rarity_table(rows: DataFrame) -> np.ndarray:
+    """The power of two that the occurrences of a slot's tokens reach, over all texts; a token's slot is the first SLOT_BITS of its hash.
 
-    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        tokens, place = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
-        return tokens, np.bincount(place, np.concatenate([n for _, n in parts]), len(tokens)).astype(np.int64)
+    Each task counts in one vector of all slots and sends it in blocks, which are added up one after another.
+    """
+    per_block = (1 << SLOT_BITS) // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        batch_of = lambda t, n: pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], names=["token", "n"])
+        seen = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in by_size(batches, 0):
-            parts.append(np.unique(Words(batch.column(0), lower=True).hashes, return_counts=True))
-            held += len(parts[-1][0])
-            if held > COUNTED:
-                parts = [summed(parts)]
-                held = len(parts[0][0])
-                if held > COUNTED // 2:
-                    yield batch_of(*parts[0])
-                    parts, held = [], 0
-        if parts:
-            yield batch_of(*summed(parts))
-
-    return rows.select("body").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
+            slots, n = np.unique(Words(batch.column(0), lower=True).hashes >> np.uint64(64 - SLOT_BITS), return_counts=True)
+            seen[slots.astype(np.int64)] += n
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS), pa.int64()), pa.array([x.tobytes() for x in seen.reshape(BLOCKS, per_block)], pa.binary())], names=["block", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(per_block, np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "n"])
+        for batch in batches:
+            for block, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield out()
+                    at, total = block, np.zeros(per_block, np.int64)
+                total = total + np.frombuffer(n, np.int64)
+        if at is not None:
+            yield out()
 
-def rarity_table(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The power of two that a token's count reaches, by the first SLOT_BITS of its hash; tokens that share a slot share the greatest."""
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
-    np.maximum.at(table, (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.minimum(np.log2(np.maximum(counts, 1)), (1 << RANK_BITS) - 1).astype(np.uint64))
-    return table
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = rows.select("body").mapInArrow(count, "block long, n binary").repartition(n, "block").sortWithinPartitions("block").mapInArrow(add, "block long, n binary")
+    table = np.zeros((BLOCKS, per_block), np.int64)
+    with small_batches(rows.sparkSession):
+        for block, n in sums.collect():  # BLOCKS rows at most
+            table[block] = np.frombuffer(n, np.int64)
+    return np.minimum(np.log2(np.maximum(table.ravel(), 1)), (1 << RANK_BITS) - 1).astype(np.uint64)
 
 
 def prefix_size(n, numerator: int, denominator: int):
@@ -125,7 +128,7 @@ def ordered_classes(lines: DataFrame) -> DataFrame:
 
 def dealt_entries(classes: DataFrame, buckets: int, only: np.ndarray | None) -> DataFrame:
     """(bucket, entries): the prefix tokens (of only, if given) of classes (cls, n, m1, m2, wanted, prefix), packed by a hash of the token."""
-    shared = None if only is None else classes.sparkSession.sparkContext.broadcast(only)
+    shared = None if only is None or not len(only) else classes.sparkSession.sparkContext.broadcast(only)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +138,8 @@ def dealt_entries(classes: DataFrame, buckets: int, only: np.ndarray | None) ->
             row = np.repeat(np.arange(len(cls)), sizes)
             token, place = lists.flatten().to_numpy(), np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             if shared is not None:
-                asked = np.isin(token, shared.value)
+                known = shared.value
+                asked = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
                 row, token, place = row[asked], token[asked], place[asked]
             bucket = mixed(token.astype(np.uint64)) % np.uint64(buckets)
             order = np.argsort(bucket)
@@ -292,9 +296,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _with_kept_lines(docs: DataFrame, id_col: str, text_col: str, threshold: Fraction, broadcast_rows: int) -> DataFrame:
     uid = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("body"))
-    top = token_counts(rows).where("n > 1").orderBy(F.desc("n"), "token").limit(RANKED).toPandas()
-    rarity = rarity_table(top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
-    classes = ordered_classes(line_sets(rows, rarity, threshold))
+    classes = ordered_classes(line_sets(rows, rarity_table(rows), threshold))
     stay = classes.join(later_matches(classes, rows, threshold, broadcast_rows), "cls", "left_anti").groupBy("uid").agg(F.collect_list("line").alias("stay"))
     # what goes is a fraction of the corpus; where it is small, texts need not move to meet it
     none = F.array().cast("array<int>")
