@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: str | None = None
+_held: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -50,9 +51,24 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
+    _held.append(path)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Deletes the shared tables that this driver has written, which otherwise go when it ends; results that are not written yet are lost with them."""
+    n = len(_held)
+    while _held:
+        path = _held.pop()
+        _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    return n
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df, a written table, marked for broadcasting if it holds at most so many rows."""
     return F.broadcast(df) if df.count() <= rows else df
