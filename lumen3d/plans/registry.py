@@ -56,7 +56,7 @@ def _(spark, d):
     return placed(spark, d).select("point_id", "pixel")
 
 
-@query("p4_pixel_to_geo", f"WITH {SPECTRA_SQL} SELECT pixel, row, col, col * {TRANSFORM[1]} + {TRANSFORM[0]} AS geo_x, {TRANSFORM[3]} + row * ({TRANSFORM[5]}) AS geo_y FROM hsi")
+@query("p4_pixel_to_geo", f"WITH {SPECTRA_SQL} SELECT pixel, row, col, CAST(col * {TRANSFORM[1]} + {TRANSFORM[0]} AS DOUBLE) AS geo_x, CAST({TRANSFORM[3]} + row * ({TRANSFORM[5]}) AS DOUBLE) AS geo_y FROM hsi")
 def _(spark, d):
     return grid.pixel_to_geo(spectra(spark, d).select("pixel", "row", "col"), GRID)
 
@@ -624,7 +624,7 @@ def _(spark, d):
     return rounded(pipelines.gamma_shown(raster.bands_long(spectra(spark, d), [20, 27, 17]), 0.5).select("pixel", "band", "shown"))
 
 
-@query("s9_column_major", "SELECT CAST(i % 30 AS INTEGER) AS row, CAST((i // 30) % 25 AS INTEGER) AS col, CAST(i // 750 AS INTEGER) AS band, i * 0.5 AS value FROM range(2250) t(i)")
+@query("s9_column_major", "SELECT CAST(i % 30 AS INTEGER) AS row, CAST((i // 30) % 25 AS INTEGER) AS col, CAST(i // 750 AS INTEGER) AS band, CAST(i * 0.5 AS DOUBLE) AS value FROM range(2250) t(i)")
 def _(spark, d):
     return tiff.column_major(spark.range(2250).select(F.col("id").alias("i"), (F.col("id") * 0.5).alias("value")), 30, 25)
 
