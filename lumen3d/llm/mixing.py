@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumen3d.llm.common import WORD, shared_table, whole_text
+from lumen3d.llm.common import WORD, broadcast_if_small, shared_table, whole_text
 
 #: Hex digits of an MD5 digest that make a non-negative 60-bit integer.
 DIGITS = 15
@@ -45,14 +45,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = 0, rows_per_slice: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = 0, rows_per_slice: int = 20_000, draws: int = 16, broadcast_rows: int = 1_000_000
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     A document's expected copies are its source's target over its source's size. Their prefix sums within the
-    source, in order of size class and then of a hash of the identifier, get one offset drawn from the seed and
-    the source; a document comes once for each integer that its interval crosses. Order by size makes each
-    source's taken words differ from its target by about one long document at most. The prefix sums come from
+    source, in order of size class and then of a hash of the identifier, get one random offset; a document comes
+    once for each integer that its interval crosses. Order by size makes each source's taken words differ from its
+    target by about one long document at most, and of `draws` offsets, drawn from the seed and the source, each
+    source takes the one that comes nearest to its target. The prefix sums come from
     counts: per class of a source, per hash slice of a class and per row of a slice, so no source is ever in one
     task. Slices double in number with the rows; the order, and so the result, does not depend on them.
 
@@ -77,13 +78,21 @@ def mix_sources(
     classes = slices.groupBy(*SOURCE, "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     targets = source_targets(classes.groupBy(*SOURCE).agg(F.sum("words").alias("source_size")), weights, cap)
     up_to = lambda w: F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    starts = classes.select(*SOURCE, "class", up_to(W.partitionBy(*SOURCE).orderBy("class")).alias("class_start")).join(targets, list(SOURCE))
+    starts = classes.select(*SOURCE, "class", up_to(W.partitionBy(*SOURCE).orderBy("class")).alias("class_start"))
     places = slices.select(*SOURCE, "class", "slice", up_to(W.partitionBy(*SOURCE, "class").orderBy("slice")).alias("slice_start")).join(starts, [*SOURCE, "class"])
     key = [*SOURCE, "class", "slice"]
     rank = F.col("class_start") + F.col("slice_start") + F.row_number().over(W.partitionBy(*key).orderBy("h", "id", "size"))
-    offset = digest(F.concat(F.lit(f"{seed}:"), F.col("named").cast("string"), F.lit(":"), F.col("name"))) / F.lit(float(1 << 4 * DIGITS))
-    rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    crossed = lambda k: F.floor(k * F.col("rate") + F.col("offset"))
-    copies = F.least(crossed(F.col("rank")) - crossed(F.col("rank") - 1), F.lit(cap)).cast("long")
-    found = rows.join(places, key).withColumns({"rank": rank, "rate": rate, "offset": offset}).withColumn("copies", copies)
+    ranks = shared_table(rows.join(places, key).select("id", *SOURCE, "size", rank.alias("rank")), "mixing-ranks")
+    draw = lambda k: digest(F.concat(F.lit(f"{seed}:{k}:"), F.col("named").cast("string"), F.lit(":"), F.col("name"))) / F.lit(float(1 << 4 * DIGITS))
+    sources = shared_table(targets.select(*SOURCE, "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate"), F.array(*[draw(k) for k in range(draws)]).alias("offsets")), "mixing-sources")
+
+    def copies(offset: Column) -> Column:
+        crossed = lambda k: F.floor(k * F.col("rate") + offset)
+        return F.least(crossed(F.col("rank")) - crossed(F.col("rank") - 1), F.lit(cap)).cast("long")
+
+    taken = [F.sum(F.col("size") * copies(F.element_at("offsets", k + 1))).alias(f"taken_{k}") for k in range(draws)]
+    gaps = F.array(*[F.struct(F.abs(F.col(f"taken_{k}") - F.col("target")).alias("gap"), F.lit(k).alias("k")) for k in range(draws)])
+    tried = ranks.join(broadcast_if_small(sources, broadcast_rows), list(SOURCE)).groupBy(*SOURCE).agg(*taken)
+    chosen = tried.join(sources, list(SOURCE)).select(*SOURCE, "source_size", "target", "rate", F.element_at("offsets", F.array_min(gaps)["k"] + 1).alias("offset"))
+    found = ranks.join(broadcast_if_small(shared_table(chosen, "mixing-offsets"), broadcast_rows), list(SOURCE)).withColumn("copies", copies(F.col("offset")))
     return found.select(F.col("id").alias("doc_id"), F.when(F.col("named"), F.col("name")).alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

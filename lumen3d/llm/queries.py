@@ -116,14 +116,21 @@ w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LA
 l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-g AS (
-  SELECT source, source_size, least(most, max(level) OVER () * weight) AS target,
-         CAST('0x' || substr(md5('0:' || CASE WHEN source IS NULL THEN 'false:' ELSE 'true:' || source END), 1, {DIGITS}) AS BIGINT) / {1 << 4 * DIGITS}.0::DOUBLE AS u FROM l),
+g AS (SELECT source, source_size, least(most, max(level) OVER () * weight) AS target FROM l),
 r AS (
-  SELECT t.*, source_size, target, u, coalesce(target / nullif(source_size, 0), 0.0) AS rate,
+  SELECT t.*, source_size, target, coalesce(target / nullif(source_size, 0), 0.0) AS rate,
          row_number() OVER (PARTITION BY t.source ORDER BY length(bin(size)) * 64 + (size >> greatest(length(bin(size)) - 6, 0)), h, doc_id, size) AS k
-  FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(size * least(floor(k * rate + u) - floor((k - 1) * rate + u), 3) AS BIGINT) AS taken FROM r
+  FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+d AS (
+  SELECT source, j, CAST('0x' || substr(md5('0:' || j || ':' || CASE WHEN source IS NULL THEN 'false:' ELSE 'true:' || source END), 1, {DIGITS}) AS BIGINT) / {1 << 4 * DIGITS}.0::DOUBLE AS u
+  FROM g, range(16) x(j)),
+c AS (
+  SELECT r.*, j, u, CAST(size * least(floor(k * rate + u) - floor((k - 1) * rate + u), 3) AS BIGINT) AS taken
+  FROM r JOIN d ON r.source IS NOT DISTINCT FROM d.source),
+b AS (
+  SELECT source, min({{'gap': gap, 'j': j}}).j AS j
+  FROM (SELECT source, j, abs(sum(taken) - min(target)) AS gap FROM c GROUP BY source, j) GROUP BY source)
+SELECT doc_id, size, source_size, target, taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.j = b.j
 """,
     "op9_secrets": _secrets_oracle(),
 }
