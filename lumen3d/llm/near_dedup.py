@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = shared_table(first.select("cls", "f.*"), "near-classes")
     entries = shared_buckets(classes)
     spark = docs.sparkSession
-    links, tested = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
+    tested = spark.createDataFrame([], "a long, b long")
     components = spark.createDataFrame([], "node long, component long")
     for every, reach in ((False, REACH), (False, None), (False, None), (True, None)):
         known = components.select(F.col("node").alias("cls"), F.col("component").alias("comp"))
@@ -268,8 +268,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             continue
         judged = verified(pairs, classes, rows, width, limit, broadcast_rows)
         tested = tested.union(judged.select("a", "b"))
-        links = links.union(judged.where("similar").select("a", "b"))
-        components = shared_table(component_ids(links), "near-components")
+        links = judged.where("similar").select("a", "b")
+        if not links.isEmpty():
+            stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = shared_table(component_ids(stars.union(links)), "near-components")
     smallest = classes.select("cls", "id").join(components.withColumnRenamed("node", "cls"), "cls").groupBy("component").agg(F.when(F.max(F.col("id").isNull().cast("int")) == 0, F.min("id")).alias("component_id"))
     of_class = classes.select("cls", "id").join(components.withColumnRenamed("node", "cls"), "cls", "left").join(smallest, "component", "left").select("cls", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     out = every_row.select("id", "n", "cls").join(of_class, "cls", "left")
