@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumen3d.functions.tables import shared_table
 from lumen3d.operators.grid import along_light, bounding_box
 from lumen3d.operators.knn import k_nearest
 
@@ -118,6 +119,18 @@ def gathered(points: DataFrame, indices: DataFrame) -> DataFrame:
     return indices.select("ordinal", "point_id").join(points, "point_id")
 
 
+def ranked(points: DataFrame, order: list[str]) -> DataFrame:
+    """points with place, their number from 0 in an order without ties.
+
+    Each part of a range partitioning numbers its own rows; only the parts' sizes, one row each, meet in one task.
+    """
+    rows = shared_table(points.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked-parts")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return rows.join(F.broadcast(starts), "_part").withColumn("place", (F.col("_start") + own - 1).cast("long")).drop("_part", "_start")
+
+
 def united(first: DataFrame, second: DataFrame) -> DataFrame:
     """All points of both; columns that only one has are dropped."""
     both = [c for c in first.columns if c in second.columns]

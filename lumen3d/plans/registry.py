@@ -473,10 +473,13 @@ def _(spark, d):
 
 @query("o1_sorted", f"WITH {EVENTS_SQL} SELECT point_id, row_number() OVER (ORDER BY y, x, point_id) - 1 AS place FROM ev WHERE label = 3")
 def _(spark, d):
-    from pyspark.sql import Window as W
-
     t = event_points(spark, d).where("label = 3")
-    return t.select("point_id", (F.row_number().over(W.orderBy("y", "x", "point_id")) - 1).cast("long").alias("place"))
+    return segments.ranked(t.select("point_id", "y", "x"), ["y", "x", "point_id"]).select("point_id", "place")
+
+
+@query("o1_sorted_cloud", f"WITH {EVENTS_SQL} SELECT point_id, row_number() OVER (ORDER BY y, x, point_id) - 1 AS place FROM ev")
+def _(spark, d):
+    return segments.ranked(event_points(spark, d).select("point_id", "y", "x"), ["y", "x", "point_id"]).select("point_id", "place")
 
 
 @query("u1_united", f"WITH {EVENTS_SQL} SELECT point_id, x, y, z FROM ev UNION ALL SELECT point_id, x, y, z FROM ev WHERE label < 3")

@@ -7,3 +7,11 @@ from lumen3d.plans.registry import QUERIES
 def test_fusion_takes_the_whole_cloud(spark, sf_dir):
     got = QUERIES["g6_fusion_supervoxels"](spark, sf_dir).toPandas()
     assert sorted(got["point_id"]) == sorted(r[0] for r in event_points(spark, sf_dir).select("point_id").collect())
+
+
+def test_order_takes_the_whole_cloud_without_a_global_window(spark, sf_dir):
+    got = QUERIES["o1_sorted_cloud"](spark, sf_dir)
+    points = event_points(spark, sf_dir).select("y", "x", "point_id").collect()
+    assert [tuple(r) for r in got.orderBy("place").collect()] == [(r[2], i) for i, r in enumerate(sorted(points))]
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in x]
+    assert windows and all("_part" in x for x in windows)
