@@ -277,6 +277,13 @@ def _(spark, d):
     return segments.held_in_boxes(grid.bounding_box(t, ["pixel"]).withColumnRenamed("pixel", "label"), boxes)
 
 
+@query("j12_held_in_class_boxes", f"WITH {PLACED_SQL}, bx AS (SELECT label, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM pt WHERE num_returns = 1 GROUP BY label), sg AS (SELECT pixel AS label, (min(x) + max(x)) * 0.5 AS cx, (min(y) + max(y)) * 0.5 AS cy FROM pt GROUP BY pixel) SELECT DISTINCT sg.label FROM sg JOIN bx ON cx > x1 - 0.5 AND cx < x2 + 0.5 AND cy > y1 - 0.5 AND cy < y2 + 0.5")
+def _(spark, d):
+    t = placed(spark, d)
+    boxes = grid.bounding_box(t.where("num_returns = 1"), ["label"])
+    return segments.held_in_boxes(grid.bounding_box(t, ["pixel"]).withColumnRenamed("pixel", "label"), boxes)
+
+
 @query("j14_spectral_links", f"WITH {SPECTRA_SQL}, n AS (SELECT pixel, row, col, bands, sqrt(list_sum([v * v FOR v IN bands])) AS len FROM hsi), u AS (SELECT pixel, row, col, [v / len FOR v IN bands] AS u FROM n) SELECT a.pixel AS a, b.pixel AS b, round(acos(greatest(least(list_inner_product(a.u, b.u), 1.0), -1.0)), 4) AS w FROM u a JOIN u b ON (b.row - a.row, b.col - a.col) IN ((0, 1), (1, 0), (1, 1), (-1, 1))")
 def _(spark, d):
     return raster.spectral_links(spectra(spark, d)).select("a", "b", F.round(F.col("w").cast("double"), 4).alias("w"))
@@ -488,6 +495,12 @@ def _(spark, d):
     return segments.united(t.select("point_id", "x", "y", "z", "r"), t.where("label < 3").select("point_id", "x", "y", "z", "nz"))
 
 
+@query("u1_united_clouds", f"WITH {EVENTS_SQL} SELECT point_id, x, y, z FROM ev UNION ALL SELECT point_id, x, y, z FROM ev")
+def _(spark, d):
+    t = event_points(spark, d)
+    return segments.united(t.select("point_id", "x", "y", "z", "r"), t.select("point_id", "x", "y", "z", "nz"))
+
+
 @query("u2_offset_labels", f"WITH {EVENTS_SQL} SELECT point_id, label FROM ev WHERE num_returns = 1 UNION ALL SELECT point_id, CAST(label + (SELECT max(label) + 1 FROM ev WHERE num_returns = 1) AS INTEGER) FROM ev WHERE num_returns = 2 UNION ALL SELECT point_id, CAST(label + (SELECT max(label) + 1 FROM ev WHERE num_returns = 1) + (SELECT max(label) + 1 FROM ev WHERE num_returns = 2) AS INTEGER) FROM ev WHERE num_returns = 3")
 def _(spark, d):
     t = event_points(spark, d).select("point_id", "label", "num_returns")
