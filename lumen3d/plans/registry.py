@@ -222,6 +222,11 @@ def _(spark, d):
     return knn.inliers(event_points(spark, d), 10, 2.0)
 
 
+@query("f8_inliers_50", f"WITH {EVENTS_SQL}, m AS (SELECT a.point_id AS query_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM ev a, ev b), k AS (SELECT query_id AS point_id, list_avg(min(d, 50)) AS mean FROM m GROUP BY query_id) SELECT point_id FROM k WHERE mean < (SELECT avg(mean) + 2 * stddev_samp(mean) FROM k)")
+def _(spark, d):
+    return knn.inliers(event_points(spark, d), 50, 2.0)
+
+
 _NEAR = "m AS (SELECT a.point_id AS query_id, b.point_id AS nbr_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM ev a JOIN ev b ON abs(a.x - b.x) < 1.5 AND abs(a.y - b.y) < 1.5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, nbr_id) AS rank FROM m WHERE d2 < 2.25), nn AS (SELECT * FROM r WHERE rank <= 5)"
 
 
@@ -533,7 +538,7 @@ def _(spark, d):
 
 @query("g12_occluded")
 def _(spark, d):
-    return segments.occluded(placed(spark, d).withColumn("label", F.col("pixel")), LIGHT, 0.5, 0.5, 10)
+    return segments.occluded(placed(spark, d).withColumn("label", F.col("pixel")), LIGHT, 0.5, 0.5)
 
 
 @query("l1_inpainted")
@@ -568,7 +573,7 @@ def _(spark, d):
 @query("g11_merged_classes")
 def _(spark, d):
     t = placed(spark, d)
-    return merging.merged_classes(t.drop("label").withColumnRenamed("seg", "label").withColumn("voxel", F.col("pixel")), 1.0, 12)
+    return merging.merged_classes(t.drop("label").withColumnRenamed("seg", "label").withColumn("voxel", F.col("pixel")), 1.0)
 
 
 @query("g14_clustered_superpixels")
@@ -607,12 +612,12 @@ def _(spark, d):
 
 @query("c5_graph_supervoxels")
 def _(spark, d):
-    return pipelines.graph_supervoxels(event_points(spark, d), 0.6, 20, 8, radius=3.0).select("point_id", "label")
+    return pipelines.graph_supervoxels(event_points(spark, d), 0.6, 20, radius=3.0).select("point_id", "label")
 
 
 @query("c6_buildings_and_trees")
 def _(spark, d):
-    return pipelines.buildings_and_trees(event_points(spark, d), 5.0, 0.6, 20, 0.66, 8)
+    return pipelines.buildings_and_trees(event_points(spark, d), 5.0, 0.6, 20, 0.66)
 
 
 @query("c7_surface_superpixels")
@@ -632,7 +637,7 @@ def _(spark, d):
 
 @query("c12_reflectance")
 def _(spark, d):
-    return rounded(pipelines.reflectance(event_points(spark, d), spectra(spark, d), GRID, LIGHT, 15.0, 0.2, 10), 4)
+    return rounded(pipelines.reflectance(event_points(spark, d), spectra(spark, d), GRID, LIGHT, 15.0, 0.2), 4)
 
 
 @query("c15_gamma_shown", f"WITH {SPECTRA_SQL}, {_STRETCH} SELECT pixel, CAST(l.band AS INTEGER) AS band, round(pow((value - lo) / (hi - lo), 0.5), 6) AS shown FROM l JOIN e ON e.band = l.band")

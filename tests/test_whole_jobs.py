@@ -1,8 +1,9 @@
 """Registered queries cover all rows of their tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from lumen3d.operators import grid
+from lumen3d.operators import grid, knn, merging, segments
 from lumen3d.plans.fixtures import GRID, event_points
 from lumen3d.plans.registry import QUERIES
 
@@ -27,3 +28,21 @@ def test_boxes_and_unions_take_whole_clouds(spark, sf_dir):
     held = {p for p, x, y in cells if any(b[1] - 0.5 < x < b[2] + 0.5 and b[3] - 0.5 < y < b[4] + 0.5 for b in boxes)}
     assert {r["label"] for r in QUERIES["j12_held_in_class_boxes"](spark, sf_dir).collect()} == held
     assert QUERIES["u1_united_clouds"](spark, sf_dir).count() == 2 * points.count()
+
+
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name, count", [("g12_occluded", 50), ("f8_inliers_50", 50), ("c5_graph_supervoxels", 50), ("c6_buildings_and_trees", 50), ("c12_reflectance", 50), ("g11_merged_classes", 60)])
+def test_neighbour_counts_are_those_of_the_reference(spark, sf_dir, monkeypatch, name, count):
+    def asked(*given, k=None, **_):
+        raise Asked(k or given[2])
+
+    for module in (knn, merging, segments):
+        for f in ("k_nearest", "search"):
+            if hasattr(module, f):
+                monkeypatch.setattr(module, f, asked)
+    with pytest.raises(Asked) as found:
+        QUERIES[name](spark, sf_dir)
+    assert found.value.args == (count,)
