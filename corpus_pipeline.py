@@ -30,7 +30,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on shingles of five words: the one with the smallest doc_id."""
+    """One document of each group of near copies, on shingles of five words: the one with the smallest doc_id.
+
+    Where doc_ids repeat or are null, rows are numbered in the order of doc_id and text first, and go by that number.
+    """
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        order = ["doc_id", F.xxhash64("text")]
+        rows = shared_table(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+        left = shared_table(near_duplicates(rows, id_col="_row", width=5, threshold=0.8).where("not kept").select(F.col("doc_id").alias("_row")), "dropped-rows")
+        return rows.join(broadcast_if_small(left, BROADCAST_ROWS), "_row", "left_anti").select(*docs.columns)
     dropped = shared_table(near_duplicates(docs, width=5, threshold=0.8).where("not kept").select("doc_id").distinct(), "dropped-copies")
     return docs.join(broadcast_if_small(dropped, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
 
