@@ -137,9 +137,11 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, seed: int = 0) -> Network:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, seed: int = 0, chunks_per_text: int = 12) -> Network:
     """A network fitted on at most sample_rows labelled rows, half of each class where there are as many, by a hash of the identifier.
 
+    An epoch learns from chunks_per_text chunks of a text, as train() deals them; of very long texts some are never seen.
+
     Identifiers whose CRC-32 leaves 2 by 4 are held out. Null identifiers and labels are left out; null texts
     count as empty. Without labelled rows the network is an untrained one.
     """
@@ -153,7 +155,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = sorted((draw, i, bytes(body), label) for draw, i, body, label in found.select(draw, "id", F.col("body").cast("binary"), "label").collect())
     if not rows:
         return Network.fresh(seed)
-    return train([r[2] for r in rows], np.array([r[3] for r in rows], "f4"), seed)
+    return train([r[2] for r in rows], np.array([r[3] for r in rows], "f4"), seed, chunks_per_text=chunks_per_text)
 
 
 def score_quality(docs: DataFrame, network: Network, id_col: str | None = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:

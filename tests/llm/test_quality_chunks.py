@@ -1,0 +1,9 @@
+from lumen3d.llm import quality
+
+
+def test_fitting_passes_the_chunks_of_a_text_on(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some text") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "train", lambda texts, known, seed, chunks_per_text: chunks_per_text)
+    assert quality.fit_quality(docs, labels, chunks_per_text=1000) == 1000
+    assert quality.fit_quality(docs, labels) == 12
