@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
+
+#: Tables that take more in memory are joined by shuffling, however few their rows.
+BROADCAST_BYTES = 32 << 20
 
 _own_root: str | None = None
 _held: list[str] = []
@@ -31,18 +37,24 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of at most so many rows meanwhile: rows may hold long texts, and a batch is held whole on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if 0 < int(before) <= rows:
-        yield
-        return
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 8 << 20):
+    """Arrow batches of at most so many rows and bytes, or one row, meanwhile: rows may hold long texts, and a batch is held whole on both sides."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": most_bytes}
+    before = {name: spark.conf.get(name) for name in wanted}
+    lower = {name: str(most) for name, most in wanted.items() if not 0 < _in_bytes(before[name]) <= most}
+    for name, most in lower.items():
+        spark.conf.set(name, most)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name in lower:
+            spark.conf.set(name, before[name])
+
+
+def _in_bytes(setting: str) -> int:
+    """A setting's number, which may end with a unit of bytes."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", setting.strip().lower()).groups()
+    return int(number) << 10 * ("bkmgt".index(unit[0]) if unit else 0)
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +72,16 @@ def _file_system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def finished_table(df: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """shared_table of what df() gives; the shared tables that were written for it are deleted."""
+    before = len(_held)
+    done = shared_table(df(), name)
+    for path in _held[before:-1]:
+        _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    del _held[before:-1]
+    return done
+
+
 def release_tables(spark: SparkSession) -> int:
     """Deletes the shared tables that this driver has written, which otherwise go when it ends; results that are not written yet are lost with them."""
     n = len(_held)
@@ -69,6 +91,30 @@ def release_tables(spark: SparkSession) -> int:
     return n
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df, a written table, marked for broadcasting if it holds at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(column: Column, kind: DataType) -> Column:
+    """About the bytes that a value takes in memory."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        each = kind.elementType
+        if isinstance(each, (StringType, BinaryType, ArrayType, MapType, StructType)):
+            return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(16).cast("long"), lambda total, x: total + _width(x, each).cast("long"))
+        return F.greatest(F.size(column), F.lit(0)) * 8 + 16
+    if isinstance(kind, MapType):
+        return _width(F.map_keys(column), ArrayType(kind.keyType)) + _width(F.map_values(column), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows of a table, and about the bytes that they take in memory."""
+    per_row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16)).cast("long")
+    rows, held = df.agg(F.count("*"), F.sum(per_row)).first()
+    return rows, held or 0
+
+
+def broadcast_if_small(df: DataFrame, rows: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a written table, marked for broadcasting if it holds at most so many rows and bytes; a row may hold arrays of any length."""
+    n, held = size_of(df)
+    return F.broadcast(df) if n <= rows and held <= most_bytes else df
