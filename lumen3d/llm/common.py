@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumen3d.functions.tables import broadcast_if_small, shared_root, shared_table
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "broadcast_if_small", "read", "shared_root", "shared_table", "whole_text"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "broadcast_if_small", "read", "row_key", "shared_root", "shared_table", "whole_text"]
 
 #: Words are runs of anything but these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,5 +24,11 @@ def whole_text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that name a row's identifier and text; a null differs from every value."""
+    known = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.when(F.col(text_col).isNull(), "null").otherwise("text"), F.lit(":"))
+    return F.unhex(F.md5(F.concat(known, whole_text(text_col)).cast("binary")))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

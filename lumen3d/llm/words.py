@@ -21,6 +21,10 @@ _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _AS_IS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWERED = _AS_IS[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
 
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: Of a run of up to eight bytes, those that count in a 64-bit word.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -45,7 +49,7 @@ class Words:
         base, size = (int(offsets[0]), int(offsets[-1] - offsets[0])) if len(column) else (0, 0)
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[base : base + size] if size else np.zeros(0, np.uint8)
         self.bounds = offsets - base
-        self.data = data
+        self.data, self._lower = data, lower
         space = np.ones(size + 2, bool)
         space[1:-1] = _IS_SPACE[data]
         begins = ~space[1:] & space[:-1]
@@ -65,6 +69,19 @@ class Words:
         """Hashes of runs of bytes."""
         return mixed((self._sums[ends] - self._sums[starts]) * self._inverses[starts] + (ends - starts).astype(np.uint64))
 
+    def checks(self) -> np.ndarray:
+        """64 more bits of each word, of its length and its first and last eight bytes.
+
+        Words of up to sixteen bytes are told apart by these alone, longer ones by hash and these together.
+        """
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = _LOWER[self.data] if self._lower else self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        n = self.ends - self.starts
+        short = np.minimum(n, 8)
+        first, last = eight[self.starts] & _FIRST_BYTES[short], eight[self.ends - short] & _FIRST_BYTES[short]
+        return mixed(mixed(first + np.uint64(0x9E3779B97F4A7C15) * n.astype(np.uint64)) ^ (last * np.uint64(0xD1B54A32D192ED03)))
+
     def counts(self) -> np.ndarray:
         """Words of each text."""
         return np.bincount(self.text, minlength=len(self.bounds) - 1)
