@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen3d.functions.tables import small_batches
-from lumen3d.llm.common import broadcast_if_small, shared_table, whole_text
+from lumen3d.llm.common import broadcast_if_small, row_key, shared_table, whole_text
 from lumen3d.llm.words import Words, by_size, distinct_by_row, mixed, rows_as_lists
 
-#: Bits of an order key: the power of two that its slot's count reaches, and the end of its hash.
+#: Bits of an order key: the power of two that its slot's count reaches, and the start of its hash.
 RANK_BITS, HASH_BITS = 5, 45
 KEY_BITS = RANK_BITS + HASH_BITS
 #: Lines that are sorted at once; a line's number fills the rest of 64 bits.
@@ -76,10 +76,23 @@ def prefix_size(n, numerator: int, denominator: int):
     return n - (n * numerator + denominator - 1) // denominator + 1
 
 
+def distinct_tokens(keys: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words with order keys (line, rank, start of the hash): lines, hashes and mixed checks of each line's distinct words, by line, rank and whole hash."""
+    order = np.argsort(keys)
+    sorted_keys, sorted_hashes = keys[order], hashes[order]
+    if ((sorted_keys[1:] == sorted_keys[:-1]) & (sorted_hashes[1:] != sorted_hashes[:-1])).any():  # keys hold a part of the hash
+        order = np.lexsort((hashes, keys))
+        sorted_keys, sorted_hashes = keys[order], hashes[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (sorted_keys[1:] != sorted_keys[:-1]) | (sorted_hashes[1:] != sorted_hashes[:-1])
+    order = order[first]
+    return (keys[order] >> np.uint64(KEY_BITS)).astype(np.int64), hashes[order], mixed(checks[order] + hashes[order])
+
+
 def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: Fraction) -> DataFrame:
     """Of each line with words: id, uid, line, a 128-bit digest of its token set, the set's size, a parity bitmap and its prefix by rarity.
 
-    A bit of the bitmap says whether an odd number of tokens hash to it; two bitmaps differ in no more bits than
+    The digest sums up two values of 64 bits for each token: its hash, and one of its length and outer bytes. A bit of the bitmap says whether an odd number of tokens hash to it; two bitmaps differ in no more bits than
     their sets differ in tokens. Prefixes hold 32 bits of their tokens, which can only add candidates.
     """
     shared = rows.sparkSession.sparkContext.broadcast(rarity)
@@ -89,22 +102,19 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: Fraction) -> DataF
         table = shared.value
         for batch in by_size(batches, 2):
             words, line_of, texts, numbers = line_words(batch.column(2))
-            every = (table[(words.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] << np.uint64(HASH_BITS)) | (words.hashes & np.uint64((1 << HASH_BITS) - 1))
+            checks = words.checks()
+            order_key = (table[(words.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] << np.uint64(HASH_BITS)) | (words.hashes >> np.uint64(64 - HASH_BITS))
             for at in range(0, len(texts), MOST_LINES):
                 n = min(MOST_LINES, len(texts) - at)
                 a, b = np.searchsorted(line_of, [at, at + n])
-                keys = every[a:b] | ((line_of[a:b] - at).astype(np.uint64) << np.uint64(KEY_BITS))
-                keys.sort()
-                keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-                row = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
+                row, hashes, spread = distinct_tokens(order_key[a:b] | ((line_of[a:b] - at).astype(np.uint64) << np.uint64(KEY_BITS)), words.hashes[a:b], checks[a:b])
                 firsts = np.searchsorted(row, np.arange(n))
                 sizes = np.diff(np.append(firsts, len(row)))
-                spread = mixed(keys & np.uint64((1 << HASH_BITS) - 1))
-                digest = [np.add.reduceat(x, firsts) for x in (spread, mixed(spread + np.uint64(1)))]
+                digest = [np.add.reduceat(x, firsts) for x in (mixed(hashes), spread)]
                 bit, second = np.uint64(1) << (spread & np.uint64(63)), (spread & np.uint64(64)) > 0
                 maps = [np.bitwise_xor.reduceat(np.where(second == h, bit, np.uint64(0)), firsts) for h in (False, True)]
                 kept = np.arange(len(row)) - firsts[row] < prefix_size(sizes, p, q)[row]
-                tokens = (keys[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                tokens = (hashes[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[kept], np.arange(n + 1)).astype(np.int32)), pa.array(tokens))
                 pick = lambda c, i=texts[at : at + n], b=batch: b.column(c).take(pa.array(i))
                 yield pa.RecordBatch.from_arrays(
@@ -112,7 +122,7 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: Fraction) -> DataF
                     names=["id", "uid", "line", "h1", "h2", "n", "m1", "m2", "prefix"],
                 )
 
-    return rows.select("uid", "id", "body").mapInArrow(sets, "id long, uid long, line int, h1 long, h2 long, n int, m1 long, m2 long, prefix array<int>")
+    return rows.select("uid", "id", "body").mapInArrow(sets, "id long, uid binary, line int, h1 long, h2 long, n int, m1 long, m2 long, prefix array<int>")
 
 
 def ordered_classes(lines: DataFrame) -> DataFrame:
@@ -121,7 +131,7 @@ def ordered_classes(lines: DataFrame) -> DataFrame:
     Equal sets are summed up where they are before they move. The numbers follow from a range-partitioned sort
     and hold once the table is written.
     """
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "uid", "line", "n", "m1", "m2", "prefix")).alias("f")).select("f.*")
+    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "uid", "line", "m1", "m2", "prefix")).alias("f")).select("n", "f.*")
     n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return shared_table(first.repartitionByRange(n, "id", "uid", "line").sortWithinPartitions("id", "uid", "line").withColumn("cls", F.monotonically_increasing_id()), "line-classes")
 
@@ -225,7 +235,7 @@ def meetings(classes: DataFrame, threshold: Fraction, every: bool, only: np.ndar
         if held:
             yield out()
 
-    n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)  # a task's buckets do not grow in number with the corpus
     met = dealt_entries(classes, buckets, only).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, more boolean")
     return met.groupBy("a", "b").agg(F.max("more").alias("more"))
 
@@ -294,7 +304,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _with_kept_lines(docs: DataFrame, id_col: str, text_col: str, threshold: Fraction, broadcast_rows: int) -> DataFrame:
-    uid = F.xxhash64(F.col(id_col), F.col(text_col))
+    uid = row_key(id_col, text_col)
     rows = docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("body"))
     classes = ordered_classes(line_sets(rows, rarity_table(rows), threshold))
     stay = classes.join(later_matches(classes, rows, threshold, broadcast_rows), "cls", "left_anti").groupBy("uid").agg(F.collect_list("line").alias("stay"))
@@ -306,7 +316,7 @@ def _with_kept_lines(docs: DataFrame, id_col: str, text_col: str, threshold: Fra
     gone = broadcast_if_small(shared_table(gone, "lines-gone").withColumnRenamed("uid", "_uid"), broadcast_rows)
     plain = docs.drop("n_lines", "n_removed_lines")
     names = {c: f"_c{i}" for i, c in enumerate(plain.columns)}
-    safe = plain.select(*[plain[c].alias(n) for c, n in names.items()], F.xxhash64(plain[id_col], plain[text_col]).alias("_uid"), F.split(whole_text(text_col), "\n", -1).alias("_lines"))
+    safe = plain.select(*[plain[c].alias(n) for c, n in names.items()], uid.alias("_uid"), F.split(whole_text(text_col), "\n", -1).alias("_lines"))
     removed = F.coalesce("_gone", none)
     kept = F.filter("_lines", lambda x, i: ~F.array_contains(removed, i))
     found = safe.join(gone, "_uid", "left")
