@@ -27,7 +27,7 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 def principal_axes(vectors: DataFrame, sample_rows: int) -> np.ndarray:
     """(size, DIMS): leading axes of at most sample_rows unit vectors, taken by a hash of the class."""
-    sample = vectors.orderBy(F.xxhash64("cls"), "cls").limit(sample_rows).select("vector").toPandas()["vector"]
+    sample = vectors.orderBy(F.xxhash64("digest"), "digest").limit(sample_rows).select("vector").toPandas()["vector"]
     if not len(sample):
         return np.zeros((0, DIMS))
     size = max(len(v) for v in sample)
@@ -148,11 +148,12 @@ def linked(pairs: DataFrame, threshold: float) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = [np.array(row[f"{s}_ids"], np.int64) for s in "ab"]
-                copies = [np.array(row[f"{s}_copies"], np.int64) for s in "ab"]
-                left, right = (np.frombuffer(row[f"{s}_matrix"], np.float64).reshape(len(i), -1) for s, i in zip("ab", ids, strict=True))
-                same = row["a_part"] == row["b_part"] and row["a_block"] == row["b_block"]
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for row in range(batch.num_rows):  # matrices stay where Arrow has them
+                ids = [column[f"{s}_ids"][row].values.to_numpy() for s in "ab"]
+                copies = [column[f"{s}_copies"][row].values.to_numpy() for s in "ab"]
+                left, right = (np.frombuffer(column[f"{s}_matrix"][row].as_buffer(), np.float64).reshape(len(i), -1) for s, i in zip("ab", ids, strict=True))
+                same = all(column[f"a_{of}"][row].as_py() == column[f"b_{of}"][row].as_py() for of in ("part", "block"))
                 hit = (left @ right.T) / (np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None]) >= threshold
                 if same:
                     np.fill_diagonal(hit, False)
@@ -185,7 +186,7 @@ def near_vectors(
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do those whose
     label is null; label_col None compares all with all. Vectors of different lengths never link. A null
     identifier is its own component, null, and is kept. Rows that repeat an identifier count as vectors of their
-    own, and are kept or dropped together. An empty table gives no rows. Other columns are ignored, whatever
+    own, with links and components of their own. An empty table gives no rows. Other columns are ignored, whatever
     their names.
     """
     label = F.lit("") if label_col is None else F.col(label_col).cast("string")
@@ -196,14 +197,16 @@ def near_vectors(
         rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))).select("id", "label", "usable", F.when(F.col("usable"), F.col("vector")).alias("vector"), F.when(F.col("usable"), F.md5(F.to_json(F.struct("vector")).cast("binary"))).alias("digest")),
         "vectors",
     )
-    classes = shared_table(keyed.where("usable").groupBy("label", "digest").agg(F.min("id").alias("cls"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "vector-classes")
+    equal = keyed.where("usable").groupBy("label", "digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    # classes go by numbers, which hold once the table is written: several may have one smallest identifier
+    classes = shared_table(equal.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     distinct = classes.select("cls", "label", F.size("vector").alias("size"), "copies", "vector")
     n = distinct.count()
     parts = max(1, -(-n // rows_per_part))
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     cells = [F.floor(F.col(f"p{i}") / epsilon).alias(f"c{i}") if epsilon else F.col(f"p{i}").alias(f"c{i}") for i in range(DIMS)]
     order = ["label", "size", *[f"c{i}" for i in range(DIMS)], "p0", "cls"]
-    ordered = projected(distinct, principal_axes(distinct, sample_rows)).select("*", *cells).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ordered = projected(distinct, principal_axes(classes.select("digest", "vector"), sample_rows)).select("*", *cells).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     blocks = shared_table(in_blocks(ordered, rows_per_block), "vector-blocks")
     parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
     pairs = block_pairs(blocks, parts, epsilon)
@@ -212,7 +215,9 @@ def near_vectors(
     found = shared_table(linked(work, threshold), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     components = component_ids(found.where("b is not null")).withColumnRenamed("node", "cls")
-    named = classes.select("label", "digest", "cls", "copies").join(counts, "cls", "left").join(components, "cls", "left").select("label", "digest", F.lit(True).alias("usable"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    met = shared_table(classes.select("label", "digest", "cls", "first", "copies").join(counts, "cls", "left").join(components, "cls", "left"), "vector-classes-met")
+    smallest = met.where("component is not null").groupBy("component").agg(F.min("first").alias("component_id"))
+    named = met.join(smallest, "component", "left").select("label", "digest", F.lit(True).alias("usable"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     out = keyed.select("id", "label", "digest", "usable").join(named, ["label", "digest", "usable"], "left")
     component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
