@@ -79,13 +79,19 @@ def scores(texts: list[bytes], network: Network, chunks_at_once: int = 128) -> n
     return combined(maxima, firsts, network.weights)
 
 
-def gradients(chunks: np.ndarray, firsts: np.ndarray, labels: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Of the mean cross entropy; each maximum sends its gradient to the place that gave it."""
-    seen = windows_of(chunks, w)
-    n, places, width = seen.shape
-    answers = (np.ascontiguousarray(seen).reshape(n * places, width) @ w["filters"]).reshape(n, places, FILTERS)
-    at = answers.argmax(axis=1)
-    top = np.tanh(np.take_along_axis(answers, at[:, None], axis=1)[:, 0] + w["bias"])
+def gradients(chunks: np.ndarray, firsts: np.ndarray, labels: np.ndarray, w: dict[str, np.ndarray], chunks_at_once: int = 256) -> dict[str, np.ndarray]:
+    """Of the mean cross entropy; each maximum sends its gradient to the place that gave it.
+
+    Chunks are answered, and learned from, some at a time: a text may have any number of them.
+    """
+    n = len(chunks)
+    at, top = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), w["bias"].dtype)
+    for i in range(0, n, chunks_at_once):
+        seen = windows_of(chunks[i : i + chunks_at_once], w)
+        some, places, width = seen.shape
+        answers = (np.ascontiguousarray(seen).reshape(some * places, width) @ w["filters"]).reshape(some, places, FILTERS)
+        at[i : i + some] = answers.argmax(axis=1)
+        top[i : i + some] = np.tanh(answers.max(axis=1) + w["bias"])
     counts = np.diff(np.append(firsts, n))
     doc = np.repeat(np.arange(len(firsts)), counts)
     largest = np.maximum.reduceat(top, firsts)
@@ -96,17 +102,18 @@ def gradients(chunks: np.ndarray, firsts: np.ndarray, labels: np.ndarray, w: dic
     ties = top == largest[doc]
     d_top = d_features[doc, FILTERS:] / counts[doc][:, None] + ties / np.add.reduceat(ties, firsts, dtype=np.int64)[doc] * d_features[doc, :FILTERS]
     d_top = (d_top * (1 - top**2)).astype("f4")
-    picked = np.take_along_axis(seen, at[:, :, None], axis=1)  # (n, FILTERS, width)
-    d_filters = np.einsum("nfw,nf->wf", picked, d_top)
-    d_picked = (d_top[:, :, None] * w["filters"].T[None]).reshape(n, FILTERS, WIDTH, EMBED)
-    bytes_at = chunks[np.arange(n)[:, None, None], at[:, :, None] * STRIDE + np.arange(WIDTH)]
-    d_embed = np.zeros_like(w["embed"])
-    np.add.at(d_embed, bytes_at.ravel(), d_picked.reshape(-1, EMBED))
+    d_filters, d_embed = np.zeros_like(w["filters"]), np.zeros_like(w["embed"])
+    for i in range(0, n, chunks_at_once):
+        part = slice(i, i + chunks_at_once)
+        some = len(chunks[part])
+        bytes_at = chunks[part][np.arange(some)[:, None, None], at[part][:, :, None] * STRIDE + np.arange(WIDTH)]
+        d_filters += np.einsum("nfw,nf->wf", w["embed"][bytes_at].reshape(some, FILTERS, WIDTH * EMBED), d_top[part])
+        np.add.at(d_embed, bytes_at.ravel(), (d_top[part][:, :, None] * w["filters"].T[None]).reshape(-1, EMBED))
     return {"embed": d_embed, "filters": d_filters, "bias": d_top.sum(0), "out": (d[:, None] * features).sum(0), "out_bias": d.sum(keepdims=True)}
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, epochs: int = 8, least_steps: int = 800, batch: int = 24, rate: float = 0.01, chunks_per_text: int = 12) -> Network:
-    """Adam over the labelled texts, in a seeded order, for some epochs and least_steps at least; of a longer text an epoch sees chunks_per_text chunks spread over all of it, from another start each time."""
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, epochs: int = 8, least_steps: int = 800, batch: int = 24, rate: float = 0.01) -> Network:
+    """Adam over all chunks of the labelled texts, in a seeded order, for some epochs and least_steps at least."""
     network, rng = Network.fresh(seed), np.random.default_rng(seed)
     w = network.weights
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
@@ -118,10 +125,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, epochs: int = 8
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
-            own = []
-            for i in chosen:
-                k = max(1, -(-len(parts[i]) // chunks_per_text))
-                own.append(parts[i][rng.integers(k) :: k])
+            own = [parts[i] for i in chosen]
             firsts = np.cumsum([0, *(len(p) for p in own[:-1])])
             step += 1
             for name, g in gradients(np.concatenate(own), firsts, labels[chosen], w).items():
@@ -137,13 +141,12 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, seed: int = 0, chunks_per_text: int = 12) -> Network:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, seed: int = 0) -> Network:
     """A network fitted on at most sample_rows labelled rows, half of each class where there are as many, by a hash of the identifier.
 
-    An epoch learns from chunks_per_text chunks of a text, as train() deals them; of very long texts some are never seen.
-
     Identifiers whose CRC-32 leaves 2 by 4 are held out. Null identifiers and labels are left out; null texts
-    count as empty. Without labelled rows the network is an untrained one.
+    count as empty; of rows that repeat an identifier, the least text is learned from. Without labelled rows the
+    network is an untrained one.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out(F.col("id")))
     draw = F.xxhash64("id", F.lit(seed))
@@ -151,11 +154,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     for value in (0, 1):
         part = known.where(F.col("label") == value).dropDuplicates(["id"]).orderBy(draw, "id").limit(sample_rows // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    found = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("body").alias("body"))
     rows = sorted((draw, i, bytes(body), label) for draw, i, body, label in found.select(draw, "id", F.col("body").cast("binary"), "label").collect())
     if not rows:
         return Network.fresh(seed)
-    return train([r[2] for r in rows], np.array([r[3] for r in rows], "f4"), seed, chunks_per_text=chunks_per_text)
+    return train([r[2] for r in rows], np.array([r[3] for r in rows], "f4"), seed)
 
 
 def score_quality(docs: DataFrame, network: Network, id_col: str | None = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
