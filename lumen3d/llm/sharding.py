@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,12 +16,6 @@ RANGES_PER_SHARD = 64
 SAMPLES_PER_RANGE = 16
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = [zlib.crc32(x) for x in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["id", "size", "key", "crc"])
-
-
 def _places(cuts: np.ndarray):
     """A pandas function from keys to the number of cuts at or below them."""
 
@@ -56,7 +46,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     """
     body = whole_text(text_col)
     rows = shared_table(
-        docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(body) + overhead).cast("long").alias("size"), F.xxhash64(body).alias("key"), body.cast("binary").alias("body")).mapInArrow(_crc, "id long, size long, key long, crc long"),
+        docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(body) + overhead).cast("long").alias("size"), F.xxhash64(body).alias("key"), F.crc32(body.cast("binary")).alias("crc")),
         "shard-rows",
     )
     groups = shared_table(rows.groupBy("key").agg(F.sum("size").alias("weight"), F.count("*").alias("n")), "shard-keys")
