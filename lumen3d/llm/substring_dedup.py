@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen3d.llm.common import broadcast_if_small, shared_table, whole_text
+from lumen3d.llm.common import broadcast_if_small, row_key, shared_table, whole_text
 from lumen3d.llm.words import Words, by_size, mixed, windows
 
 #: Words of a phrase that stands for the passages around it.
@@ -24,11 +24,12 @@ def letters(words: np.ndarray) -> str:
     return words.astype(np.uint8).tobytes().decode("latin-1")
 
 
-def each_text(bodies: pa.Array) -> Iterator[np.ndarray]:
-    """The word hashes of each text."""
+def each_text(bodies: pa.Array, checks: bool = False) -> Iterator:
+    """The word hashes of each text; with checks, pairs of these and of the second values of its words."""
     words = Words(bodies, lower=False)
     ends = np.cumsum(words.counts())
-    return (words.hashes[a:b] for a, b in zip(np.concatenate([[0], ends]), ends, strict=False))
+    second = words.checks() if checks else None
+    return ((words.hashes[a:b], second[a:b]) if checks else words.hashes[a:b] for a, b in zip(np.concatenate([[0], ends]), ends, strict=False))
 
 
 def least_phrases(phrases: np.ndarray, width: int) -> np.ndarray:
@@ -40,7 +41,7 @@ def least_phrases(phrases: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(rows: DataFrame, width: int) -> DataFrame:
-    """Of each row (id, uid, body): cls, which names its word sequence, n words and the hashes of its anchors.
+    """Of each row (uid, body): a cryptographic digest of its word sequence, n words and the hashes of its anchors.
 
     A window's anchor is its least phrase, so equal windows have equal anchors wherever they are; a text has about
     one anchor for each ten words.
@@ -48,18 +49,18 @@ def anchors(rows: DataFrame, width: int) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
-            cls, n, found, ends = [], [], [], [0]
-            for words in each_text(batch.column(1)):
-                cls.append(int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True))
+            digests, n, found, ends = [], [], [], [0]
+            for words, checks in each_text(batch.column(1), checks=True):
+                digests.append(hashlib.blake2b(words.tobytes() + checks.tobytes(), digest_size=16).digest())
                 n.append(len(words))
                 phrases = windows(words, PHRASE)
                 found.append(phrases[np.unique(least_phrases(phrases, width))])
                 ends.append(ends[-1] + len(found[-1]))
             flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), lists], names=["uid", "cls", "n", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), lists], names=["uid", "digest", "n", "anchors"])
 
-    return rows.select("uid", "body").mapInArrow(compute, "uid long, cls long, n long, anchors array<long>")
+    return rows.select("uid", "body").mapInArrow(compute, "uid binary, digest binary, n long, anchors array<long>")
 
 
 def dealt(texts: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def anchored_windows(words: np.ndarray, automaton: ahocorasick.Automaton, width:
     return np.flatnonzero(hit[least_phrases(windows(words, PHRASE), width)])
 
 
-def located(rows: DataFrame, width: int) -> DataFrame:
+def located(rows: DataFrame, width: int, tasks: int) -> DataFrame:
     """(cls, sure, start, high, low, n): of each text, the ranges of words that windows seen twice in the same task cover, and the windows
     of which it has the first in the task, with 128-bit hashes and the number that the task has seen.
 
@@ -148,7 +149,7 @@ def located(rows: DataFrame, width: int) -> DataFrame:
         if held:
             yield judged(held)
 
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = rows.select("shard", "salt", "kind", "cls", "copies", "body").repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     return placed.mapInArrow(stream, "cls long, sure array<long>, start array<int>, high array<long>, low array<long>, n array<long>")
 
@@ -183,32 +184,38 @@ def as_ranges(found: DataFrame, width: int) -> DataFrame:
 
 def recurring_ranges(docs: DataFrame, id_col: str, text_col: str, width: int, broadcast_rows: int) -> DataFrame:
     """(uid, ranges): of each row with anything to remove, the runs of words to remove."""
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), whole_text(text_col).alias("body"))
+    rows = docs.select(row_key(id_col, text_col).alias("uid"), whole_text(text_col).alias("body"))
     every_row = shared_table(anchors(rows, width), "passage-anchors")
-    first = every_row.where(F.col("n") >= width).groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "n", "anchors")).alias("f"))
-    classes = shared_table(first.select("cls", "copies", "f.*"), "passage-classes")
+    first = every_row.where(F.col("n") >= width).groupBy("digest", "n").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "anchors")).alias("f"))
+    # numbers that hold once the table is written
+    classes = shared_table(first.select(F.monotonically_increasing_id().alias("cls"), "digest", "copies", "f.*"), "passage-classes")
     # passages recur only around phrases that do: as anchors of two places or more
     seen = classes.select("cls", "copies", F.explode("anchors").alias("phrase"))
     recurring = shared_table(seen.groupBy("phrase").agg(F.sum("copies").alias("n"), F.min("cls").alias("owner")).where("n > 1").select("phrase", "owner"), "passage-phrases")
     n_phrases = recurring.count()
     shards = max(1, -(-n_phrases // PHRASES_PER_SHARD))
-    hits = seen.join(F.broadcast(recurring) if n_phrases <= broadcast_rows else recurring, "phrase")
+    hits = seen.join(broadcast_if_small(recurring, broadcast_rows), "phrase")
     shard = F.pmod(F.xxhash64("owner"), F.lit(shards))
     own = F.collect_set(F.when(F.col("owner") == F.col("cls"), F.col("phrase"))).alias("own")
     routed_rows = shared_table(hits.groupBy("cls").agg(own, F.collect_set(shard).alias("shards"), F.first("copies").alias("copies")).join(classes.select("cls", "uid"), "cls"), "passage-routes")
     routed = broadcast_if_small(routed_rows.withColumn("own_shard", F.pmod(F.xxhash64("cls"), F.lit(shards))), broadcast_rows)
     # a shard's texts are split over salts, each of which gets all of the shard's phrases
     salts = routed_rows.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / F.lit(TEXTS_PER_TASK)).cast("int").alias("salts"))
-    parts = dealt(rows.join(routed, "uid")).join(broadcast_if_small(shared_table(salts, "passage-salts"), broadcast_rows), "shard")
+    salts = shared_table(salts, "passage-salts")
+    tasks = salts.agg(F.sum("salts")).first()[0] or 1
+    # rows that repeat an identifier and its text have one key, and one of them is enough
+    repeated = not every_row.groupBy("uid").count().where("count > 1").isEmpty()
+    parts = dealt(rows.dropDuplicates(["uid"]).join(routed, "uid") if repeated else rows.join(routed, "uid")).join(broadcast_if_small(salts, broadcast_rows), "shard")
     salted = parts.withColumn("salt", F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")))))
-    found = shared_table(located(salted, width), "passage-windows")
+    found = shared_table(located(salted, width, tasks), "passage-windows")
     # windows that their task has seen once may recur in another one
     each = found.select("cls", F.explode(F.arrays_zip("start", "high", "low", "n")).alias("w")).select("cls", "w.*")
     again = each.groupBy("high", "low").agg(F.sum("n").alias("total")).where("total > 1").select("high", "low")
     late = each.where("n = 1").join(again, ["high", "low"]).groupBy("cls").agg(F.collect_list("start").alias("starts"))
     sure = found.where(F.size("sure") > 0).groupBy("cls").agg(F.collect_list("sure").alias("sure"))
     ranges = as_ranges(sure.join(late, "cls", "full_outer"), width)
-    return shared_table(every_row.select("uid", "cls").distinct().join(ranges, "cls").select("uid", "ranges"), "passage-ranges")
+    by_digest = shared_table(ranges.join(classes.select("cls", "digest"), "cls").select("digest", "ranges"), "passage-class-ranges")
+    return shared_table(every_row.select("uid", "digest").distinct().join(broadcast_if_small(by_digest, broadcast_rows), "digest").select("uid", "ranges"), "passage-ranges")
 
 
 def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -231,7 +238,7 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if width < PHRASE:
         raise ValueError(f"width must be {PHRASE} or more")
     ranges = broadcast_if_small(recurring_ranges(docs, id_col, text_col, width, broadcast_rows), broadcast_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), whole_text(text_col).alias("body")).join(ranges, "uid", "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("uid"), whole_text(text_col).alias("body")).join(ranges, "uid", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
