@@ -23,8 +23,8 @@ def size_class(size: Column) -> Column:
 
 
 def digest(value: Column) -> Column:
-    """60 bits that depend on the value's text alone."""
-    return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("null")).cast("binary")), 1, DIGITS), 16, 10).cast("long")
+    """60 bits of the MD5 digest of a text."""
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1, DIGITS), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
@@ -45,21 +45,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = 0, rows_per_slice: int = 20_000, draws: int = 16, broadcast_rows: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = 0, rows_per_slice: int = 20_000, broadcast_rows: int = 1_000_000
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     A document's expected copies are its source's target over its source's size. Their prefix sums within the
-    source, in order of size class and then of a hash of the identifier, get one random offset; a document comes
-    once for each integer that its interval crosses. Order by size makes each source's taken words differ from its
-    target by about one long document at most, and of `draws` offsets, drawn from the seed and the source, each
-    source takes the one that comes nearest to its target. The prefix sums come from
+    source, in order of size class and then of a hash of identifier and text, get one random offset, drawn from
+    the seed and the source; a document comes once for each integer that its interval crosses. Order by size makes
+    each source's taken words differ from its target by about one long document at most. The prefix sums come from
     counts: per class of a source, per hash slice of a class and per row of a slice, so no source is ever in one
     task. Slices double in number with the rows; the order, and so the result, does not depend on them.
 
     Null text has size 0. A null source is a source of its own and comes last; the empty string is another. A
-    source without words has target 0 and takes nothing. Null identifiers hash alike; rows that repeat an
-    identifier are sampled one by one. An empty table gives no rows. Other columns are ignored, whatever their
+    source without words has target 0 and takes nothing. Rows that repeat an identifier, or have none, are sampled
+    one by one. An empty table gives no rows. Other columns are ignored, whatever their
     names.
     """
     rows = shared_table(
@@ -68,7 +67,7 @@ def mix_sources(
             F.col(source_col).isNotNull().alias("named"),
             F.coalesce(F.col(source_col), F.lit("")).alias("name"),
             F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size"),
-            digest(F.col(id_col)).alias("h"),
+            digest(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), whole_text(text_col))).alias("h"),
         ).withColumn("class", size_class(F.col("size"))),
         "mixing-sizes",
     )
@@ -83,16 +82,8 @@ def mix_sources(
     key = [*SOURCE, "class", "slice"]
     rank = F.col("class_start") + F.col("slice_start") + F.row_number().over(W.partitionBy(*key).orderBy("h", "id", "size"))
     ranks = shared_table(rows.join(places, key).select("id", *SOURCE, "size", rank.alias("rank")), "mixing-ranks")
-    draw = lambda k: digest(F.concat(F.lit(f"{seed}:{k}:"), F.col("named").cast("string"), F.lit(":"), F.col("name"))) / F.lit(float(1 << 4 * DIGITS))
-    sources = shared_table(targets.select(*SOURCE, "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate"), F.array(*[draw(k) for k in range(draws)]).alias("offsets")), "mixing-sources")
-
-    def copies(offset: Column) -> Column:
-        crossed = lambda k: F.floor(k * F.col("rate") + offset)
-        return F.least(crossed(F.col("rank")) - crossed(F.col("rank") - 1), F.lit(cap)).cast("long")
-
-    taken = [F.sum(F.col("size") * copies(F.element_at("offsets", k + 1))).alias(f"taken_{k}") for k in range(draws)]
-    gaps = F.array(*[F.struct(F.abs(F.col(f"taken_{k}") - F.col("target")).alias("gap"), F.lit(k).alias("k")) for k in range(draws)])
-    tried = ranks.join(broadcast_if_small(sources, broadcast_rows), list(SOURCE)).groupBy(*SOURCE).agg(*taken)
-    chosen = tried.join(sources, list(SOURCE)).select(*SOURCE, "source_size", "target", "rate", F.element_at("offsets", F.array_min(gaps)["k"] + 1).alias("offset"))
-    found = ranks.join(broadcast_if_small(shared_table(chosen, "mixing-offsets"), broadcast_rows), list(SOURCE)).withColumn("copies", copies(F.col("offset")))
+    offset = digest(F.concat(F.lit(f"{seed}:"), F.col("named").cast("string"), F.lit(":"), F.col("name"))) / F.lit(float(1 << 4 * DIGITS))
+    sources = shared_table(targets.select(*SOURCE, "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate"), offset.alias("offset")), "mixing-sources")
+    crossed = lambda k: F.floor(k * F.col("rate") + F.col("offset"))
+    found = ranks.join(broadcast_if_small(sources, broadcast_rows), list(SOURCE)).withColumn("copies", F.least(crossed(F.col("rank")) - crossed(F.col("rank") - 1), F.lit(cap)).cast("long"))
     return found.select(F.col("id").alias("doc_id"), F.when(F.col("named"), F.col("name")).alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
