@@ -69,7 +69,7 @@ def components(ids, linked):
 def test_exact_groups(spark):
     rows = texts()
     for keep, pick in (("largest", max), ("smallest", min)):
-        got = by_id(exact_dedup(frame(spark), keep=keep, runs=8, fan_in=2))
+        got = by_id(exact_dedup(frame(spark), keep=keep, runs=8))
         groups = {}
         for i, t in rows:
             groups.setdefault(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""), []).append(i)
