@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumen3d.functions.tables import finished_table
 from lumen3d.llm.common import broadcast_if_small, shared_table
 from lumen3d.llm.line_dedup import dedup_lines
 from lumen3d.llm.mixing import mix_sources
@@ -29,25 +30,34 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on shingles of five words: the one with the smallest doc_id.
+def by_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column that names each row: doc_id, or, where doc_ids repeat or are null, a number in the order of doc_id and text."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    name, order = unused(docs, "_row"), ["doc_id", F.xxhash64("text")]
+    return shared_table(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "numbered-rows"), name
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
 
-    Where doc_ids repeat or are null, rows are numbered in the order of doc_id and text first, and go by that number.
-    """
-    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        order = ["doc_id", F.xxhash64("text")]
-        rows = shared_table(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
-        left = shared_table(near_duplicates(rows, id_col="_row", width=5, threshold=0.8).where("not kept").select(F.col("doc_id").alias("_row")), "dropped-rows")
-        return rows.join(broadcast_if_small(left, BROADCAST_ROWS), "_row", "left_anti").select(*docs.columns)
-    dropped = shared_table(near_duplicates(docs, width=5, threshold=0.8).where("not kept").select("doc_id").distinct(), "dropped-copies")
-    return docs.join(broadcast_if_small(dropped, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, on shingles of five words: the one with the smallest doc_id; where doc_ids repeat or are null, the first by_row()."""
+    rows, key = by_row(docs)
+    dropped = shared_table(near_duplicates(rows, id_col=key, width=5, threshold=0.8).where("not kept").select(F.col("doc_id").alias(key)), "dropped-copies")
+    return rows.join(broadcast_if_small(dropped, BROADCAST_ROWS), key, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it, up to three times; rows that repeat a doc_id come as often as the most frequent of them."""
-    copies = mix_sources(docs, weights=(5, 2, 1), cap=3).groupBy(F.xxhash64("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies <> 1")
-    taken = docs.withColumn("_id", F.xxhash64("doc_id")).join(broadcast_if_small(shared_table(copies, "mixture-copies"), BROADCAST_ROWS), "_id", "left")
-    return taken.withColumn("_times", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int")))).where("_times > 0").select(*docs.columns)
+    """Each row as often as the mixture takes it, up to three times; rows that share a doc_id, or have none, count one by one."""
+    rows, key = by_row(docs)
+    copies, times = unused(docs, "_copies"), unused(docs, "_times")
+    other = shared_table(mix_sources(rows, id_col=key, weights=(5, 2, 1), cap=3).where("copies <> 1").select(F.col("doc_id").alias(key), F.col("copies").alias(copies)), "mixture-copies")
+    taken = rows.join(broadcast_if_small(other, BROADCAST_ROWS), key, "left")
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)).cast("int")))).where(F.col(times) > 0).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents, each written and read again before the next."""
+    """The stages in turn over documents, each written and read again before the next, and its own tables deleted by then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = finished_table(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
