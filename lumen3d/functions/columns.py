@@ -60,3 +60,13 @@ def upward(*normal: Column) -> list[Column]:
 
 def clipped(value: Column, most: float) -> Column:
     return F.least(value, F.lit(most))
+
+
+def hsv_bytes(hue: Column, saturation: Column, value: Column) -> list[Column]:
+    """b, g, r of a colour whose hue is 0..180 for the whole circle and whose other parts are bytes."""
+    sixth = hue / 30.0
+    sector = F.floor(sixth) % 6
+    part, s, v = sixth - F.floor(sixth), saturation / 255.0, value / 255.0
+    low, falling, rising = v * (1 - s), v * (1 - s * part), v * (1 - s * (1 - part))
+    by_sector = {"b": (low, low, rising, v, v, falling), "g": (rising, v, v, falling, low, low), "r": (v, falling, low, low, rising, v)}
+    return [F.rint(F.element_at(F.array(*of), (sector + 1).cast("int")) * 255).cast("int").alias(name) for name, of in by_sector.items()]

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
@@ -57,14 +58,20 @@ def _in_bytes(setting: str) -> int:
     return int(number) << 10 * ("bkmgt".index(unit[0]) if unit else 0)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the driver ends or releases its tables."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _held.append(path)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and a lost executor loses none of it."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
-    _held.append(path)
-    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -118,3 +125,20 @@ def broadcast_if_small(df: DataFrame, rows: int, most_bytes: int = BROADCAST_BYT
     """df, a written table, marked for broadcasting if it holds at most so many rows and bytes; a row may hold arrays of any length."""
     n, held = size_of(df)
     return F.broadcast(df) if n <= rows and held <= most_bytes else df
+
+
+def ranked(points: DataFrame, order: list[str]) -> DataFrame:
+    """points with place, their number from 0 in an order without ties.
+
+    Each part of a range partitioning numbers its own rows; only the parts' sizes, one row each, meet in one task.
+    """
+    rows = shared_table(points.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked-parts")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return rows.join(F.broadcast(starts), "_part").withColumn("place", (F.col("_start") + own - 1).cast("long")).drop("_part", "_start")
+
+
+def numbered(values: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the distinct values and their numbers from 0 in order, by ranked()."""
+    return ranked(values.select(column).distinct(), [column]).select(column, F.col("place").cast("int").alias(name))

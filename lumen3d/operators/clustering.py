@@ -109,51 +109,90 @@ def flooded(labels: np.ndarray) -> np.ndarray:
     return out
 
 
-def connected_labels(labels: np.ndarray, values: np.ndarray, least: int) -> np.ndarray:
-    """Components of fewer than least pixels join the neighbour that is nearest in mean value, the smallest first; numbers in column order."""
+def settled_labels(labels: np.ndarray, least: int) -> np.ndarray:
+    """Components of fewer than least pixels, in column order, take a label met before.
+
+    That is the label, as it is by then, of the pixel left of a component's first one (above it in the first column), if it
+    is another one than the component's own; else the one that was met last, at first 0.
+    """
     parts = flooded(labels)
+    sizes = np.bincount(parts.ravel())
+    columns = parts.T.ravel()
+    firsts = np.unique(columns, return_index=True)[1]
+    height, beside, now = len(labels), 0, labels.T.ravel()[firsts].copy()
+    for part, first in enumerate(firsts.tolist()):
+        x, y = divmod(first, height)
+        if x or y:
+            met = now[parts[y, x - 1] if x else parts[y - 1, x]]
+            if met != now[part]:
+                beside = met
+        if sizes[part] < least:
+            now[part] = beside
+    return now[parts]
+
+
+def connected_labels(labels: np.ndarray, features: np.ndarray, weights: np.ndarray, least: int, least_merged: float) -> np.ndarray:
+    """settled_labels(), of which components of fewer than least_merged pixels join a neighbour, in column order; numbers in column order.
+
+    Of a component, features (height, width, f) give a centre: the sum of its pixels' first four, and as often as it has
+    pixels the others of its first pixel, over the sum of its weights. It joins the neighbour whose centre is nearest (the
+    first of several), and the centre moves by weight. A joined component keeps its turn, unless it is large enough by then.
+    """
+    parts = flooded(settled_labels(labels, least))
     height, width = parts.shape
-    sizes = np.bincount(parts.ravel()).astype(float)
-    sums = np.stack([np.bincount(parts.ravel(), values[:, :, b].ravel()) for b in range(values.shape[2])], 1)
+    sizes = np.bincount(parts.ravel())
+    total = np.bincount(parts.ravel(), weights.ravel())
+    firsts = np.unique(parts.T.ravel(), return_index=True)[1]
+    centres = sizes[:, None] * features[firsts % height, firsts // height]
+    for f in range(4):
+        centres[:, f] = np.bincount(parts.ravel(), features[:, :, f].ravel())
+    centres = centres / total[:, None]
     near: list[set[int]] = [set() for _ in sizes]
     for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
         a = parts[: height - dy, max(0, -dx) : width - max(0, dx)]
         b = parts[dy:, max(0, dx) : width + min(0, dx)]
-        for p, q in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
+        for p, q in np.unique(np.column_stack([a[a != b], b[a != b]]), axis=0).tolist():
             near[p].add(q)
             near[q].add(p)
-    home = np.arange(len(sizes))
-    while True:
-        small = [i for i in range(len(sizes)) if home[i] == i and sizes[i] < least and near[i]]
-        if not small:
-            break
-        i = min(small, key=lambda k: (sizes[k], k))
-        mean = lambda k: sums[k] / sizes[k]
-        j = min(near[i], key=lambda k: (((mean(i) - mean(k)) ** 2).sum(), k))
-        home[home == i] = j
-        sizes[j] += sizes[i]
-        sums[j] += sums[i]
-        for k in near[i]:
-            near[k].discard(i)
-            if k != j:
-                near[k].add(j)
-                near[j].add(k)
-        near[j].discard(j)
-        near[i] = set()
+    home, waiting = np.arange(len(sizes)), sizes < least_merged
+    for small in np.flatnonzero(waiting).tolist():
+        if not waiting[small] or not near[small]:
+            continue
+        others = np.array(sorted(near[small]))
+        into = int(others[((centres[others] - centres[small]) ** 2).sum(axis=1).argmin()])
+        centres[into] = (total[into] * centres[into] + total[small] * centres[small]) / (total[into] + total[small])
+        total[into] += total[small]
+        home[small], waiting[small] = into, False
+        if waiting[into]:
+            sizes[into] += sizes[small]
+            waiting[into] = sizes[into] < least_merged
+        for other in near[small]:
+            near[other].discard(small)
+            if other != into:
+                near[other].add(into)
+                near[into].add(other)
+    while not np.array_equal(home, home[home]):
+        home = home[home]
     merged = home[parts]
     _, first, inverse = np.unique(merged.T.ravel(), return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[inverse].reshape(width, height).T
 
 
-def connected_superpixels(pixels: DataFrame, least: int) -> DataFrame:
-    """(pixel, label) of pixels (pixel, row, col, label, bands): connected_labels() over the whole raster, whose order needs one task."""
+def connected_superpixels(pixels: DataFrame, least: int, height: int, width: int, region: int, ratio: float, bands: int) -> DataFrame:
+    """(pixel, label) of pixels (pixel, row, col, label, bands) of superpixels(): connected_labels() over the whole raster, whose order needs one task.
+
+    Components join others below a quarter of the pixels of a seed.
+    """
+    places, step_x, step_y = seeds(height, width, region)
+    least_merged = height * width // (4 * len(places))
+    space = feature_space(pixels.select("pixel", "row", "col", "label", "bands"), step_x, step_y, ratio, bands)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(frame["row"].max()) + 1, int(frame["col"].max()) + 1)
-        labels = np.full(shape, -1, np.int64)
-        values = np.zeros((*shape, len(frame["bands"].iloc[0])))
-        labels[frame["row"], frame["col"]] = frame["label"]
-        values[frame["row"], frame["col"]] = np.stack([np.asarray(b) for b in frame["bands"]])
-        return pd.DataFrame({"pixel": frame["pixel"], "label": connected_labels(labels, values, least)[frame["row"], frame["col"]]})
-
-    return pixels.select(F.lit(0).alias("one"), "pixel", "row", "col", "label", "bands").groupBy("one").applyInPandas(run, "pixel long, label int")
+        at = frame["row"].to_numpy(), frame["col"].to_numpy()
+        labels, weights = np.full((height, width), -1, np.int64), np.zeros((height, width))
+        features = np.zeros((height, width, 4 + 2 * bands))
+        labels[at], weights[at] = frame["label"], frame["w"]
+        features[at] = np.stack([np.asarray(f) for f in frame["f"]])
+        return pd.DataFrame({"pixel": frame["pixel"], "label": connected_labels(labels, features, weights, least, least_merged)[at]})
+
+    return space.select(F.lit(0).alias("one"), "pixel", "row", "col", "label", "f", "w").groupBy("one").applyInPandas(run, "pixel long, label int")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumen3d.functions.tables import numbered
+
 NO_DATA = -1000.0
 
 
@@ -105,10 +107,10 @@ def unshadowed_pixels(points: DataFrame, shadow: DataFrame) -> DataFrame:
 def incidence(points: DataFrame, shadow: DataFrame) -> DataFrame:
     """The 0/1 matrix of unshadowed pixels (rows, in ascending order) and points, as (row, col, v).
 
-    Rows number the pixels, of which a raster has a bounded count, in one task; points never meet there.
+    Rows number the pixels.
     """
-    rows = unshadowed_pixels(points, shadow).select("pixel", (F.row_number().over(W.orderBy("pixel")) - 1).cast("long").alias("row"))
-    return points.join(rows, "pixel").select("row", F.col("point_id").alias("col"), F.lit(1.0).alias("v"))
+    rows = numbered(unshadowed_pixels(points, shadow), "pixel", "row")
+    return points.join(rows, "pixel").select(F.col("row").cast("long").alias("row"), F.col("point_id").alias("col"), F.lit(1.0).alias("v"))
 
 
 def lit_normals(points: DataFrame, shadow: DataFrame, light: tuple[float, float, float]) -> DataFrame:

@@ -1,16 +1,23 @@
-"""Exact neighbour joins in space: k nearest, within a radius, and both, by an equi-join on grid cells."""
+"""Exact neighbour joins in space: within a radius by an equi-join on grid cells, k nearest in tiles that follow the density."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumen3d.functions.tables import shared_table
+from lumen3d.functions.tables import broadcast_if_small, shared_table
 
 AXES = ("x", "y", "z")
-#: Points wanted in the 27 cells that a query looks into first, as a multiple of k.
-DENSITY = 4
+#: Halvings of space, at most; coinciding points cannot be told apart by any number.
+FINEST = 40
+BROADCAST_ROWS = 1_000_000
 
 
 def _with_cells(points: DataFrame, size: float) -> DataFrame:
@@ -48,49 +55,187 @@ def _points(frame: DataFrame) -> DataFrame:
     return frame.select(F.col("point_id").alias("nbr_id"), *AXES)
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
+def nearest_of(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, at_once: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of queries, ranks, rows of points and squared distances of the k nearest points of each query; ties go by ids."""
+    out: list[tuple[np.ndarray, ...]] = []
+    step = max(1, at_once // max(len(points), 1))
+    for start in range(0, len(queries), step):
+        part = queries[start : start + step]
+        d2 = sum((part[:, None, a] - points[None, :, a]) ** 2 for a in range(3))
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(points) > k else np.full(len(part), np.inf)
+        row, col = np.nonzero(d2 <= kth[:, None])
+        far = d2[row, col]
+        order = np.lexsort((ids[col], far, row))
+        row, col, far = row[order], col[order], far[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = rank < k
+        out.append((row[kept] + start, rank[kept] + 1, col[kept], far[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+
+
+def _answers(rows: DataFrame, k: int, partitions: int, compared: Accumulator | None) -> DataFrame:
+    """Rows (tile, part, parts, kind, id, x, y, z, margin) of queries (kind 0) and points (kind 1), as the k nearest points in each tile and part.
+
+    (qid, rank, nbr_id, d2, margin, ready): a query is ready when its k-th neighbour lies within its margin; one that is
+    not gives a row of rank 0 alone. Where a tile has several parts, ready is null and all parts' neighbours are given.
+    """
+    names = ["qid", "rank", "nbr_id", "d2", "margin", "ready"]
+
+    def answer(table: pa.Table) -> pa.RecordBatch:
+        kind = table.column("kind").to_numpy()
+        ids = table.column("id").to_numpy()
+        places = np.column_stack([table.column(a).to_numpy() for a in AXES])
+        asked, held = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        margin = table.column("margin").to_numpy()[asked]
+        several = table.column("parts")[0].as_py() > 1
+        if compared is not None:
+            compared.add(len(asked) * len(held))
+        row, rank, col, d2 = nearest_of(places[asked], places[held], ids[held], k)
+        counts = np.bincount(row, minlength=len(asked))
+        far = np.zeros(len(asked))
+        np.maximum.at(far, row, d2)
+        ready = np.isinf(margin) | ((counts == k) & (far <= margin * margin) & (margin >= 0))
+        kept = np.ones(len(row), bool) if several else ready[row]
+        later = np.zeros(0, np.int64) if several else np.flatnonzero(~ready)
+        row, rank, col, d2 = row[kept], rank[kept], col[kept], d2[kept]
+        none = np.zeros(len(later))
+        state = pa.nulls(len(row), pa.bool_()) if several else pa.array(np.concatenate([np.ones(len(row), bool), np.zeros(len(later), bool)]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([ids[asked][row], ids[asked][later]])), pa.array(np.concatenate([rank, none]).astype(np.int32)),
+                pa.array(np.concatenate([ids[held][col], none.astype(np.int64)])), pa.array(np.concatenate([d2, none])),
+                pa.array(np.concatenate([margin[row], none])), state,
+            ],
+            names=names,
+        )
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            tile, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((tile[1:] != tile[:-1]) | (part[1:] != part[:-1])) + 1
+            ends = [0, *cuts.tolist(), batch.num_rows]
+            for start, end in zip(ends, ends[1:], strict=False):
+                if end == start:
+                    continue
+                if (tile[start], part[start]) != at and held:
+                    yield answer(pa.Table.from_batches(held))
+                    held = []
+                at = tile[start], part[start]
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield answer(pa.Table.from_batches(held))
+
+    n = max(partitions, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.select("tile", "part", "parts", "kind", "id", *AXES, "margin").repartition(n, "tile", "part").sortWithinPartitions("tile", "part", "kind")
+    return placed.mapInArrow(stream, "qid long, rank int, nbr_id long, d2 double, margin double, ready boolean")
+
+
+def _up(column: str, by) -> Column:
+    """A cell's coordinate some levels up."""
+    return F.call_function("shiftright", F.col(column), by.cast("int") if isinstance(by, Column) else F.lit(int(by)))
+
+
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, tile_points: int = 512, most: int = 100_000, compared: Accumulator | None = None) -> DataFrame:
     """(query_id, rank, nbr_id, d2): the k nearest points of each query by distance and identifier, fewer if there are fewer points.
 
-    A query is settled when its k-th neighbour is no further than the edge of the 27 cells around it; the others
-    ask again with cells of twice the size, until the 27 cells hold every point. Each turn is a written table, so
-    later turns only see what is left.
+    Space is halved along all axes, level by level. A query's tile is the smallest cell around it that holds
+    tile_points points or more, so that tiles follow the density: those of a dense part are small, and a lone point has
+    a wide one. Each tile meets the points of its box, grown by a share of its width, in one task, as matrices of
+    distances; a query is settled when its k-th neighbour is no further than the edge of the grown box. The others
+    ask again in tiles some levels up; the widest holds every point. A tile with more than `most` queries or points
+    is cut into parts, of which each gives its k nearest points. Each turn is a written table. compared, if given, adds
+    up the pairs whose distances are taken.
     """
-    box = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{s}{a}") for s, f in (("lo", F.min), ("hi", F.max)) for a in AXES]).first()
-    empty = points.sparkSession.createDataFrame([], "query_id long, rank int, nbr_id long, d2 double")
+    spark = points.sparkSession
+    inside = _points(points).dropna(subset=list(AXES))
+    box = inside.agg(F.count("*").alias("n"), *[f(a).alias(f"{s}{a}") for s, f in (("lo", F.min), ("hi", F.max)) for a in AXES]).first()
+    empty = spark.createDataFrame([], "query_id long, rank int, nbr_id long, d2 double")
     if not box["n"]:
         return empty
     extents = [box[f"hi{a}"] - box[f"lo{a}"] for a in AXES]
-    if cell is None:
-        solid = [e for e in extents if e > 0] or [1.0]
-        volume = 1.0
-        for e in solid:
-            volume *= e
-        cell = max((DENSITY * k / 3 ** len(solid) * volume / box["n"]) ** (1 / len(solid)), max(solid) / 1e6)
-    left, settled, inside = _queries(queries), [], _points(points)
-    reach = queries.agg(*[f(a).alias(f"{s}{a}") for s, f in (("lo", F.min), ("hi", F.max)) for a in AXES]).first()
-    if reach["lox"] is None:
-        return empty
-    span = max(max(box[f"hi{a}"], reach[f"hi{a}"]) - min(box[f"lo{a}"], reach[f"lo{a}"]) for a in AXES)
-    while True:
-        last = cell > span
-        order = W.partitionBy("qid").orderBy("d2", "nbr_id")
-        ranked = _met(left, inside, cell).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ends = ranked.groupBy("qid").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("margin").alias("margin"))
-        done = F.lit(True) if last else (F.col("n") == k) & (F.col("far") <= F.col("margin") * F.col("margin"))
-        ranked = shared_table(ranked, "knn-turn")
-        ends = ranked.groupBy("qid").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("margin").alias("margin"))
-        ready = ends.where(done).select("qid")
-        settled.append(ranked.join(ready, "qid", "left_semi"))
-        if last:
-            break
-        left = shared_table(left.join(ready, "qid", "left_anti"), "knn-left")
-        if left.isEmpty():
+    solid = max(1, sum(e > 0 for e in extents))
+    span, least = (max(extents) or 1.0) * (1 + 1e-9), max(tile_points, 32 * k)
+    grown = min(0.99, 1.3 * (k / least) ** (1 / solid))
+
+    def celled(frame: DataFrame, level: int) -> DataFrame:
+        inside = lambda a: F.least(F.greatest(F.floor((F.col(a) - box[f"lo{a}"]) / (span / 2**level)), F.lit(0)), F.lit(2**level - 1))
+        return frame.withColumns({f"c{a}": inside(a).cast("long") for a in AXES})
+
+    cells = [f"c{a}" for a in AXES]
+    finest = max(0, math.ceil(math.log2(max(box["n"] / least, 1)) / solid)) + 1
+    while True:  # until no cell is a tile by itself
+        counts = shared_table(celled(inside, finest).groupBy(*cells).agg(F.count("*").alias("n")), "knn-counts")
+        fullest = counts.agg(F.max("n")).first()[0]
+        if fullest < least or finest >= FINEST:
             break
-        cell *= 2
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
-    return out.select(F.col("qid").alias("query_id"), "rank", "nbr_id", "d2")
+        finest = min(FINEST, finest + max(1, math.ceil(math.log2(fullest / least) / solid)))
+    every = counts.select(*cells, "n", F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("level"))
+    every = every.select("level", *[_up(c, F.lit(finest) - F.col("level")).alias(c) for c in cells], "n").groupBy("level", *cells).agg(F.sum("n").alias("n"))
+    every = shared_table(every, "knn-cells")
+    heavy = broadcast_if_small(shared_table(every.where(F.col("n") >= least).select("level", *cells), "knn-heavy"), BROADCAST_ROWS)
+    left = celled(_queries(queries).dropna(subset=list(AXES)), finest)
+    homes = left.select(*cells).distinct().select(*[F.col(c).alias(f"q{c}") for c in cells], F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("level"))
+    homes = homes.select(*[f"q{c}" for c in cells], "level", *[_up(f"q{c}", F.lit(finest) - F.col("level")).alias(c) for c in cells]).join(heavy, ["level", *cells])
+    homes = homes.groupBy(*[F.col(f"q{c}").alias(c) for c in cells]).agg(F.max("level").alias("level"))
+    homes = broadcast_if_small(shared_table(homes, "knn-homes"), BROADCAST_ROWS)
+    left = shared_table(left.join(homes, cells, "left").withColumn("level", F.coalesce("level", F.lit(0))), "knn-queries")
+    settled, turn = [], 0
+    while not left.isEmpty():
+        found, later = _turn(left, inside, every, celled, box, span, finest, grown, k, most, compared)
+        settled.append(found)
+        turn += 1
+        # a query is in each turn once, and there are few turns
+        left = shared_table(left.join(broadcast_if_small(later, BROADCAST_ROWS), "qid", "left_semi").withColumn("level", F.greatest(F.col("level") - turn, F.lit(0))), "knn-left")
+    out = empty
+    for more in settled:
+        out = out.unionByName(more.select(F.col("qid").alias("query_id"), "rank", "nbr_id", "d2"))
+    return out
+
+
+def _turn(left: DataFrame, points: DataFrame, every: DataFrame, celled: Callable, box: Row, span: float, finest: int, grown: float, k: int, most: int, compared: Accumulator | None) -> tuple[DataFrame, DataFrame]:
+    """Neighbours of the queries that settle in the tiles of their levels, and the other queries (qid)."""
+    spark, cells = left.sparkSession, [f"c{a}" for a in AXES]
+    of_tile = [_up(c, F.lit(finest) - F.col("level")).alias(f"t{c}") for c in cells]
+    tiles = shared_table(left.select("level", *of_tile).groupBy("level", *[f"t{c}" for c in cells]).agg(F.count("*").alias("asked")).withColumn("tile", F.monotonically_increasing_id()), "knn-tiles")
+    steps = F.array(*[F.struct(*[F.lit(s).alias(c) for c, s in zip(cells, (i, j, m), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
+    around = tiles.withColumn("s", F.explode(steps)).select("tile", "level", "asked", *[f"t{c}" for c in cells], *[(F.col(f"t{c}") + F.col(f"s.{c}")).alias(c) for c in cells])
+    parts = around.join(every, ["level", *cells]).groupBy("tile").agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"), F.ceil(F.max("asked") / most).cast("int").alias("groups"))
+    sized = shared_table(tiles.join(parts, "tile").select("tile", "level", *[f"t{c}" for c in cells], F.when(F.col("level") == 0, F.greatest("parts", F.lit(1))).otherwise(F.col("parts")).alias("parts"), "groups"), "knn-sized")
+    total, several = sized.agg(F.sum(F.col("parts") * F.col("groups")), F.max("parts")).first()
+    width = F.lit(span) / F.pow(F.lit(2.0), F.col("level"))
+    low = {a: F.lit(box[f"lo{a}"]) + F.col(f"tc{a}") * width - width * grown for a in AXES}
+    high = {a: F.lit(box[f"lo{a}"]) + (F.col(f"tc{a}") + 1) * width + width * grown for a in AXES}
+    bounded = shared_table(sized.select("*", *[low[a].alias(f"low_{a}") for a in AXES], *[high[a].alias(f"high_{a}") for a in AXES]), "knn-boxes")
+    near = broadcast_if_small(bounded, BROADCAST_ROWS)
+    edge = lambda a: F.least(F.when(F.col(f"low_{a}") <= box[f"lo{a}"], F.lit(math.inf)).otherwise(F.col(a) - F.col(f"low_{a}")), F.when(F.col(f"high_{a}") >= box[f"hi{a}"], F.lit(math.inf)).otherwise(F.col(f"high_{a}") - F.col(a)))
+    asked = left.select("qid", *AXES, "level", *of_tile).join(near, ["level", *[f"t{c}" for c in cells]])
+    asked = asked.select("tile", "parts", "groups", F.lit(0).alias("kind"), F.col("qid").alias("id"), *AXES, F.least(*[edge(a) for a in AXES]).alias("margin"))
+    levels = [r[0] for r in tiles.select("level").distinct().collect()]  # at most FINEST + 1
+    wanted = bounded.withColumn("s", F.explode(steps)).select("*", *[(F.col(f"t{c}") + F.col(f"s.{c}")).alias(c) for c in cells]).drop("s", *[f"t{c}" for c in cells])
+    wanted = broadcast_if_small(shared_table(wanted.join(every.select("level", *cells), ["level", *cells]), "knn-around"), BROADCAST_ROWS)
+    spread = celled(points, finest).withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    spread = spread.select("nbr_id", *AXES, "level", *[_up(c, F.lit(finest) - F.col("level")).alias(c) for c in cells])
+    held = spread.join(wanted, ["level", *cells])
+    for a in AXES:
+        held = held.where((F.col("level") == 0) | F.col(a).between(F.col(f"low_{a}"), F.col(f"high_{a}")))
+    held = held.select("tile", "parts", "groups", F.lit(1).alias("kind"), F.col("nbr_id").alias("id"), *AXES, F.lit(None).cast("double").alias("margin"))
+    # a query meets every part of its tile's points, and a point every group of its tile's queries
+    one = F.pmod(F.xxhash64("id"), F.when(F.col("kind") == 0, F.col("groups")).otherwise(F.col("parts"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("parts")).otherwise(F.col("groups")) - 1))
+    dealt = asked.unionByName(held).withColumn("one", one).withColumn("other", other)
+    dealt = dealt.withColumn("part", F.when(F.col("kind") == 0, F.col("one") * F.col("parts") + F.col("other")).otherwise(F.col("other") * F.col("parts") + F.col("one")))
+    found = shared_table(_answers(dealt, k, (total or 1) // 64, compared), "knn-turn")
+    ready, later = found.where("ready").select("qid", "rank", "nbr_id", "d2"), found.where("not ready").select("qid")
+    if several > 1:
+        merged = found.where("ready is null").withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("d2", "nbr_id"))).where(F.col("rank") <= k)
+        ends = merged.groupBy("qid").agg(((F.first("margin") == math.inf) | ((F.count("*") == k) & (F.first("margin") >= 0) & (F.max("d2") <= F.first("margin") * F.first("margin")))).alias("done"))
+        merged, ends = shared_table(merged, "knn-merged"), shared_table(ends, "knn-ends")
+        ready = ready.unionByName(merged.join(ends.where("done"), "qid", "left_semi").select("qid", "rank", "nbr_id", "d2"))
+        met = found.where("ready is null").select("qid").distinct()
+        later = later.unionByName(met.join(ends.where("done"), "qid", "left_anti").select("qid"))
+    return ready, shared_table(later, "knn-later")
 
 
 def search(queries: DataFrame, points: DataFrame, k: int | None = None, radius: float | None = None) -> DataFrame:

@@ -53,8 +53,9 @@ def reflectance(shading: DataFrame, neighbours: DataFrame, colours: DataFrame, s
     shading: (pixel, label, v). neighbours: (label, nbr_label). colours: (label, r, g, b). spectra: (pixel, bands).
     weights: (pixel, m), the sums of nz. W's rows hold 1 / m for the m neighbours whose colours differ by less than
     threshold in root mean square, and -1 for the label itself; a label without any holds -1 alone. The normal
-    matrix is joined and summed in Spark; labels number a few thousand, and up to max_direct of them are solved
-    directly in one task, more by conjugate gradients on the sparse matrix. Labels whose mean falls under
+    matrix is joined and summed in Spark; labels number a few thousand. The solution of least norm is wanted: up to
+    max_direct labels it is found directly in one task, with more, where the matrix would not fit, by conjugate
+    gradients on the sparse one, which end there too and fail if they do not. Labels whose mean falls under
     repair_below take the value of the neighbour that is nearest in colour, in order of label.
     """
     c = colours.select("label", "r", "g", "b")
@@ -106,8 +107,8 @@ def _product(i: np.ndarray, j: np.ndarray, v: np.ndarray, p: np.ndarray) -> np.n
     return out
 
 
-def conjugate_gradients(times: Callable, b: np.ndarray, tolerance: float = 1e-12, most: int = 5000) -> np.ndarray:
-    """Solves a symmetric positive system for all columns of b."""
+def conjugate_gradients(times: Callable, b: np.ndarray, tolerance: float = 1e-20, most: int = 50_000) -> np.ndarray:
+    """Solves a symmetric positive system for all columns of b, which must be in its range: the solution of least norm."""
     x, r = np.zeros_like(b), b.copy()
     p, rr = r.copy(), (r * r).sum(axis=0)
     goal = tolerance * np.maximum(rr, 1e-300)
@@ -122,4 +123,6 @@ def conjugate_gradients(times: Callable, b: np.ndarray, tolerance: float = 1e-12
         new = (r * r).sum(axis=0)
         p = r + np.divide(new, rr, out=np.zeros_like(rr), where=rr > 0) * p
         rr = new
+    else:
+        raise RuntimeError("conjugate gradients did not converge")
     return x

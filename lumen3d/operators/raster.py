@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumen3d.functions.columns import SOBEL_X, SOBEL_Y, normal_filters, scaled, spectral_angle, unit
+from lumen3d.functions.columns import SOBEL_X, SOBEL_Y, hsv_bytes, normal_filters, scaled, spectral_angle, unit
 
 
 def shifted(values: Column, by: int, along: W) -> Column:
@@ -40,15 +40,40 @@ def surface_normals(pixels: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def _between(value: Column, low: str, high: str) -> Column:
+    """The value's share of the way from low to high; 0 where these are equal."""
+    return F.coalesce(F.try_divide(value - F.col(low), F.col(high) - F.col(low)), F.lit(0.0))
+
+
 def hillshade(pixels: DataFrame, value: str = "value", valid_min: float = 0.0, contrast: float = 0.75) -> DataFrame:
-    """(row, col, hue, saturation, value): height as hue up to three quarters of 180 and the normal's z, stretched, as brightness; invalid pixels are black."""
-    valid = F.col(value) > valid_min
-    shaded = convolved(convolved(pixels, SOBEL_Y, value, "n1"), SOBEL_X, value, "n2").withColumn("n3", 1 / F.sqrt(F.col("n1") * F.col("n1") + F.col("n2") * F.col("n2") + 1))
-    ends = shaded.where(valid).agg(F.min("n3").alias("_a"), F.max("n3").alias("_b"), F.min(value).alias("_c"), F.max(value).alias("_d"))
+    """(row, col, b, g, r), bytes: height as hue over three quarters of the circle's half, the normal's z as brightness.
+
+    Pixels up to valid_min count as height 0 before any slope is taken; both stretches go over the whole raster.
+    Bytes are rounded.
+    """
+    flat = pixels.select("row", "col", F.when(F.col(value) > valid_min, F.col(value)).otherwise(0.0).alias("_z"))
+    shaded = _steepness(flat, "_z")
+    ends = shaded.agg(F.min("_n").alias("_a"), F.max("_n").alias("_b"), F.min("_z").alias("_c"), F.max("_z").alias("_d"))
     ranged = shaded.join(F.broadcast(ends))
-    bright = F.coalesce(F.try_divide(F.col("n3") - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0)) * contrast + (1 - contrast)
-    hue = F.coalesce(F.try_divide(F.col(value) - F.col("_c"), F.col("_d") - F.col("_c")), F.lit(0.0)) * (0.75 * 180)
-    return ranged.select("row", "col", F.when(valid, hue).otherwise(0.0).alias("hue"), F.when(valid, 0.75 * 255).otherwise(0.0).alias("saturation"), F.when(valid, bright * 255).otherwise(0.0).alias("brightness"))
+    hue, bright = _between(F.col("_z"), "_c", "_d") * 0.75 * 180, (_between(F.col("_n"), "_a", "_b") * contrast + (1 - contrast)) * 255
+    return ranged.select("row", "col", *hsv_bytes(F.rint(hue), F.lit(191.0), F.rint(bright)))
+
+
+def masked_shade(pixels: DataFrame, mask: Column, value: str = "value", contrast: float = 0.75) -> DataFrame:
+    """hillshade() with a mask: heights are stretched over the masked pixels, the others have hue 0; slopes and brightness are of all pixels as they are. Bytes are cut off."""
+    shaded = _steepness(pixels.select("row", "col", F.col(value).alias("_z"), F.coalesce(mask, F.lit(False)).alias("_in")), "_z")
+    inside = F.when(F.col("_in"), F.col("_z"))
+    ends = shaded.agg(F.min("_n").alias("_a"), F.max("_n").alias("_b"), F.min(inside).alias("_c"), F.max(inside).alias("_d"))
+    ranged = shaded.join(F.broadcast(ends))
+    hue = F.when(F.col("_in"), _between(F.col("_z"), "_c", "_d")).otherwise(0.0) * 0.75 * 180
+    bright = (_between(F.col("_n"), "_a", "_b") * contrast + (1 - contrast)) * 255
+    return ranged.select("row", "col", *hsv_bytes(F.floor(hue).cast("double"), F.lit(191.0), F.floor(bright).cast("double")))
+
+
+def _steepness(pixels: DataFrame, value: str) -> DataFrame:
+    """pixels with _n, the z of their unit normals."""
+    sloped = convolved(convolved(pixels, SOBEL_Y, value, "_n1"), SOBEL_X, value, "_n2")
+    return sloped.withColumn("_n", 1 / F.sqrt(F.col("_n1") * F.col("_n1") + F.col("_n2") * F.col("_n2") + 1))
 
 
 def valid_in_window(pixels: DataFrame, valid: Column, reach: int = 2) -> DataFrame:

@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumen3d.functions.tables import shared_table
+from lumen3d.functions.tables import numbered, ranked
 from lumen3d.operators.grid import along_light, bounding_box
 from lumen3d.operators.knn import k_nearest
 
@@ -87,15 +86,13 @@ def largest(points: DataFrame, label: str = "label") -> DataFrame:
 
 def dense_labels(values: DataFrame, column: str) -> DataFrame:
     """values with label: the rank, from 0, of each distinct value. Distinct values are numbered, not rows."""
-    numbers = values.select(column).distinct().select(column, (F.row_number().over(W.orderBy(column)) - 1).cast("int").alias("label"))
-    return values.join(numbers, column)
+    return values.join(numbered(values, column, "label"), column)
 
 
 def sized_clusters(points: DataFrame, least: int, most: int) -> DataFrame:
     """points with labels of clusters of least to most points, numbered anew in order; -1 for all others."""
     sizes = points.where("label >= 0").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
-    numbers = sizes.select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("int").alias("_new"))
-    return points.join(numbers, "label", "left").withColumn("label", F.coalesce("_new", F.lit(-1))).drop("_new")
+    return points.join(numbered(sizes, "label", "_new"), "label", "left").withColumn("label", F.coalesce("_new", F.lit(-1))).drop("_new")
 
 
 def multi_return_labels(points: DataFrame, ratio: float) -> DataFrame:
@@ -119,18 +116,6 @@ def gathered(points: DataFrame, indices: DataFrame) -> DataFrame:
     return indices.select("ordinal", "point_id").join(points, "point_id")
 
 
-def ranked(points: DataFrame, order: list[str]) -> DataFrame:
-    """points with place, their number from 0 in an order without ties.
-
-    Each part of a range partitioning numbers its own rows; only the parts' sizes, one row each, meet in one task.
-    """
-    rows = shared_table(points.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked-parts")
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return rows.join(F.broadcast(starts), "_part").withColumn("place", (F.col("_start") + own - 1).cast("long")).drop("_part", "_start")
-
-
 def united(first: DataFrame, second: DataFrame) -> DataFrame:
     """All points of both; columns that only one has are dropped."""
     both = [c for c in first.columns if c in second.columns]

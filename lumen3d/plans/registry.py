@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen3d.functions import columns as fn
+from lumen3d.functions.tables import ranked, shared_path
 from lumen3d.operators import clouds, clustering, grid, inpainting, knn, light, merging, raster, segmentation, segments
 from lumen3d.plans import pipelines
 from lumen3d.plans.fixtures import BULK_SQL, EVENTS_SQL, GRID, HEIGHTS_SQL, LIGHT, PLACED_SQL, RASTER_SQL, SPECTRA_SQL, TRANSFORM, bulk_points, event_points, heights, spectra
@@ -32,6 +33,10 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     return frame.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in frame.schema])
 
 
+#: The k nearest by comparing all with all, as nb (query_id, nbr_id).
+_BRUTE = "m AS (SELECT a.point_id AS query_id, b.point_id AS nbr_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM {0} a, {0} b), k AS (SELECT query_id, min({{'d2': d2, 'nbr_id': nbr_id}}, {1}) AS best FROM m GROUP BY query_id), nb AS (SELECT query_id, unnest(best).nbr_id AS nbr_id FROM k)"
+
+
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.with_pixel(event_points(spark, sf_dir), GRID)
 
@@ -275,14 +280,7 @@ def _(spark, d):
     return rounded(t.select("point_id", "label").join(means, "label").select("point_id", "r", "g", "b"))
 
 
-@query("j12_held_in_boxes", f"WITH {PLACED_SQL}, bx AS (SELECT label, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM pt WHERE point_id % 97 = 0 GROUP BY label), sg AS (SELECT pixel AS label, (min(x) + max(x)) * 0.5 AS cx, (min(y) + max(y)) * 0.5 AS cy FROM pt GROUP BY pixel) SELECT DISTINCT sg.label FROM sg JOIN bx ON cx > x1 - 0.5 AND cx < x2 + 0.5 AND cy > y1 - 0.5 AND cy < y2 + 0.5")
-def _(spark, d):
-    t = placed(spark, d)
-    boxes = grid.bounding_box(t.where(F.col("point_id") % 97 == 0), ["label"])
-    return segments.held_in_boxes(grid.bounding_box(t, ["pixel"]).withColumnRenamed("pixel", "label"), boxes)
-
-
-@query("j12_held_in_class_boxes", f"WITH {PLACED_SQL}, bx AS (SELECT label, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM pt WHERE num_returns = 1 GROUP BY label), sg AS (SELECT pixel AS label, (min(x) + max(x)) * 0.5 AS cx, (min(y) + max(y)) * 0.5 AS cy FROM pt GROUP BY pixel) SELECT DISTINCT sg.label FROM sg JOIN bx ON cx > x1 - 0.5 AND cx < x2 + 0.5 AND cy > y1 - 0.5 AND cy < y2 + 0.5")
+@query("j12_held_in_boxes", f"WITH {PLACED_SQL}, bx AS (SELECT label, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM pt WHERE num_returns = 1 GROUP BY label), sg AS (SELECT pixel AS label, (min(x) + max(x)) * 0.5 AS cx, (min(y) + max(y)) * 0.5 AS cy FROM pt GROUP BY pixel) SELECT DISTINCT sg.label FROM sg JOIN bx ON cx > x1 - 0.5 AND cx < x2 + 0.5 AND cy > y1 - 0.5 AND cy < y2 + 0.5")
 def _(spark, d):
     t = placed(spark, d)
     boxes = grid.bounding_box(t.where("num_returns = 1"), ["label"])
@@ -354,7 +352,19 @@ def _(spark, d):
     return t.select("label", "size", "min_x", "max_z", F.round("x", 6).alias("x"), F.round("r", 6).alias("r"), *[F.round(c, 5).alias(c) for c in ("c_xx", "c_xy", "c_zz")])
 
 
-@query("a12_principal_normals")
+# The least eigenvalue of a symmetric matrix (xx .. zz) by the cosine form of the cubic, its vector as the longest cross product of two rows.
+_EIGEN = """e1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM mo),
+e2 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM e1),
+e3 AS (SELECT *, greatest(least(((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p), 1.0), -1.0) AS co FROM e2),
+e4 AS (SELECT *, q + 2 * p * cos(acos(co) / 3 + 2 * pi() / 3) AS l FROM e3),
+e5 AS (SELECT *, [xy * yz - xz * (yy - l), xz * xy - (xx - l) * yz, (xx - l) * (yy - l) - xy * xy] AS u, [xy * (zz - l) - xz * yz, xz * xz - (xx - l) * (zz - l), (xx - l) * yz - xy * xz] AS v, [(yy - l) * (zz - l) - yz * yz, yz * xz - xy * (zz - l), xy * yz - (yy - l) * xz] AS w FROM e4),
+e6 AS (SELECT *, CASE WHEN list_inner_product(u, u) >= list_inner_product(v, v) AND list_inner_product(u, u) >= list_inner_product(w, w) THEN u WHEN list_inner_product(v, v) >= list_inner_product(w, w) THEN v ELSE w END AS d FROM e5),
+e7 AS (SELECT *, CASE WHEN d[3] < 0 THEN -1 ELSE 1 END / sqrt(list_inner_product(d, d)) AS t FROM e6)"""
+_SIDES = ", ".join(f"round({f}({c}), 4) AS {f}_{c}" for f in ("min", "max") for c in "xyz")
+_MOMENTS = "covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz"
+
+
+@query("a12_principal_normals", f"WITH {EVENTS_SQL}, mo AS (SELECT label, count(*) AS size, {_SIDES}, {', '.join(f'round(avg({c}), 4) AS m_{c}' for c in 'xyzrgb')}, {_MOMENTS} FROM ev GROUP BY label), {_EIGEN} SELECT label, size, min_x, min_y, min_z, max_x, max_y, max_z, {', '.join(f'm_{c} AS {c}' for c in 'xyzrgb')}, round(d[1] * t, 4) AS nx, round(d[2] * t, 4) AS ny, round(d[3] * t, 4) AS nz, round(greatest(l, 0) / (xx + yy + zz), 4) AS curvature FROM e7")
 def _(spark, d):
     return rounded(segments.supervoxels(event_points(spark, d), ("r", "g", "b")), 4)
 
@@ -416,7 +426,17 @@ def _(spark, d):
     return rounded(s.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("nx") * F.col("brightness")).alias("sx"), F.sum(F.col("nz") * F.col("nz")).alias("szz")), 5)
 
 
-@query("a20_light")
+_LIGHT_SQL = f"""{PLACED_SQL}, {SPECTRA_SQL}, n AS (SELECT pixel, sum(nx * nz) / sum(nz) AS nx, sum(ny * nz) / sum(nz) AS ny, sum(nz * nz) / sum(nz) AS nz FROM pt GROUP BY pixel),
+g AS (SELECT label FROM pt GROUP BY label HAVING count(*) > 50), c AS (SELECT DISTINCT label, pixel FROM pt JOIN g USING (label)),
+sa AS (SELECT c.label, n.nx AS x, n.ny AS y, n.nz AS z, list_sum(bands) / len(bands) AS b FROM c JOIN n USING (pixel) JOIN (SELECT pixel, bands FROM hsi) h USING (pixel)),
+no AS (SELECT label, sum(x * x) AS a11, sum(x * y) AS a12, sum(x * z) AS a13, sum(y * y) AS a22, sum(y * z) AS a23, sum(z * z) AS a33, sum(x * b) AS b1, sum(y * b) AS b2, sum(z * b) AS b3 FROM sa GROUP BY label),
+iv AS (SELECT label, (a22 * a33 - a23 * a23) * b1 + (a13 * a23 - a12 * a33) * b2 + (a12 * a23 - a13 * a22) * b3 AS u, (a13 * a23 - a12 * a33) * b1 + (a11 * a33 - a13 * a13) * b2 + (a12 * a13 - a11 * a23) * b3 AS v,
+  (a12 * a23 - a13 * a22) * b1 + (a12 * a13 - a11 * a23) * b2 + (a11 * a22 - a12 * a12) * b3 AS w, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det FROM no),
+un AS (SELECT sign(det) * u / sqrt(u * u + v * v + w * w) AS lx, sign(det) * v / sqrt(u * u + v * v + w * w) AS ly, sign(det) * w / sqrt(u * u + v * v + w * w) AS lz FROM iv)
+SELECT """ + ", ".join(f"round(CASE WHEN sum(l{c}) < 0 THEN -1 ELSE 1 END * sqrt(avg(l{c} * l{c})), 4) AS l{c}" for c in "xyz") + " FROM un"
+
+
+@query("a20_light", f"WITH {_LIGHT_SQL}")
 def _(spark, d):
     t = placed(spark, d)
     return rounded(light.combined_light(light.light_directions(light.light_samples(t, grid.normal_image(t, GRID), spectra(spark, d), least_points=50))), 4)
@@ -428,7 +448,7 @@ def _(spark, d):
     return rounded(segments.nearest_spread(knn.nearest_within(t, t, 1.5, 5), F.col("d2")))
 
 
-@query("a23_octree_leaves")
+@query("a23_octree_leaves", f"WITH {EVENTS_SQL}, bx AS (SELECT min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, min(z) AS z1, max(z) AS z2, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS e FROM ev), dp AS (SELECT *, CAST(greatest(ceil(log2(e * 1.01 / (4.0 * 4 / 3))), 0) AS INTEGER) AS depth FROM bx), sz AS (SELECT *, e * 1.01 / pow(2, depth) AS s FROM dp) SELECT min(depth) AS depth, count(DISTINCT (CAST(floor((x - least(x1, (x1 + x2) / 2 - e / 2)) / s) AS BIGINT), CAST(floor((y - least(y1, (y1 + y2) / 2 - e / 2)) / s) AS BIGINT), CAST(floor((z - least(z1, (z1 + z2) / 2 - e / 2)) / s) AS BIGINT))) AS leaves FROM ev, sz")
 def _(spark, d):
     return grid.octree_leaves(event_points(spark, d), 4.0)
 
@@ -441,6 +461,13 @@ def _(spark, d):
 # ---- rasters
 
 
+# The Sobel kernels over 8 along columns and along rows, as the definitions state them, and turned by half a circle.
+_KX = ((0.125, 0.0, -0.125), (0.25, 0.0, -0.25), (0.125, 0.0, -0.125))
+_KY = ((0.125, 0.25, 0.125), (0.0, 0.0, 0.0), (-0.125, -0.25, -0.125))
+_KX_TURNED = ((-0.125, 0.0, 0.125), (-0.25, 0.0, 0.25), (-0.125, 0.0, 0.125))
+_KY_TURNED = ((-0.125, -0.25, -0.125), (0.0, 0.0, 0.0), (0.125, 0.25, 0.125))
+
+
 def _stencil(kernel, out: str) -> str:
     taps = " + ".join(f"{kernel[u][v]!r} * max(CASE WHEN dr = {1 - u} AND dc = {1 - v} THEN n.value END)" for u in range(3) for v in range(3))
     return f"{taps} AS {out}"
@@ -450,12 +477,12 @@ _AROUND = f"""st AS (SELECT a.range - 1 AS dr, b.range - 1 AS dc FROM range(3) a
 ne AS (SELECT h.row, h.col, dr, dc, least(greatest(h.row + dr, 0), {GRID.height - 1}) AS r2, least(greatest(h.col + dc, 0), {GRID.width - 1}) AS c2 FROM hz h, st)"""
 
 
-@query("w1_convolved", f"WITH {HEIGHTS_SQL}, {_AROUND} SELECT ne.row, ne.col, round({_stencil(fn.SOBEL_X, 'out').replace(' AS out', '')}, 6) AS out FROM ne JOIN hz n ON n.row = r2 AND n.col = c2 GROUP BY ne.row, ne.col")
+@query("w1_convolved", f"WITH {HEIGHTS_SQL}, {_AROUND} SELECT ne.row, ne.col, round({_stencil(_KX, 'out').replace(' AS out', '')}, 6) AS out FROM ne JOIN hz n ON n.row = r2 AND n.col = c2 GROUP BY ne.row, ne.col")
 def _(spark, d):
     return rounded(raster.convolved(heights(spark, d), fn.SOBEL_X).select("row", "col", "out"))
 
 
-@query("w2_surface_normals", f"WITH {HEIGHTS_SQL}, {_AROUND}, s AS (SELECT ne.row, ne.col, {_stencil(fn.normal_filters()[3], 'n1')}, {_stencil(fn.normal_filters()[2], 'n2')} FROM ne JOIN hz n ON n.row = r2 AND n.col = c2 GROUP BY ne.row, ne.col), t AS (SELECT *, 1 / sqrt(n1 * n1 + n2 * n2 + 1) AS n3 FROM s) SELECT row, col, round(n1, 4) AS n1, round(n2, 4) AS n2, round(n2 * n3, 4) AS nx, round(n1 * n3, 4) AS ny, round(n3, 4) AS nz FROM t")
+@query("w2_surface_normals", f"WITH {HEIGHTS_SQL}, {_AROUND}, s AS (SELECT ne.row, ne.col, {_stencil(_KY_TURNED, 'n1')}, {_stencil(_KX_TURNED, 'n2')} FROM ne JOIN hz n ON n.row = r2 AND n.col = c2 GROUP BY ne.row, ne.col), t AS (SELECT *, 1 / sqrt(n1 * n1 + n2 * n2 + 1) AS n3 FROM s) SELECT row, col, round(n1, 4) AS n1, round(n2, 4) AS n2, round(n2 * n3, 4) AS nx, round(n1 * n3, 4) AS ny, round(n3, 4) AS nz FROM t")
 def _(spark, d):
     return rounded(raster.surface_normals(heights(spark, d)).select("row", "col", "n1", "n2", "nx", "ny", "nz"), 4)
 
@@ -465,9 +492,23 @@ def _(spark, d):
     return raster.valid_in_window(heights(spark, d), F.col("value") > 4).select("row", "col", "n_valid")
 
 
-@query("w4_hillshade")
+# hue 0..180, saturation 191 and brightness, bytes, to blue, green and red
+_COLOUR = """k AS (SELECT row, col, hue / 30.0 - floor(hue / 30.0) AS f, CAST(floor(hue / 30.0) AS INTEGER) AS sector, v / 255.0 AS v, 191.0 / 255.0 AS s FROM hv),
+t AS (SELECT row, col, sector, v, v * (1 - s) AS p, v * (1 - s * f) AS q, v * (1 - s * (1 - f)) AS u FROM k)
+SELECT row, col, CAST(round_even(255 * CASE sector WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN u WHEN 3 THEN v WHEN 4 THEN v ELSE q END, 0) AS INTEGER) AS b,
+  CAST(round_even(255 * CASE sector WHEN 0 THEN u WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q WHEN 4 THEN p ELSE p END, 0) AS INTEGER) AS g,
+  CAST(round_even(255 * CASE sector WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN u ELSE v END, 0) AS INTEGER) AS r FROM t"""
+_SLOPES = f"ne2 AS (SELECT h.row, h.col, dr, dc, least(greatest(h.row + dr, 0), {GRID.height - 1}) AS r2, least(greatest(h.col + dc, 0), {GRID.width - 1}) AS c2 FROM zz h, (SELECT a.range - 1 AS dr, b.range - 1 AS dc FROM range(3) a, range(3) b)), sl AS (SELECT ne2.row, ne2.col, {_stencil(_KX, 'n1')}, {_stencil(_KY, 'n2')} FROM ne2 JOIN zz n ON n.row = r2 AND n.col = c2 GROUP BY ne2.row, ne2.col), nn AS (SELECT zz.*, 1 / sqrt(n1 * n1 + n2 * n2 + 1) AS n3 FROM sl JOIN zz USING (row, col))"
+
+
+@query("w4_hillshade", f"WITH {HEIGHTS_SQL}, zz AS (SELECT row, col, CASE WHEN value > -999 THEN value ELSE 0.0 END AS value FROM hz), {_SLOPES}, hv AS (SELECT row, col, round_even((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) * 0.75 * 180, 0) AS hue, round_even(((n3 - min(n3) OVER ()) / (max(n3) OVER () - min(n3) OVER ()) * 0.75 + 0.25) * 255, 0) AS v FROM nn), {_COLOUR}")
 def _(spark, d):
-    return rounded(raster.hillshade(heights(spark, d), valid_min=-999.0), 4)
+    return raster.hillshade(heights(spark, d), valid_min=-999.0)
+
+
+@query("w5_masked_shade", f"WITH {HEIGHTS_SQL}, zz AS (SELECT row, col, value, value > -999 AS inside FROM hz), {_SLOPES}, en AS (SELECT min(value) FILTER (inside) AS lo, max(value) FILTER (inside) AS hi, min(n3) AS na, max(n3) AS nb FROM nn), hv AS (SELECT row, col, CASE WHEN inside THEN floor((value - lo) / (hi - lo) * 0.75 * 180) ELSE 0.0 END AS hue, floor(((n3 - na) / (nb - na) * 0.75 + 0.25) * 255) AS v FROM nn, en), {_COLOUR}")
+def _(spark, d):
+    return raster.masked_shade(heights(spark, d), F.col("value") > -999.0)
 
 
 @query("w8_contour_mask")
@@ -483,24 +524,12 @@ def _(spark, d):
 # ---- order, sets, shadows, segmentation
 
 
-@query("o1_sorted", f"WITH {EVENTS_SQL} SELECT point_id, row_number() OVER (ORDER BY y, x, point_id) - 1 AS place FROM ev WHERE label = 3")
+@query("o1_sorted", f"WITH {EVENTS_SQL} SELECT point_id, row_number() OVER (ORDER BY y, x, point_id) - 1 AS place FROM ev")
 def _(spark, d):
-    t = event_points(spark, d).where("label = 3")
-    return segments.ranked(t.select("point_id", "y", "x"), ["y", "x", "point_id"]).select("point_id", "place")
+    return ranked(event_points(spark, d).select("point_id", "y", "x"), ["y", "x", "point_id"]).select("point_id", "place")
 
 
-@query("o1_sorted_cloud", f"WITH {EVENTS_SQL} SELECT point_id, row_number() OVER (ORDER BY y, x, point_id) - 1 AS place FROM ev")
-def _(spark, d):
-    return segments.ranked(event_points(spark, d).select("point_id", "y", "x"), ["y", "x", "point_id"]).select("point_id", "place")
-
-
-@query("u1_united", f"WITH {EVENTS_SQL} SELECT point_id, x, y, z FROM ev UNION ALL SELECT point_id, x, y, z FROM ev WHERE label < 3")
-def _(spark, d):
-    t = event_points(spark, d)
-    return segments.united(t.select("point_id", "x", "y", "z", "r"), t.where("label < 3").select("point_id", "x", "y", "z", "nz"))
-
-
-@query("u1_united_clouds", f"WITH {EVENTS_SQL} SELECT point_id, x, y, z FROM ev UNION ALL SELECT point_id, x, y, z FROM ev")
+@query("u1_united", f"WITH {EVENTS_SQL} SELECT point_id, x, y, z FROM ev UNION ALL SELECT point_id, x, y, z FROM ev")
 def _(spark, d):
     t = event_points(spark, d)
     return segments.united(t.select("point_id", "x", "y", "z", "r"), t.select("point_id", "x", "y", "z", "nz"))
@@ -536,7 +565,10 @@ def _(spark, d):
     return segmentation.region_growing(segments.point_normals(t, neighbours=near), near)
 
 
-@query("g12_occluded")
+_MOVED = f"SELECT point_id, pixel, label, x AS x_at, y AS y_at, x - z / {LIGHT[2]!r} * {LIGHT[0]} AS x, y - z / {LIGHT[2]!r} * {LIGHT[1]} AS y, z / {LIGHT[2]!r} AS z FROM pt"
+
+
+@query("g12_occluded", f"WITH {PLACED_SQL}, mv AS ({_MOVED}), bx AS (SELECT pixel AS point_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, min(z) AS z1, max(z) AS z2, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM mv GROUP BY pixel), {_BRUTE.format('bx', 50)} SELECT point_id FROM pt WHERE pixel IN (SELECT a.point_id FROM nb JOIN bx a ON a.point_id = query_id JOIN bx b ON b.point_id = nbr_id WHERE a.x >= b.x1 - 0.5 AND a.x <= b.x2 + 0.5 AND a.y >= b.y1 - 0.5 AND a.y <= b.y2 + 0.5 AND a.z2 <= b.z1 - 0.5)")
 def _(spark, d):
     return segments.occluded(placed(spark, d).withColumn("label", F.col("pixel")), LIGHT, 0.5, 0.5)
 
@@ -546,12 +578,12 @@ def _(spark, d):
     return rounded(inpainting.inpainted(heights(spark, d), 1.0, 1.0, -1000.0), 4)
 
 
-@query("l9_point_normals")
+@query("l9_point_normals", f"WITH {EVENTS_SQL}, {_BRUTE.format('ev', 10)}, mo AS (SELECT query_id AS point_id, {_MOMENTS} FROM nb JOIN ev ON ev.point_id = nbr_id GROUP BY query_id), {_EIGEN} SELECT point_id, round(d[1] * t, 4) AS nx, round(d[2] * t, 4) AS ny, round(d[3] * t, 4) AS nz, round(greatest(l, 0) / (xx + yy + zz), 4) AS curvature FROM e7")
 def _(spark, d):
     return rounded(segments.point_normals(event_points(spark, d), 10), 4)
 
 
-@query("c13_shadow_cells")
+@query("c13_shadow_cells", f"WITH {PLACED_SQL}, mv AS ({_MOVED}), fg AS (SELECT min(x) AS x0, max(y) AS y0, CAST(trunc((max(x) - min(x)) / 2.0) AS INTEGER) AS w, CAST(trunc((max(y) - min(y)) / 2.0) AS INTEGER) AS h FROM mv), ce AS (SELECT point_id, pixel, z, CAST(greatest(least(CAST(trunc((y - y0) / -2.0) AS INTEGER), h - 1), 0) AS BIGINT) * w + greatest(least(CAST(trunc((x - x0) / 2.0) AS INTEGER), w - 1), 0) AS cell FROM mv, fg), sp AS (SELECT *, min(z) OVER (PARTITION BY cell) AS lo, max(z) OVER (PARTITION BY cell) AS hi FROM ce) SELECT DISTINCT pixel FROM sp WHERE hi - lo > 6.0 AND z - lo < 1.5")
 def _(spark, d):
     return grid.shadow_cells(event_points(spark, d), LIGHT, 2.0, GRID, 6.0, 1.5)
 
@@ -581,15 +613,21 @@ def _(spark, d):
     t = raster.scaled_cube(spectra(spark, d), 1e-4, keep_unit_max=True)
     size = t.agg(F.max("row") + 1, F.max("col") + 1).first()
     found = clustering.superpixels(t, size[0], size[1], 5, 0.1, 3, 64)
-    return clustering.connected_superpixels(found.join(t.select("pixel", "bands"), "pixel"), 5)
+    return clustering.connected_superpixels(found.join(t.select("pixel", "bands"), "pixel"), 5, size[0], size[1], 5, 0.1, 64)
+
 
+_HUE = lambda i, red: f"round(CASE WHEN seg = -1 THEN {red} ELSE CAST('0x' || substr(md5(seg || ':{i}'), 1, 2) AS INTEGER) / 255.0 END, 6)"
 
-@query("g20_hashed_colours")
+
+@query("g20_hashed_colours", f"WITH {EVENTS_SQL} SELECT point_id, seg AS label, {_HUE(0, 1.0)} AS r, {_HUE(1, 0.0)} AS g, {_HUE(2, 0.0)} AS b FROM ev")
 def _(spark, d):
     return rounded(segmentation.hashed_colours(event_points(spark, d).select("point_id", F.col("seg").alias("label"))))
 
 
-@query("w7_border_normals")
+@query("w7_border_normals", f"""WITH {HEIGHTS_SQL}, mk AS (SELECT row, col, value > 2 AS inside FROM hz),
+bo AS (SELECT DISTINCT a.row, a.col FROM mk a JOIN mk b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 WHERE a.inside AND NOT b.inside AND a.row BETWEEN 5 AND {GRID.height - 1 - 5} AND a.col BETWEEN 5 AND {GRID.width - 1 - 5}),
+me AS (SELECT bo.row, bo.col, -avg((m.row - bo.row) * exp(-5.0 * ((m.row - bo.row) * (m.row - bo.row) + (m.col - bo.col) * (m.col - bo.col)) / 25)) AS y, -avg((m.col - bo.col) * exp(-5.0 * ((m.row - bo.row) * (m.row - bo.row) + (m.col - bo.col) * (m.col - bo.col)) / 25)) AS x FROM bo JOIN mk m ON m.inside AND abs(m.row - bo.row) <= 5 AND abs(m.col - bo.col) <= 5 GROUP BY ALL)
+SELECT CAST(row * {GRID.width} + col AS BIGINT) AS pixel, row, col, round(y / sqrt(x * x + y * y), 6) AS ny, round(x / sqrt(x * x + y * y), 6) AS nx, round(-x / sqrt(x * x + y * y), 6) AS ty, round(y / sqrt(x * x + y * y), 6) AS tx FROM me""")
 def _(spark, d):
     mask = heights(spark, d).select("row", "col", (F.col("value") > 2).alias("inside"))
     return rounded(pipelines.border_normals(mask))
@@ -625,7 +663,7 @@ def _(spark, d):
     return pipelines.surface_superpixels(event_points(spark, d), GRID, 0.3, 5)
 
 
-@query("c9_light_direction")
+@query("c9_light_direction", f"WITH {_LIGHT_SQL}")
 def _(spark, d):
     return rounded(pipelines.light_direction(event_points(spark, d), spectra(spark, d), GRID, 50), 4)
 
@@ -635,6 +673,22 @@ def _(spark, d):
     return pipelines.class_supervoxels(with_class(spark, d), [("ground", 4.0, 0.6, 5), ("tree", 4.0, 0.6, 5), ("other", 4.0, 0.6, 5)]).select("point_id", "class", "label")
 
 
+@query("c10_class_supervoxels_within")
+def _(spark, d):
+    parts = [("ground", 4.0, 0.6, 5, 4.0), ("other", 4.0, 0.6, 5, 4.0), ("tree", 4.0, 0.6, 5, 4.0)]
+    return pipelines.class_supervoxels(with_class(spark, d), parts, heights={"other": pipelines.identity, "tree": pipelines.identity}).select("point_id", "class", "label")
+
+
+@query("c11_class_segments")
+def _(spark, d):
+    return pipelines.class_segments(with_class(spark, d), [("other", 0.6, 20), ("tree", 0.6, 20), ("ground", 0.6, 20)]).select("point_id", "class", "label")
+
+
+@query("c11_fused_supervoxels")
+def _(spark, d):
+    return pipelines.fused_supervoxels(event_points(spark, d), 60)
+
+
 @query("c12_reflectance")
 def _(spark, d):
     return rounded(pipelines.reflectance(event_points(spark, d), spectra(spark, d), GRID, LIGHT, 15.0, 0.2), 4)
@@ -645,12 +699,43 @@ def _(spark, d):
     return rounded(pipelines.gamma_shown(raster.bands_long(spectra(spark, d), [20, 27, 17]), 0.5).select("pixel", "band", "shown"))
 
 
+@query("s1_tiff_round_trip", f"WITH {SPECTRA_SQL} SELECT pixel, row, col, CAST(band AS INTEGER) AS band, value FROM (SELECT pixel, row, col, {_LONG} FROM hsi)")
+def _(spark, d):
+    path = f"{shared_path(spark, 'raster')}/cube.tif"
+    tiff.write_raster(spectra(spark, d), path, TRANSFORM)
+    return raster.bands_long(tiff.read_rasters(spark, path)[0])
+
+
+@query("s1_tiff_heads", f"WITH {SPECTRA_SQL} SELECT '0.0,2.0,0.0,60.0,0.0,-2.0' AS gt, 'a projection' AS prj, max(row) + 1 AS height, max(col) + 1 AS width, max(len(bands))::INTEGER AS n_bands FROM hsi")
+def _(spark, d):
+    path = f"{shared_path(spark, 'raster')}/cube.tif"
+    tiff.write_raster(spectra(spark, d), path, TRANSFORM, "a projection")
+    return tiff.read_rasters(spark, path)[1].select(F.array_join(F.col("gt").cast("array<string>"), ",").alias("gt"), "prj", "height", "width", "n_bands")
+
+
+@query("s3_las_round_trip", f"WITH {EVENTS_SQL}, lo AS (SELECT min(x) AS x1, min(y) AS y1, min(z) AS z1 FROM ev) SELECT {', '.join(f'round(round_even(({c} - {c}1) / 0.001, 0) * 0.001 + {c}1, 6) AS {c}' for c in 'xyz')}, CAST(trunc(intensity) AS DOUBLE) AS intensity, label AS classification, num_returns, round(CAST(point_id AS DOUBLE), 6) AS gps_time FROM ev, lo")
+def _(spark, d):
+    path = f"{shared_path(spark, 'cloud')}/points.las"
+    points = event_points(spark, d).select(*"xyz", "intensity", F.col("label").alias("classification"), "num_returns", F.col("point_id").cast("double").alias("gps_time"))
+    tiff.write_bytes(spark, path, las.encode(points.toPandas()))
+    return rounded(las.point_columns(las.read_points(spark, path)))
+
+
+@query("f12_attributes", "SELECT * FROM (VALUES ('points', true), ('normals', true), ('colors', true), ('curvatures', false)) t(attribute, held)")
+def _(spark, d):
+    cloud = event_points(spark, d)
+    return spark.createDataFrame([(a, clouds.has(cloud, a)) for a in clouds.ATTRIBUTES], "attribute string, held boolean")
+
+
 @query("s9_column_major", "SELECT CAST(i % 30 AS INTEGER) AS row, CAST((i // 30) % 25 AS INTEGER) AS col, CAST(i // 750 AS INTEGER) AS band, CAST(i * 0.5 AS DOUBLE) AS value FROM range(2250) t(i)")
 def _(spark, d):
     return tiff.column_major(spark.range(2250).select(F.col("id").alias("i"), (F.col("id") * 0.5).alias("value")), 30, 25)
 
 
-@query("s10_cube_cloud")
+_PART = lambda i: f"CAST('0x' || substr(md5(i || ':0:{i}'), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query("s10_cube_cloud", f"WITH t AS (SELECT i, i // 50 AS face, (i // 50) % 3 AS axis FROM range(300) r(i)) SELECT i AS point_id, " + ", ".join(f"round(CASE WHEN axis = {k} THEN face // 3 ELSE {_PART(k)} END, 6) AS {c}" for k, c in enumerate("xyz")) + ", " + ", ".join(f"CASE WHEN axis = {k} THEN 1.0::DOUBLE WHEN face >= 3 THEN 0.5 ELSE 0.0 END AS {c}" for k, c in enumerate("rgb")) + " FROM t")
 def _(spark, d):
     return rounded(las.cube_cloud(spark, 50))
 

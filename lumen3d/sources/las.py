@@ -79,8 +79,8 @@ def point_columns(points: DataFrame) -> DataFrame:
 
 
 def cube_cloud(spark: SparkSession, size: int, length: tuple[float, float, float] = (1.0, 1.0, 1.0), offset: tuple[float, float, float] = (0.0, 0.0, 0.0), seed: int = 0) -> DataFrame:
-    """size points on each face of a box, by a hash of their number, in a colour for each face."""
-    part = lambda i: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / float(1 << 30)
+    """size points on each face of a box, by digits of the MD5 digest of their number, in a colour for each face."""
+    part = lambda i: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}:{i}")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     face, axis = (F.floor(F.col("id") / size)).cast("int"), (F.floor(F.col("id") / size) % 3).cast("int")
     side = F.floor(face / 3).cast("double")
     place = [F.when(axis == i, side).otherwise(part(i)) * length[i] + offset[i] for i in range(3)]

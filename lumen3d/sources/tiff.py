@@ -22,8 +22,8 @@ KINDS = {1: "u", 2: "i", 3: "f"}
 WRITTEN = ("uint8", "uint16", "float32", "float64")
 
 
-def decode(content: bytes) -> tuple[np.ndarray, list[float], str]:
-    """(height, width, bands) samples, the geotransform and the projection's text."""
+def tags_of(content: bytes) -> tuple[str, dict]:
+    """The byte order and the tags of the first image."""
     order = {b"II": "<", b"MM": ">"}.get(content[:2])
     if order is None or struct.unpack(order + "H", content[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
@@ -36,7 +36,19 @@ def decode(content: bytes) -> tuple[np.ndarray, list[float], str]:
         letter, size = TYPES[kind]
         place = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(order + "I", content, at + 10 + 12 * k)[0]
         tags[tag] = content[place : place + count].rstrip(b"\0").decode("utf-8", "replace") if letter == "s" else list(struct.unpack_from(f"{order}{count * len(letter)}{letter[0]}", content, place))
-    height, width, bands = tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, [1])[0]
+    return order, tags
+
+
+def head_of(tags: dict) -> tuple[list[float], str, int, int, int]:
+    """The geotransform, the projection's text, height, width and bands; no sample is decoded."""
+    scale, tie = tags.get(PIXEL_SCALE, [1.0, -1.0, 0.0]), tags.get(TIE_POINT, [0.0] * 6)
+    return [tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1]], tags.get(GEO_TEXT, ""), tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, [1])[0]
+
+
+def decode(content: bytes) -> tuple[np.ndarray, list[float], str]:
+    """(height, width, bands) samples, the geotransform and the projection's text."""
+    order, tags = tags_of(content)
+    transform, projection, height, width, bands = head_of(tags)
     kind = np.dtype(f"{order}{KINDS[tags.get(SAMPLE_FORMAT, [1])[0]]}{tags.get(BITS, [8])[0] // 8}")
     packed = tags.get(COMPRESSION, [1])[0]
     if packed not in (1, 8, 32946):
@@ -45,8 +57,7 @@ def decode(content: bytes) -> tuple[np.ndarray, list[float], str]:
     data = np.frombuffer(b"".join(zlib.decompress(s) if packed != 1 else s for s in strips), kind)
     apart = tags.get(PLANAR, [1])[0] == 2
     samples = data.reshape(bands, height, width).transpose(1, 2, 0) if apart else data.reshape(height, width, bands)
-    scale, tie = tags.get(PIXEL_SCALE, [1.0, -1.0, 0.0]), tags.get(TIE_POINT, [0.0] * 6)
-    return samples, [tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1]], tags.get(GEO_TEXT, "")
+    return samples, transform, projection
 
 
 def encode(samples: np.ndarray, transform: list[float], projection: str = "") -> bytes:
@@ -91,8 +102,7 @@ def read_rasters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                samples, transform, projection = decode(bytes(content))
-                yield pd.DataFrame([(name, transform, projection, *samples.shape)], columns=["path", "gt", "prj", "height", "width", "n_bands"])
+                yield pd.DataFrame([(name, *head_of(tags_of(bytes(content))[1]))], columns=["path", "gt", "prj", "height", "width", "n_bands"])
 
     return files.mapInPandas(pixels, "path string, pixel long, row int, col int, bands array<double>"), files.mapInPandas(heads, "path string, gt array<double>, prj string, height int, width int, n_bands int")
 

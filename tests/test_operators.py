@@ -110,6 +110,69 @@ def test_chain_of_five_merges_as_computed_by_hand(spark):
     assert got == [0, 0, 0, 1, 1]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_graph_segments_in_rounds(spark, seed):
+    """Rounds that decide links out of order end where the plain order does; ties in weight included."""
+    rng = np.random.default_rng(seed)
+    n = 80
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, n, (260, 2)) if a != b}
+    edges = [(np.float32(round(rng.random(), 1 + seed)), a, b) for a, b in pairs]
+    links = spark.createDataFrame([(a, b, float(w)) for w, a, b in edges], "a long, b long, w double")
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    want = merged_by_hand(n, edges, 0.3, 4)
+    want = [sorted(set(want)).index(x) for x in want]
+    for most in (0, 40):
+        assert segmentation.graph_segments(nodes, links, 0.3, 4, most=most).orderBy("node").toPandas()["label"].tolist() == want
+
+
+def test_regions_of_a_size_from_chosen_seeds(spark):
+    side = np.array([(x, y, 0) for x in range(6) for y in range(6)], float) / 6
+    xyz = np.concatenate([side, side[:9] + [3, 0, 0], side + [6, 0, 0]])
+    t = cloud(spark, xyz)
+    near = knn.k_nearest(t, t, 5)
+    normals = segments.point_normals(t, neighbours=near)
+    labels = lambda **more: segmentation.region_growing(normals, near, **more).orderBy("point_id").toPandas()["label"].to_numpy()
+    sized = labels(least=20)
+    assert set(sized[:36]) == {0} and set(sized[36:45]) == {-1} and set(sized[45:]) == {1}
+    assert set(labels(most=20)[36:45]) == {0} and set(labels(most=20)[:36]) == {-1}
+    seeded = labels(seeds=spark.createDataFrame([(50,), (50,)], "point_id long"))
+    assert set(seeded[:45]) == {-1} and set(seeded[45:]) == {0}
+
+
+def test_k_nearest_of_clusters_and_outliers(spark):
+    rng = np.random.default_rng(3)
+    xyz = np.concatenate([rng.normal(size=(500, 3)) * 1e-3, rng.normal(size=(300, 3)) * 0.2 + 5, rng.random((60, 3)) * 40, [[1000.0, -900.0, 3.0]], np.zeros((9, 3)), np.zeros((9, 3)) + 7])
+    t = cloud(spark, xyz)
+    d2 = sum((xyz[:, None, a] - xyz[None, :, a]) ** 2 for a in range(3))
+    for k, more in ((4, {}), (7, {"tile_points": 8, "most": 50})):
+        got = knn.k_nearest(t, t, k, **more).toPandas().sort_values(["query_id", "rank"])
+        want = np.array([np.lexsort((np.arange(len(xyz)), row))[:k] for row in d2])
+        assert (got["nbr_id"].to_numpy().reshape(-1, k) == want).all()
+        assert (got["rank"].to_numpy().reshape(-1, k) == np.arange(1, k + 1)).all()
+        assert np.allclose(got["d2"].to_numpy().reshape(-1, k), np.take_along_axis(d2, want, 1))
+
+
+def test_k_nearest_compares_as_many_pairs_in_clustered_clouds(spark):
+    rng = np.random.default_rng(4)
+    n, counts = 20_000, []
+    clustered = np.concatenate([rng.normal(size=(n // 2, 3)) * 1e-3, rng.normal(size=(n // 4, 3)) + 20, rng.random((n // 4, 3)) * 50, rng.random((5, 3)) * 5000])
+    for xyz in (rng.random((n, 3)), np.concatenate([rng.random((n, 3)), [[1000.0, 0.0, 0.0]]]), clustered):
+        compared = spark.sparkContext.accumulator(0)
+        t = cloud(spark, xyz)
+        assert knn.k_nearest(t, t, 10, compared=compared).write.format("noop").mode("overwrite").save() is None
+        counts.append(compared.value)
+    assert max(counts[1:]) <= 10 * counts[0]
+
+
+def test_queries_outside_the_points(spark):
+    rng = np.random.default_rng(5)
+    xyz = rng.random((700, 3))
+    asked = np.concatenate([rng.random((40, 3)) * 6 - 3, [[np.nan, 0, 0]]])
+    got = knn.k_nearest(cloud(spark, asked), cloud(spark, xyz), 3, tile_points=16).toPandas().sort_values(["query_id", "rank"])
+    d2 = ((asked[:40, None] - xyz[None]) ** 2).sum(-1)
+    assert (got["nbr_id"].to_numpy().reshape(-1, 3) == np.argsort(d2, axis=1)[:, :3]).all()
+
+
 def test_two_cubes_are_two_regions(spark):
     side = np.array([(x, y, 0) for x in range(8) for y in range(8)], float) / 8
     xyz = np.concatenate([side, side + [3, 0, 0]])

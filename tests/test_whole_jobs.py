@@ -14,7 +14,7 @@ def test_fusion_takes_the_whole_cloud(spark, sf_dir):
 
 
 def test_order_takes_the_whole_cloud_without_a_global_window(spark, sf_dir):
-    got = QUERIES["o1_sorted_cloud"](spark, sf_dir)
+    got = QUERIES["o1_sorted"](spark, sf_dir)
     points = event_points(spark, sf_dir).select("y", "x", "point_id").collect()
     assert [tuple(r) for r in got.orderBy("place").collect()] == [(r[2], i) for i, r in enumerate(sorted(points))]
     windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in x]
@@ -26,8 +26,8 @@ def test_boxes_and_unions_take_whole_clouds(spark, sf_dir):
     boxes = points.where("num_returns = 1").groupBy("label").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).collect()
     cells = grid.with_pixel(points, GRID).groupBy("pixel").agg((F.min("x") + F.max("x")) / 2, (F.min("y") + F.max("y")) / 2).collect()
     held = {p for p, x, y in cells if any(b[1] - 0.5 < x < b[2] + 0.5 and b[3] - 0.5 < y < b[4] + 0.5 for b in boxes)}
-    assert {r["label"] for r in QUERIES["j12_held_in_class_boxes"](spark, sf_dir).collect()} == held
-    assert QUERIES["u1_united_clouds"](spark, sf_dir).count() == 2 * points.count()
+    assert {r["label"] for r in QUERIES["j12_held_in_boxes"](spark, sf_dir).collect()} == held
+    assert QUERIES["u1_united"](spark, sf_dir).count() == 2 * points.count()
 
 
 class Asked(Exception):
