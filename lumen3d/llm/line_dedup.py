@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen3d.functions.tables import small_batches
-from lumen3d.llm.common import broadcast_if_small, row_key, shared_table, whole_text
+from lumen3d.llm.common import broadcast_if_small, shared_table, whole_text
 from lumen3d.llm.words import Words, by_size, distinct_by_row, mixed, rows_as_lists
 
 #: Bits of an order key: the power of two that its slot's count reaches, and the start of its hash.
@@ -24,6 +24,12 @@ ENTRY = np.dtype([("cls", "<i8"), ("m1", "<u8"), ("m2", "<u8"), ("token", "<i4")
 SLOT_BITS, BLOCKS = 19, 512
 
 
+#: Lines of a text that are bits of one number.
+BITS = 62
+#: What lines without words are made of.
+SPACES = " \t\x0b\x0c\r"
+
+
 def line_words(bodies: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """The words of texts, the ordinal of each word's line among lines with words, and those lines' texts and numbers."""
     words = Words(bodies, lower=True)
@@ -42,10 +48,15 @@ def rarity_table(rows: DataFrame) -> np.ndarray:
     per_block = (1 << SLOT_BITS) // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SLOT_BITS, np.int64)
+        seen, held, waiting = np.zeros(1 << SLOT_BITS, np.int64), [], 0
         for batch in by_size(batches, 0):
-            slots, n = np.unique(Words(batch.column(0), lower=True).hashes >> np.uint64(64 - SLOT_BITS), return_counts=True)
-            seen[slots.astype(np.int64)] += n
+            held.append((Words(batch.column(0), lower=True).hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+            waiting += len(held[-1])
+            if waiting >= 1 << SLOT_BITS:
+                seen += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS)
+                held, waiting = [], 0
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS)
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS), pa.int64()), pa.array([x.tobytes() for x in seen.reshape(BLOCKS, per_block)], pa.binary())], names=["block", "n"])
 
@@ -102,7 +113,7 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: Fraction) -> DataF
         table = shared.value
         for batch in by_size(batches, 2):
             words, line_of, texts, numbers = line_words(batch.column(2))
-            checks = words.checks()
+            checks = words.checks
             order_key = (table[(words.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] << np.uint64(HASH_BITS)) | (words.hashes >> np.uint64(64 - HASH_BITS))
             for at in range(0, len(texts), MOST_LINES):
                 n = min(MOST_LINES, len(texts) - at)
@@ -122,7 +133,7 @@ def line_sets(rows: DataFrame, rarity: np.ndarray, threshold: Fraction) -> DataF
                     names=["id", "uid", "line", "h1", "h2", "n", "m1", "m2", "prefix"],
                 )
 
-    return rows.select("uid", "id", "body").mapInArrow(sets, "id long, uid binary, line int, h1 long, h2 long, n int, m1 long, m2 long, prefix array<int>")
+    return rows.select("uid", "id", "body").mapInArrow(sets, "id long, uid long, line int, h1 long, h2 long, n int, m1 long, m2 long, prefix array<int>")
 
 
 def ordered_classes(lines: DataFrame) -> DataFrame:
@@ -243,8 +254,8 @@ def meetings(classes: DataFrame, threshold: Fraction, every: bool, only: np.ndar
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: Fraction, broadcast_rows: int) -> DataFrame:
     """pairs with similar, by the whole token sets of their classes' first lines."""
     p, q = threshold.numerator, threshold.denominator
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "uid", "line"), "cls").groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("line", "cls"))).alias("wanted"))
-    found = rows.join(broadcast_if_small(shared_table(needed, "line-needed"), broadcast_rows), "uid")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id", "uid", "line"), "cls").groupBy("id", "uid").agg(F.map_from_entries(F.collect_list(F.struct("line", "cls"))).alias("wanted"))
+    found = rows.join(broadcast_if_small(shared_table(needed, "line-needed"), broadcast_rows), ["id", "uid"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 0):
@@ -304,22 +315,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _with_kept_lines(docs: DataFrame, id_col: str, text_col: str, threshold: Fraction, broadcast_rows: int) -> DataFrame:
-    uid = row_key(id_col, text_col)
-    rows = docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("body"))
+    # a row's name: its identifier, null as the least number, and a hash of identifier and text that tells null from all others
+    name = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.col(id_col), F.col(text_col))]
+    rows = docs.select(name[0].alias("id"), name[1].alias("uid"), whole_text(text_col).alias("body"))
     classes = ordered_classes(line_sets(rows, rarity_table(rows), threshold))
-    stay = classes.join(later_matches(classes, rows, threshold, broadcast_rows), "cls", "left_anti").groupBy("uid").agg(F.collect_list("line").alias("stay"))
+    # lines as bits of numbers: those that stay are added up without lists
+    bit = lambda line: F.call_function("shiftleft", F.lit(1).cast("long"), line % BITS)
+    stay = classes.join(later_matches(classes, rows, threshold, broadcast_rows), "cls", "left_anti").groupBy("id", "uid", (F.col("line") / BITS).cast("int").alias("block")).agg(F.sum(bit(F.col("line"))).alias("stay"))
     # what goes is a fraction of the corpus; where it is small, texts need not move to meet it
-    none = F.array().cast("array<int>")
-    numbered = F.transform(F.split("body", "\n", -1), lambda x, i: F.when(F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")), i))
-    worded = rows.select("uid", F.array_compact(numbered).alias("worded")).dropDuplicates(["uid"])
-    gone = worded.join(stay, "uid", "left").select("uid", F.array_except("worded", F.coalesce("stay", none)).alias("_gone")).where(F.size("_gone") > 0)
-    gone = broadcast_if_small(shared_table(gone, "lines-gone").withColumnRenamed("uid", "_uid"), broadcast_rows)
+    marks = F.transform(F.split("body", "\n", -1), lambda x, i: F.when(F.ltrim(x, F.lit(SPACES)) != "", bit(i)).otherwise(F.lit(0).cast("long")))
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size("marks") - 1) / BITS).cast("int")), lambda b: F.aggregate(F.slice("marks", b * BITS + 1, BITS), F.lit(0).cast("long"), lambda total, x: total + x))
+    worded = rows.select("id", "uid", marks.alias("marks")).select("id", "uid", F.posexplode(blocks).alias("block", "worded")).where("worded <> 0").dropDuplicates(["id", "uid", "block"])
+    gone = worded.join(stay, ["id", "uid", "block"], "left").select("id", "uid", "block", F.col("worded").bitwiseAND(F.bitwise_not(F.coalesce("stay", F.lit(0).cast("long")))).alias("gone")).where("gone <> 0")
+    gone = gone.groupBy(F.col("id").alias("_id"), F.col("uid").alias("_uid")).agg(F.map_from_entries(F.collect_list(F.struct("block", "gone"))).alias("_gone"))
+    gone = broadcast_if_small(shared_table(gone, "lines-gone"), broadcast_rows)
     plain = docs.drop("n_lines", "n_removed_lines")
     names = {c: f"_c{i}" for i, c in enumerate(plain.columns)}
-    safe = plain.select(*[plain[c].alias(n) for c, n in names.items()], uid.alias("_uid"), F.split(whole_text(text_col), "\n", -1).alias("_lines"))
-    removed = F.coalesce("_gone", none)
-    kept = F.filter("_lines", lambda x, i: ~F.array_contains(removed, i))
-    found = safe.join(gone, "_uid", "left")
-    text = F.when(F.size(removed) > 0, F.array_join(kept, "\n")).otherwise(F.col(names[text_col]))
+    safe = plain.select(*[plain[c].alias(n) for c, n in names.items()], name[0].alias("_id"), name[1].alias("_uid"), F.split(whole_text(text_col), "\n", -1).alias("_lines"))
+    goes = lambda i: F.coalesce(F.element_at("_gone", (i / BITS).cast("int")), F.lit(0).cast("long")).bitwiseAND(bit(i)) != 0
+    found = safe.join(gone, ["_id", "_uid"], "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.filter("_lines", lambda x, i: ~goes(i))))
+    text = F.when(F.col("_gone").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(names[text_col]))
     columns = [(text if c == text_col else F.col(n)).alias(c) for c, n in names.items()]
-    return found.select(*columns, F.size("_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed_lines"))
+    n_lines = F.size("_lines").cast("long")
+    return found.select(*columns, n_lines.alias("n_lines"), F.when(F.col("_gone").isNotNull(), n_lines - F.size("_kept")).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))

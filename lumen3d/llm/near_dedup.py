@@ -66,7 +66,7 @@ def named_sets(bodies: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, li
     hashes, rows = hashes[order], rows[order]
     first = np.ones(len(rows), bool)
     first[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-    seconds = shingles_of(words, words.checks(), width)[0][order][first]
+    seconds = shingles_of(words, words.checks, width)[0][order][first]
     hashes, rows = hashes[first], rows[first]
     both, ends = np.column_stack([hashes, seconds]), np.searchsorted(rows, np.arange(len(bodies) + 1)).tolist()
     return hashes, rows, [hashlib.blake2b(both[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends, ends[1:], strict=False)]

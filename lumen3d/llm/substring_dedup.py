@@ -28,7 +28,7 @@ def each_text(bodies: pa.Array, checks: bool = False) -> Iterator:
     """The word hashes of each text; with checks, pairs of these and of the second values of its words."""
     words = Words(bodies, lower=False)
     ends = np.cumsum(words.counts())
-    second = words.checks() if checks else None
+    second = words.checks if checks else None
     return ((words.hashes[a:b], second[a:b]) if checks else words.hashes[a:b] for a, b in zip(np.concatenate([[0], ends]), ends, strict=False))
 
 

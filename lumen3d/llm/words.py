@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -14,33 +16,27 @@ try:
 except (OSError, AttributeError):
     _libc = None
 
-#: A multiplier of the greatest order modulo 2 ** 64, and its inverse.
-BASE = 0x9E3779B97F4A7C15 | 5
-INVERSE = pow(BASE, -1, 1 << 64)
-_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_AS_IS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWERED = _AS_IS[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
-
-_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Of a run of up to eight bytes, those that count in a 64-bit word.
-_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_COUNTED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Runs of more bytes are hashed one by one.
+_LONG = 256
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def is_space(data: np.ndarray) -> np.ndarray:
+    """ASCII white space: 0x20 and 0x09 to 0x0D."""
+    return ((data - np.uint8(9)) < 5) | (data == 32)
 
 
-def _powers_up_to(n: int) -> list[np.ndarray]:
-    """Powers of BASE and of its inverse, kept by each worker."""
-    while len(_powers[0]) < n:
-        for i, base in enumerate((BASE, INVERSE)):
-            _powers[i] = np.concatenate([_powers[i], _powers[i] * np.uint64(pow(base, len(_powers[i]), 1 << 64))])
-    return _powers
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return data | (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
 
 
 class Words:
     """The words of several texts as arrays: hashes, first bytes and ends, and the text that each is in.
 
-    Words are runs of anything but ASCII white space (0x20, 0x09 to 0x0D); their hashes are polynomials of a random
-    value for each byte, taken from running sums, and mixed. With lower, A-Z count as a-z.
+    Words are runs of anything but ASCII white space (0x20, 0x09 to 0x0D). With lower, A-Z count as a-z in hashes.
     """
 
     def __init__(self, column: pa.Array, lower: bool) -> None:
@@ -48,48 +44,61 @@ class Words:
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         base, size = (int(offsets[0]), int(offsets[-1] - offsets[0])) if len(column) else (0, 0)
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[base : base + size] if size else np.zeros(0, np.uint8)
-        self.bounds = offsets - base
-        self.data, self._lower = data, lower
+        self.bounds = offsets - base if len(column) else np.zeros(1, np.int64)
+        self.data = data
         space = np.ones(size + 2, bool)
-        space[1:-1] = _IS_SPACE[data]
-        begins = ~space[1:] & space[:-1]
-        ends = space[1:] & ~space[:-1]
-        inner = self.bounds[1:-1]
-        cut = inner[(inner > 0) & (inner < size)]
-        cut = cut[~space[cut + 1] & ~space[cut]]  # a word ends where its text does
-        begins[cut] = ends[cut] = True
-        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends)
-        powers, self._inverses = _powers_up_to(size + 1)
-        self._sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((_LOWERED if lower else _AS_IS)[data] * powers[:size], out=self._sums[1:])
-        self.hashes = self.hashes_of(self.starts, self.ends)
-        self.text = np.searchsorted(self.bounds, self.starts, side="right") - 1 if len(column) else np.zeros(0, np.int64)
-
-    def hashes_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of runs of bytes."""
-        return mixed((self._sums[ends] - self._sums[starts]) * self._inverses[starts] + (ends - starts).astype(np.uint64))
-
+        space[1:-1] = is_space(data)
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        inner = np.unique(self.bounds[1:-1])
+        inner = inner[(inner > 0) & (inner < size)]
+        cut = inner[~space[inner + 1] & ~space[inner]]
+        if len(cut):  # a word ends where its text does
+            cut = np.repeat(cut, 2)
+            edges = np.insert(edges, np.searchsorted(edges, cut), cut)
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self._bytes = np.zeros(size + 8, np.uint8)
+        self._bytes[:size] = lowered(data) if lower else data
+        self._eight = np.ndarray(size + 1, "<u8", self._bytes, strides=(1,))
+        self._counts = np.diff(np.searchsorted(self.starts, self.bounds))
+        self.text = np.repeat(np.arange(len(self._counts)), self._counts)
+
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        return self.hashes_of(self.starts, self.ends)
+
+    @functools.cached_property
     def checks(self) -> np.ndarray:
-        """64 more bits of each word, of its length and its first and last eight bytes.
-
-        Words of up to sixteen bytes are told apart by these alone, longer ones by hash and these together.
-        """
-        padded = np.zeros(len(self.data) + 8, np.uint8)
-        padded[: len(self.data)] = _LOWER[self.data] if self._lower else self.data
-        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
-        n = self.ends - self.starts
+        """64 more bits of each word: with the hash, its identity."""
+        return self.hashes_of(self.starts, self.ends, second=True)
+
+    def hashes_of(self, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+        """64 bits of each run of bytes, of its length and its bytes, eight at a time; second ones do not depend on the first."""
+        n = ends - starts
         short = np.minimum(n, 8)
-        first, last = eight[self.starts] & _FIRST_BYTES[short], eight[self.ends - short] & _FIRST_BYTES[short]
-        return mixed(mixed(first + np.uint64(0x9E3779B97F4A7C15) * n.astype(np.uint64)) ^ (last * np.uint64(0xD1B54A32D192ED03)))
+        counted = _COUNTED[short]
+        one, two = _ODD[2:] if second else _ODD[:2]
+        out = mixed((self._eight[starts] & counted) * one + n.astype(np.uint64))
+        out = mixed((out ^ (self._eight[ends - short] & counted)) * two)
+        left = np.flatnonzero(n > 16)
+        for place in range(8, _LONG, 8):  # what lies between the first and the last eight
+            left = left[(n[left] > place + 8) & (n[left] <= _LONG)] if place == 8 else left[n[left] > place + 8]
+            if not len(left):
+                break
+            out[left] = mixed((out[left] ^ self._eight[starts[left] + place]) * two + one)
+        for i in np.flatnonzero(n > _LONG).tolist():
+            digest = hashlib.blake2b(self._bytes[starts[i] : ends[i]], digest_size=16).digest()
+            out[i] = int.from_bytes(digest[8:] if second else digest[:8], "little")
+        return out
 
     def counts(self) -> np.ndarray:
         """Words of each text."""
-        return np.bincount(self.text, minlength=len(self.bounds) - 1)
+        return self._counts
 
     def lines(self) -> np.ndarray:
         """The number of each word's line in its text."""
         newlines = np.flatnonzero(self.data == 10)
-        return np.searchsorted(newlines, self.starts) - np.searchsorted(newlines, self.bounds[:-1])[self.text]
+        before = np.cumsum(np.bincount(np.searchsorted(self.starts, newlines), minlength=len(self.starts) + 1))[:-1]
+        return before - np.searchsorted(newlines, self.bounds[:-1])[self.text]
 
 
 def trim() -> None:
@@ -98,7 +107,7 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
-def by_size(batches, column: int, most_bytes: int = 500_000):
+def by_size(batches, column: int, most_bytes: int = 250_000):
     """Record batches cut into slices whose texts hold at most so many bytes, or one text."""
     for batch in batches:
         if not batch.num_rows:
