@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -130,42 +130,93 @@ def _demand(tokens) -> Query:
     return both(query, _of(run))
 
 
+#: Letters and the space by how often English text has them; trigrams that begin with what is not among them are the rarest.
+COMMON = " etaoinshrdlcumwfgypbvkjxqz"
+
+
+def demanded(query: Query, most: int = 2) -> Query:
+    """The query with the rarest trigrams of each alternative, as their first characters go: what it lets through is no less."""
+    rarity = lambda gram: (-(COMMON.index(gram[0]) if gram[0] in COMMON else len(COMMON)), gram)
+    return simplified(frozenset(frozenset(sorted(a, key=rarity)[:most]) for a in query))
+
+
+def any_of(grams: Sequence[str]) -> str:
+    """A pattern that matches, without consuming it, any of the trigrams at a place, as group 1: a tree over their characters, behind the class of the first."""
+
+    def tree(ends: set[str]) -> str:
+        by_first: dict[str, set[str]] = {}
+        for end in ends:
+            if end:
+                by_first.setdefault(end[0], set()).add(end[1:])
+        parts = [re.escape(c) + tree(rest) for c, rest in sorted(by_first.items())]
+        return f"(?:{'|'.join(parts)})" if len(parts) > 1 else "".join(parts)
+
+    firsts = "".join(re.escape(c) for c in sorted({g[0] for g in grams}))
+    return f"(?=[{firsts}])(?=({tree(set(grams))}))"
+
+
 def candidates(docs: DataFrame, rules: Sequence[Rule], id_col: str, text_col: str, rows_per_block: int = 4096) -> DataFrame:
     """(key, mask): documents that the trigram queries of the rules let through, a bit per rule.
 
-    The index holds the trigrams that the queries name. Documents are dealt into blocks of about rows_per_block
-    by a hash of their key; a posting list is the sorted keys of one trigram in one block, so that no list grows
-    with the corpus, however common its trigram. Each block's lists are intersected and united on their own.
+    The index holds the trigrams that the queries demand, which one pass over a text finds. Documents are dealt
+    into blocks of about rows_per_block by a hash of their key; a posting list is the sorted keys of one trigram in
+    one block, so that no list grows with the corpus, however common its trigram. Each block's lists are
+    intersected and united on their own.
     """
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY}
+    queries = {i: demanded(q) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY}
     grams = sorted(set().union(*(a for q in queries.values() for a in q)))
     blocks = -(-docs.count() // rows_per_block) or 1
     lowered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), F.lower(whole_text(text_col)).alias("low"))
-    held = lowered.select("key", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(n)) for n, g in enumerate(grams)])).alias("grams"))
-    postings = held.select("key", "block", F.explode("grams").alias("gram")).groupBy("block", "gram").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    named = F.array_distinct(F.regexp_extract_all("low", F.lit(any_of(grams)), F.lit(1))) if grams else F.array().cast("array<string>")
+    held = lowered.select("key", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.explode(named).alias("gram"))
+    postings = held.groupBy("block", "gram").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     none = F.array().cast("array<bigint>")
-    by_block = postings.groupBy("block").agg(*[F.coalesce(F.first(F.when(F.col("gram") == n, F.col("keys")), ignorenulls=True), none).alias(f"g{n}") for n in range(len(grams))])
+    by_block = postings.groupBy("block").agg(*[F.coalesce(F.first(F.when(F.col("gram") == g, F.col("keys")), ignorenulls=True), none).alias(f"g{n}") for n, g in enumerate(grams)])
     of = lambda alternative: functools.reduce(F.array_intersect, [F.col(f"g{grams.index(g)}") for g in sorted(alternative)])
     with_bit = lambda bit: lambda k: F.struct(k.alias("key"), F.lit(bit).alias("bit"))
     hits = [F.transform(functools.reduce(F.array_union, [of(a) for a in sorted(q, key=sorted)]), with_bit(1 << i)) for i, q in queries.items()]
     return by_block.select(F.explode(F.concat(*hits)).alias("hit")).groupBy("hit.key").agg(F.bit_or("hit.bit").alias("mask"))
 
 
+#: Matches of a text that are added up at once.
+RUN = 128
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Matches of a rule as structs (start, order, end) in code points: gaps and matches in turn add up to places."""
     pattern = F.lit(rule.pattern)
-    gaps, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    parts = F.arrays_zip(F.slice(F.transform(gaps, F.length), 1, F.size(whole)).alias("gap"), F.transform(whole, F.length).alias("n"), F.transform(value, F.length).alias("v"))
+    lengths = lambda texts: F.transform(texts, F.length)
     empty = F.array().cast("array<struct<start:int,order:int,end:int>>")
 
+    def parts_of(whole: Column) -> Column:
+        values = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
+        return F.arrays_zip(F.slice(lengths(F.split(text, rule.pattern, -1)), 1, F.size(whole)).alias("gap"), lengths(whole).alias("n"), lengths(values).alias("v"))
+
     def step(state: Column, part: Column) -> Column:
         start = state["at"] + part["gap"]
         end = start + part["n"]
         found = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(part["v"] >= rule.min_length, F.concat(state["found"], found)).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda state: state["found"])
+    def summed(run: Column, begin: Column) -> Column:
+        return F.aggregate(run, F.struct(begin.alias("at"), empty.alias("found")), step, lambda state: state["found"])
+
+    # a list that grows by one is copied each time: matches add up in runs of RUN, and runs' lengths among themselves
+    def in_runs(parts: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(RUN)), lambda i: F.slice(parts, i, RUN))
+        return bound(runs, lambda r: F.flatten(F.zip_with(r, begins_of(r), summed)))
+
+    def begins_of(runs: Column) -> Column:
+        total = lambda run: F.aggregate(run, F.lit(0), lambda n, part: n + part["gap"] + part["n"])
+        return F.aggregate(F.slice(runs, 1, F.size(runs) - 1), F.array(F.lit(0)), lambda before, run: F.concat(before, F.array(F.element_at(before, -1) + total(run))))
+
+    of_parts = lambda parts: F.when(F.size(parts) > RUN, in_runs(parts)).otherwise(summed(parts, F.lit(0)))
+    return bound(F.regexp_extract_all(text, pattern, F.lit(0)), lambda whole: bound(parts_of(whole), of_parts))
 
 
 def longest_first(rule: Rule) -> str:
