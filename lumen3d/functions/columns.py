@@ -70,3 +70,10 @@ def hsv_bytes(hue: Column, saturation: Column, value: Column) -> list[Column]:
     low, falling, rising = v * (1 - s), v * (1 - s * part), v * (1 - s * (1 - part))
     by_sector = {"b": (low, low, rising, v, v, falling), "g": (rising, v, v, falling, low, low), "r": (v, falling, low, low, rising, v)}
     return [F.rint(F.element_at(F.array(*of), (sector + 1).cast("int")) * 255).cast("int").alias(name) for name, of in by_sector.items()]
+
+
+def normal_colours(nx: Column, ny: Column, nz: Column) -> list[Column]:
+    """r, g, b of a normal: its parts (nz, nx, ny) as brightness and two differences, cut to 0..1, at the same hue and saturation but of brightness nz; 1 where there is no normal."""
+    parts = [F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)) for c in yuv_to_rgb(nz, nx, ny)]
+    most = F.greatest(*parts)
+    return [F.coalesce(F.when(most > 0, c * nz / most).otherwise(nz), F.lit(1.0)).alias(n) for c, n in zip(parts, "rgb", strict=True)]

@@ -38,7 +38,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 8 << 20):
+def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 2 << 20):
     """Arrow batches of at most so many rows and bytes, or one row, meanwhile: rows may hold long texts, and a batch is held whole on both sides."""
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": most_bytes}
     before = {name: spark.conf.get(name) for name in wanted}

@@ -147,6 +147,20 @@ def bands_long(pixels: DataFrame, bands: Sequence[int] | None = None) -> DataFra
     return pixels.select("pixel", "row", "col", F.explode(chosen).alias("b")).select("pixel", "row", "col", "b.*")
 
 
+def cube_faces(pixels: DataFrame) -> DataFrame:
+    """(face, place, band, shown): the four sides of a cube of bands, scaled to 0..1, weighted by one and the logarithm of the band's number, over their greatest.
+
+    Faces are first_row, last_row, first_col and last_col; place runs along them.
+    """
+    ends = pixels.agg(F.min(F.array_min("bands")).alias("_a"), F.max(F.array_max("bands")).alias("_b"), F.max("row").alias("_h"), F.max("col").alias("_w"))
+    sides = {"first_row": ("col", F.col("row") == 0), "last_row": ("col", F.col("row") == F.col("_h")), "first_col": ("row", F.col("col") == 0), "last_col": ("row", F.col("col") == F.col("_w"))}
+    on = F.array_compact(F.array(*[F.when(inside, F.struct(F.lit(face).alias("face"), F.col(along).alias("place"))) for face, (along, inside) in sides.items()]))
+    edges = pixels.join(F.broadcast(ends)).withColumn("side", F.explode(on)).select("side.face", "side.place", "_a", "_b", F.posexplode("bands").alias("band", "v"))
+    weighed = edges.select("face", "place", "band", ((F.log(F.col("band") + 1.0) + 1) * F.coalesce(F.try_divide(F.col("v") - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0))).alias("w"))
+    most = weighed.agg(F.max("w").alias("_most"))
+    return weighed.join(F.broadcast(most)).select("face", "place", "band", F.coalesce(F.try_divide("w", "_most"), F.lit(0.0)).alias("shown"))
+
+
 def grid_links(pixels: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """(a, b, a_column.., b_column..): each pair of 8-neighbours once, by its east, south, south-east and north-east neighbour."""
     steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, 0), (1, 1), (-1, 1))])

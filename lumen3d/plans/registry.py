@@ -624,6 +624,11 @@ def _(spark, d):
     return rounded(segmentation.hashed_colours(event_points(spark, d).select("point_id", F.col("seg").alias("label"))))
 
 
+@query("w6_normal_colours", f"WITH {EVENTS_SQL}, gr AS (SELECT point_id, nz, nx, ny, nz - 0.25 * (nx + ny) AS g FROM ev), cl AS (SELECT point_id, nz, least(greatest(ny + g, 0), 1) AS r, least(greatest(g, 0), 1) AS g, least(greatest(nx + g, 0), 1) AS b FROM gr) SELECT point_id, round(CASE WHEN greatest(r, g, b) > 0 THEN r / greatest(r, g, b) ELSE 1 END * nz, 6) AS r, round(CASE WHEN greatest(r, g, b) > 0 THEN g / greatest(r, g, b) ELSE 1 END * nz, 6) AS g, round(CASE WHEN greatest(r, g, b) > 0 THEN b / greatest(r, g, b) ELSE 1 END * nz, 6) AS b FROM cl")
+def _(spark, d):
+    return rounded(event_points(spark, d).select("point_id", *fn.normal_colours(F.col("nx"), F.col("ny"), F.col("nz"))))
+
+
 @query("w7_border_normals", f"""WITH {HEIGHTS_SQL}, mk AS (SELECT row, col, value > 2 AS inside FROM hz),
 bo AS (SELECT DISTINCT a.row, a.col FROM mk a JOIN mk b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 WHERE a.inside AND NOT b.inside AND a.row BETWEEN 5 AND {GRID.height - 1 - 5} AND a.col BETWEEN 5 AND {GRID.width - 1 - 5}),
 me AS (SELECT bo.row, bo.col, -avg((m.row - bo.row) * exp(-5.0 * ((m.row - bo.row) * (m.row - bo.row) + (m.col - bo.col) * (m.col - bo.col)) / 25)) AS y, -avg((m.col - bo.col) * exp(-5.0 * ((m.row - bo.row) * (m.row - bo.row) + (m.col - bo.col) * (m.col - bo.col)) / 25)) AS x FROM bo JOIN mk m ON m.inside AND abs(m.row - bo.row) <= 5 AND abs(m.col - bo.col) <= 5 GROUP BY ALL)
@@ -699,6 +704,11 @@ def _(spark, d):
     return rounded(pipelines.gamma_shown(raster.bands_long(spectra(spark, d), [20, 27, 17]), 0.5).select("pixel", "band", "shown"))
 
 
+@query("c15_cube_faces", f"WITH {SPECTRA_SQL}, en AS (SELECT min(list_min(bands)) AS lo, max(list_max(bands)) AS hi, max(row) AS h, max(col) AS w FROM hsi), fa AS (SELECT 'first_row' AS face, col AS place, bands FROM hsi WHERE row = 0 UNION ALL SELECT 'last_row', col, bands FROM hsi, en WHERE row = h UNION ALL SELECT 'first_col', row, bands FROM hsi WHERE col = 0 UNION ALL SELECT 'last_col', row, bands FROM hsi, en WHERE col = w), l AS (SELECT face, place, {_LONG} FROM fa), v AS (SELECT face, place, band, (ln(band + 1.0) + 1) * (value - lo) / (hi - lo) AS w FROM l, en) SELECT face, place, CAST(band AS INTEGER) AS band, round(w / max(w) OVER (), 6) AS shown FROM v")
+def _(spark, d):
+    return rounded(raster.cube_faces(spectra(spark, d)))
+
+
 @query("s1_tiff_round_trip", f"WITH {SPECTRA_SQL} SELECT pixel, row, col, CAST(band AS INTEGER) AS band, value FROM (SELECT pixel, row, col, {_LONG} FROM hsi)")
 def _(spark, d):
     path = f"{shared_path(spark, 'raster')}/cube.tif"

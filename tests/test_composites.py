@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from lumen3d.operators import clustering, light, merging, segmentation, segments
 from lumen3d.plans import pipelines
 from lumen3d.plans.fixtures import event_points
+from lumen3d.plans.registry import QUERIES
+from tests.by_hand import filled_by_hand
 
 
 def test_seeds_lie_on_a_grid():
@@ -121,6 +123,26 @@ def test_heights_of_a_class_may_be_decomposed(spark, sf_dir):
     assert (plain[plain["class"] == "ground"]["label"] == other[other["class"] == "ground"]["label"]).all()
 
 
+def test_composite_images_are_their_definitions(spark, sf_dir):
+    """c2, c3 and c4: per-cell sums by hand, holes filled by a dense system."""
+    points = event_points(spark, sf_dir).toPandas()
+    col = np.clip(np.trunc(points["x"] / 2).astype(int), 0, 24)
+    row = np.clip(np.trunc((points["y"] - 60) / -2).astype(int), 0, 29)
+    cells = points.groupby([row.rename("r"), col.rename("c")])
+    image = lambda series, fill: series.reindex(pd.MultiIndex.from_product([range(30), range(25)]), fill_value=fill).to_numpy().reshape(30, 25)
+    shown = lambda name, value: QUERIES[name](spark, sf_dir).toPandas().pivot(index="row", columns="col", values=value).to_numpy()
+    highest = image(cells["z"].max(), -1000.0)
+    assert (highest == -1000).any()  # there are holes
+    assert np.allclose(shown("c2_surface", "value"), filled_by_hand(highest, highest > -1000), atol=2e-4)
+    mean = image(cells["intensity"].mean(), 0.0)
+    mean = filled_by_hand(mean, mean > 0)
+    assert np.allclose(shown("c3_intensity_image", "value"), mean / mean.max(), atol=2e-4)
+    for part in ("nx", "ny", "nz"):
+        weighed = cells.apply(lambda f, part=part: (f[part] * f["nz"]).sum() / f["nz"].sum(), include_groups=False)
+        whole = image(weighed, -1.0)
+        assert np.allclose(shown("c4_normals_image", part), filled_by_hand(whole, whole > -1), atol=2e-4)
+
+
 def test_both_solvers_give_the_least_norm():
     rng = np.random.default_rng(2)
     s = rng.random((30, 12)) @ np.diag([1.0] * 9 + [0.0] * 3) @ rng.random((12, 12))
