@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumen3d.functions.tables import small_batches
 from lumen3d.llm.common import broadcast_if_small, shared_table, whole_text
-from lumen3d.llm.words import Words, by_size, distinct_by_row, mixed, rows_as_lists
+from lumen3d.llm.words import Words, by_size, distinct_by_row, mixed, rows_as_lists, trim
 
 #: Bits of an order key: the power of two that its slot's count reaches, and the start of its hash.
 RANK_BITS, HASH_BITS = 5, 45
@@ -245,6 +245,7 @@ def meetings(classes: DataFrame, threshold: Fraction, every: bool, only: np.ndar
                 held.append(blob)
         if held:
             yield out()
+        trim()
 
     n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)  # a task's buckets do not grow in number with the corpus
     met = dealt_entries(classes, buckets, only).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, more boolean")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen3d.llm.common import broadcast_if_small, row_key, shared_table, whole_text
-from lumen3d.llm.words import Words, by_size, distinct_by_row, mixed, rows_as_lists, windows
+from lumen3d.llm.words import Words, by_size, distinct_by_row, mixed, rows_as_lists, trim, windows
 from lumen3d.operators.graph import component_ids
 
 #: Samples and rows of a band. A pair at the threshold 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -198,6 +198,7 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+    trim()
 
 
 def shared_buckets(classes: DataFrame, broadcast_rows: int, block: int) -> DataFrame:

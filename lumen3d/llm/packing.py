@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen3d.llm.common import shared_table, whole_text
-from lumen3d.llm.words import Words, by_size, mixed
+from lumen3d.llm.words import Words, by_size, caches, mixed
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, round int, part long, bin int, offset long, done boolean"
@@ -23,9 +23,9 @@ NAMES = lambda schema: [x.split()[0] for x in schema.split(", ")]
 #: Ids by word, for one Python worker; with this many, those not used since the last turn are forgotten.
 CACHE_WORDS = 400_000
 #: Slots of a worker's table of ids; it starts anew when half of them are taken.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 
-_tokenizers: dict = {}
+_tokenizers = caches.setdefault("tokenizers", {})
 
 
 def _kinds() -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, capacity:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, 1):
+        for batch in by_size(batches, 1, cache="tokenizers"):
             out = []
             ids, bounds = word_tokenizer(path).ids(batch.column(1))
             for doc, a, b in zip(batch.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
@@ -239,38 +239,41 @@ def packer(turn: int, last: bool, capacity: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, rows_per_part: int = 16_000, fan_in: int = 16) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, rows_per_part: int = 16_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids end with end_id; only longer ones than capacity are cut. Partitions of about rows_per_part
     pieces are packed by best fit decreasing. Each partition's bins are held against the lower bound of its
     pieces: a bound that is met certifies them, up to the one bin that rounding leaves partly empty. The least
     filled bins, that one and two for each bin above the bound, are opened again, and their pieces meet those of
-    fan_in - 1 other partitions in the next round, until one partition is left. Rounds shrink geometrically, and
-    all but the last open a few bins of each partition only.
+    other partitions in the next round, in partitions of rows_per_part again, until one is left. Where bounds leave
+    so many bins open that a round leaves nine tenths of the pieces, the next one settles them in their partitions: no
+    partition ever grows.
 
     Null text counts as empty and gives a piece that holds end_id alone. Identifiers may be null or repeat; each
     row has pieces of its own. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    return packed_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, rows_per_part, fan_in).select(
+    return packed_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, rows_per_part).select(
         F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", ((F.col("round").cast("long") * (1 << 32) + F.col("part")) * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset"
     )
 
 
-def packed_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int, rows_per_part: int, fan_in: int) -> DataFrame:
+def packed_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int, rows_per_part: int) -> DataFrame:
     rest = shared_table(tokenised(docs, id_col, text_col, tokenizer_path, capacity, end_id), "packing-pieces")
-    parts = max(1, -(-rest.count() // rows_per_part))
+    n = rest.count()
+    parts = max(1, -(-n // rows_per_part))
     rest = rest.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(parts)))
-    finished = []
-    for turn in range(64):
-        last = parts == 1
-
+    finished, last, turn = [], parts == 1, 0
+    while True:
         packed = shared_table(rest.groupBy("part").applyInPandas(packer(turn, last, capacity), PACKED), f"packing-round-{turn}")
         finished.append(packed.where("done"))
         if last:
             break
-        parts = -(-parts // fan_in)
-        rest = packed.where("not done").select(*NAMES(PIECES), (F.col("part") % parts).alias("part"))
+        rest = packed.where("not done")
+        before, n = n, rest.count()
+        parts, turn = max(1, -(-n // rows_per_part)), turn + 1
+        last = parts == 1 or 10 * n > 9 * before
+        rest = rest.select(*NAMES(PIECES), F.pmod(F.xxhash64("part"), F.lit(parts)).alias("part"))
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)

@@ -101,14 +101,29 @@ class Words:
         return before - np.searchsorted(newlines, self.bounds[:-1])[self.text]
 
 
+#: What operators keep in a Python worker between tasks, by name.
+caches: dict[str, dict] = {}
+
+
 def trim() -> None:
-    """Gives memory that has been freed back to the system, where the C library can: workers live on between tasks."""
+    """Gives memory that has been freed back to the system, where the libraries can: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
 
 
-def by_size(batches, column: int, most_bytes: int = 250_000):
-    """Record batches cut into slices whose texts hold at most so many bytes, or one text."""
+def forget(but: str | None) -> None:
+    """Empties the caches of other operators than the named one's."""
+    held = [cache for name, cache in caches.items() if name != but and cache]
+    for cache in held:
+        cache.clear()
+    if held:
+        trim()
+
+
+def by_size(batches, column: int, most_bytes: int = 250_000, cache: str | None = None):
+    """Record batches cut into slices whose texts hold at most so many bytes, or one text; cache names what the caller keeps between tasks."""
+    forget(cache)
     for batch in batches:
         if not batch.num_rows:
             continue
