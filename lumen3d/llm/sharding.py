@@ -31,7 +31,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
 
     The key is a digest of the text, so equal texts are neighbours and share a shard. Texts whose copies weigh
     more than a range are placed first, the heaviest to the emptiest shard; one that outweighs a whole shard is
-    subdivided by a hash of the identifier. There are at most 2 * n_shards * RANGES_PER_SHARD of these. Of the other
+    subdivided by a hash of the identifier, and its parts are weighed. There are at most 2 * n_shards * RANGES_PER_SHARD of these. Of the other
     keys a sample is drawn, each with a chance in proportion to its weight; its quantiles are the splitters of
     n_shards * RANGES_PER_SHARD ranges. The exact weight of each range tells which of them hold a shard's
     boundary; only those are overfull for their shards, and are subdivided at the exact key. Sizes then differ by
@@ -55,13 +55,21 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     share, ranges = total / n_shards, n_shards * RANGES_PER_SHARD
     is_heavy = (F.col("weight") > total / ranges) | (F.col("n") > max(rows_per_run, n_rows / ranges))
 
+    pick = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 << 30))
+    hot = [(key, weight, n, max(1, int(np.ceil(weight / share)))) for key, weight, n in groups.where(is_heavy).collect()]
+    # what a hash of the identifier makes of the parts of a text is known only when they are weighed
+    split = [(key, parts) for key, _, _, parts in hot if parts > 1]
+    weighed = {}
+    if split:
+        kept = rows.join(F.broadcast(docs.sparkSession.createDataFrame(split, "key long, parts int")), "key")
+        weighed = {(key, part): weight for key, part, weight in kept.groupBy("key", (pick % F.col("parts")).cast("int").alias("part")).agg(F.sum("size")).collect()}
     load, placed = [0.0] * n_shards, []
-    for key, weight, n in sorted(map(tuple, groups.where(is_heavy).collect()), key=lambda g: (-g[1], g[0])):
-        parts = max(1, int(np.ceil(weight / share)))
+    for key, weight, n, parts in sorted(hot, key=lambda g: (-g[1], g[0])):
         order = sorted(range(n_shards), key=lambda s: (load[s], s))[:parts]
-        for part in range(parts):
-            load[order[part % n_shards]] += weight / parts
-            placed.append((key, part, parts, order[part % n_shards], max(1, -(-n // rows_per_run))))
+        pieces = sorted(((weighed.get((key, part), 0) if parts > 1 else weight), part) for part in range(parts))
+        for turn, (piece, part) in enumerate(reversed(pieces)):
+            load[order[turn % n_shards]] += piece
+            placed.append((key, part, parts, order[turn % n_shards], max(1, -(-n // rows_per_run))))
 
     light = groups.where(~is_heavy).select("key", "weight")
     chance = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
@@ -74,7 +82,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
 
     runs_per_range = max(1, -(-n_rows // (ranges * rows_per_run)))
     heavy = F.broadcast(docs.sparkSession.createDataFrame(placed, "key long, part int, parts int, heavy_shard int, runs int")) if placed else None
-    pick = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 << 30))
     if heavy is not None:
         parts_of = heavy.groupBy("key").agg(F.first("parts").alias("parts"), F.first("runs").alias("runs"), F.map_from_entries(F.collect_list(F.struct("part", "heavy_shard"))).alias("shards"))
         rows = rows.join(F.broadcast(parts_of), "key", "left")

@@ -125,7 +125,7 @@ def tokens_by_library(text, path):
 
 def test_packing(spark):
     path = queries.tokenizer_path()
-    got = packing.pack_documents(frame(spark), path, capacity=128, rows_per_part=200, fan_in=2).collect()
+    got = packing.pack_documents(frame(spark), path, capacity=128, rows_per_part=200).collect()
     pieces = {(r["doc_id"], r["piece"]): r for r in got}
     assert len(pieces) == len(got)
     for i, t in texts():
