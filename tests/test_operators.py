@@ -274,3 +274,17 @@ def test_octree_counts_occupied_leaves(spark):
     while extent > 4 / 3:
         extent, depth = extent / 2, depth + 1
     assert row["depth"] == depth and 0 < row["leaves"] <= 300
+
+
+@pytest.mark.parametrize("radius,k", [(0.4, 3), (2.0, 5), (50.0, 4)])
+def test_nearest_within_never_lists_the_pairs_of_a_dense_part(spark, monkeypatch, radius, k):
+    def pairs(*_):
+        raise AssertionError("all pairs within the radius")
+
+    monkeypatch.setattr(knn, "_met", pairs)
+    xyz = np.concatenate([random_points(300), np.repeat([[5.0, 5, 1]], 700, axis=0), random_points(40, 1) * 30 + 100, [[np.nan, 1, 1], [np.inf, 1, 1]]])
+    got = knn.nearest_within(cloud(spark, xyz), cloud(spark, xyz), radius, k).toPandas().sort_values(["query_id", "rank"])
+    with np.errstate(invalid="ignore"):
+        d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(-1)
+    want = [(q, r + 1, n) for q, row in enumerate(d2) for r, n in enumerate(np.lexsort((np.arange(len(xyz)), row))[:k].tolist()) if row[n] < radius * radius]
+    assert list(got[["query_id", "rank", "nbr_id"]].itertuples(index=False, name=None)) == want
