@@ -26,6 +26,16 @@ def test_tiff_through_spark(spark, tmp_path):
     assert heads.first()["n_bands"] == 2 and heads.first()["gt"] == [0.0, 1.0, 0.0, 4.0, 0.0, -1.0]
 
 
+def test_tiff_leaves_out_the_pixels_that_are_not_there(spark, tmp_path):
+    places = [(r, c) for r in range(4) for c in range(11) if (r, c) not in {(1, 5), (3, 9), (3, 10)}]
+    frame = pd.DataFrame([(r, c, [float(r * c), 0.0, float("nan")]) for r, c in places], columns=["row", "col", "bands"])
+    for dtype in ("float64", "uint8"):
+        tiff.write_raster(spark.createDataFrame(frame.assign(bands=[[float(r * c), 0.0, 1.0] for r, c in places]) if dtype == "uint8" else frame), f"file://{tmp_path}/{dtype}.tif", [0.0, 1.0, 0.0, 4.0, 0.0, -1.0], "P", dtype)
+        got = tiff.read_rasters(spark, f"file://{tmp_path}/{dtype}.tif")[0].orderBy("pixel").toPandas()
+        assert list(zip(got["row"], got["col"], strict=True)) == places and [b[0] for b in got["bands"]] == [r * c for r, c in places]
+    assert tiff.held_of(tiff.encode(np.zeros((2, 3, 1)), [0.0, 1.0, 0.0, 4.0, 0.0, -1.0], held=np.ones((2, 3), bool))) is None
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         tiff.decode(b"nonsense" * 4)
