@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumen3d.functions.tables import shared_table
+from lumen3d.sources.tiff import write_bytes
+
 SCHEMA = "path string, point_id long, x double, y double, z double, intensity double, classification int, num_returns int, gps_time double"
 #: Where classification and time lie in a point record, for the old and the new formats; None without a time.
 OLD_TIME = {0: None, 1: 20, 2: None, 3: 20}
@@ -43,10 +46,11 @@ def decode(content: bytes) -> Iterator[pd.DataFrame]:
         })
 
 
-def encode(points: pd.DataFrame, scale: float = 0.001) -> bytes:
-    """A version 1.2 file of point format 1."""
+def encode(points: pd.DataFrame, scale: float = 0.001, low: list[float] | None = None) -> bytes:
+    """A version 1.2 file of point format 1; its offsets are the least coordinates, or low."""
     n = len(points)
-    low = [float(points[c].min()) if n else 0.0 for c in "xyz"]
+    least = [float(points[c].min()) if n else 0.0 for c in "xyz"]
+    low = least if low is None else low
     high = [float(points[c].max()) if n else 0.0 for c in "xyz"]
     record = np.zeros(n, np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("classification", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2"), ("gps_time", "<f8")]))
     for i, c in enumerate("xyz"):
@@ -57,10 +61,39 @@ def encode(points: pd.DataFrame, scale: float = 0.001) -> bytes:
     head[:4], head[24:26] = b"LASF", bytes([1, 2])
     struct.pack_into("<HIIBHI5I", head, 94, 227, 227, 0, 1, record.itemsize, n, n, 0, 0, 0, 0)
     struct.pack_into("<3d3d", head, 131, scale, scale, scale, *low)
-    struct.pack_into("<6d", head, 179, *[v for pair in zip(high, low, strict=True) for v in pair])
+    struct.pack_into("<6d", head, 179, *[v for pair in zip(high, least, strict=True) for v in pair])
     return bytes(head) + record.tobytes()
 
 
+def write_points(points: DataFrame, path: str, scale: float = 0.001, at_once: int = POINTS_AT_ONCE) -> None:
+    """Points (x, y, z, intensity, classification, num_returns, gps_time) as files of at most so many points in a folder, all with the offsets of the whole cloud.
+
+    Executors encode the files; they pass the driver, which writes them to the store of the path, a partition of about one file at a time.
+    """
+    spark = points.sparkSession
+    low = [float(v) if v is not None else 0.0 for v in points.agg(*[F.min(F.nanvl(c, F.lit(None).cast("double"))) for c in "xyz"]).first()]
+
+    def files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            while len(frame):
+                held.append(frame.iloc[: at_once - n])
+                frame, n = frame.iloc[at_once - n :], n + len(held[-1])
+                if n == at_once:
+                    yield pd.DataFrame({"content": [encode(pd.concat(held), scale, low)]})
+                    held, n = [], 0
+        if held:
+            yield pd.DataFrame({"content": [encode(pd.concat(held), scale, low)]})
+
+    encoded = shared_table(points.select(*"xyz", "intensity", "classification", "num_returns", "gps_time").mapInPandas(files, "content binary"), "las-files")
+    n = -1
+    for n, row in enumerate(encoded.repartition(max(1, encoded.count())).toLocalIterator()):
+        write_bytes(spark, f"{path}/{n:06}.las", bytes(row["content"]))
+    if n < 0:
+        none = pd.DataFrame({c: np.zeros(0) for c in (*"xyz", "intensity", "classification", "num_returns", "gps_time")})
+        write_bytes(spark, f"{path}/000000.las", encode(none, scale, low))
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """Points of all files of the path; point_id counts within a file. A file is one task's to read, so tile large surveys."""
 
