@@ -105,6 +105,18 @@ def test_graph_segments_equal_a_plain_reading(spark, seed):
     assert got == [sorted(set(want)).index(x) for x in want]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_few_links_are_settled_without_their_components(spark, monkeypatch, few):
+    def found(links, find=segmentation.component_ids):
+        assert not few
+        return find(links)
+
+    monkeypatch.setattr(segmentation, "component_ids", found)
+    if not few:
+        monkeypatch.setattr(segmentation, "FEW_LINKS", 0)
+    test_graph_segments_equal_a_plain_reading(spark, 5)
+
+
 def test_chain_of_five_merges_as_computed_by_hand(spark):
     links = spark.createDataFrame([(0, 1, 0.1), (1, 2, 0.1), (2, 3, 0.9), (3, 4, 0.1)], "a long, b long, w double")
     got = segmentation.graph_segments(spark.range(5).withColumnRenamed("id", "node"), links, 0.5, 1).orderBy("node").toPandas()["label"].tolist()
