@@ -1,9 +1,11 @@
 """Registered queries cover all rows of their tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumen3d.operators import grid, knn, merging, segments
+from lumen3d.operators import grid, knn, merging, segmentation, segments
+from lumen3d.plans import registry
 from lumen3d.plans.fixtures import GRID, event_points
 from lumen3d.plans.registry import QUERIES
 
@@ -46,3 +48,41 @@ def test_neighbour_counts_are_those_of_the_reference(spark, sf_dir, monkeypatch,
     with pytest.raises(Asked) as found:
         QUERIES[name](spark, sf_dir)
     assert found.value.args == (count,)
+
+
+def copied(spark, xyz):
+    return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "point_id long, x double, y double, z double")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 12])
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_fusion_of_one_place_is_that_of_its_points(n, k):
+    for goal in range(1, n + 2):
+        reach = segmentation.Reach(np.zeros((n, 3)), [list(range(min(k, n)))] * n, 1.0)
+        want = segmentation.refined(reach, segmentation.fused(reach, goal))
+        assert segmentation.fused_in_place(n, k, goal).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("k, goal, z_scale", [(1, 3, 1.0), (4, 5, 1.0), (7, 12, 10.0), (30, 4, 10.0)])
+def test_fusion_by_places_is_that_of_all_points(spark, k, goal, z_scale):
+    draw = np.random.default_rng(5)
+    grid_of = np.argwhere(np.ones((4, 4, 2)))  # many places as far as each other
+    far = draw.uniform(0, 50, (40, 3))
+    for xyz in (np.concatenate([grid_of, far, grid_of[:9], grid_of[3:20]]), np.concatenate([far, far, far, grid_of, grid_of, grid_of, grid_of, grid_of])):
+        points = copied(spark, np.concatenate([draw.permutation(xyz), [[np.nan, 0, 0], [np.nan, 0, 0]]]))
+        want = segmentation.fusion_supervoxels(points, knn.k_nearest(points, points, k), goal, z_scale)
+        assert {tuple(r) for r in segmentation.nearest_fusion(points, k, goal, z_scale).collect()} == {tuple(r) for r in want.collect()}
+
+
+@pytest.mark.parametrize("name, goal", [("c11_fused_supervoxels", 6)])
+def test_copies_of_points_have_no_neighbours_as_rows(spark, sf_dir, monkeypatch, name, goal):
+    def asked(*_, **__):
+        raise Asked
+
+    points = copied(spark, [(i // 60, 0, i // 60 % 7) for i in range(600)])
+    monkeypatch.setattr(registry, "event_points", lambda *_: points)
+    monkeypatch.setattr(knn, "k_nearest", asked)
+    got = QUERIES[name](spark, sf_dir).toPandas().sort_values("point_id")
+    # each place has a tenth of the goal: as many of its points remain as that, and the last one to take others in has them
+    sizes = got.groupby("label").size().tolist()
+    assert got["label"].tolist() == sorted(got["label"]) and sizes == [60 - goal + 1, *[1] * (goal - 1)] * 10
