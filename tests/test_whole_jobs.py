@@ -74,7 +74,7 @@ def test_fusion_by_places_is_that_of_all_points(spark, k, goal, z_scale):
         assert {tuple(r) for r in segmentation.nearest_fusion(points, k, goal, z_scale).collect()} == {tuple(r) for r in want.collect()}
 
 
-@pytest.mark.parametrize("name, goal", [("c11_fused_supervoxels", 6)])
+@pytest.mark.parametrize("name, goal", [("g6_fusion_supervoxels", 4), ("c11_fused_supervoxels", 6)])
 def test_copies_of_points_have_no_neighbours_as_rows(spark, sf_dir, monkeypatch, name, goal):
     def asked(*_, **__):
         raise Asked
