@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumen3d.operators import grid, knn, merging, segmentation, segments
-from lumen3d.plans import registry
+from lumen3d.plans import pipelines, registry
 from lumen3d.plans.fixtures import GRID, event_points
 from lumen3d.plans.registry import QUERIES
 
@@ -86,3 +86,35 @@ def test_copies_of_points_have_no_neighbours_as_rows(spark, sf_dir, monkeypatch,
     # each place has a tenth of the goal: as many of its points remain as that, and the last one to take others in has them
     sizes = got.groupby("label").size().tolist()
     assert got["label"].tolist() == sorted(got["label"]) and sizes == [60 - goal + 1, *[1] * (goal - 1)] * 10
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_links_in_parts_give_the_segments_of_all(seed):
+    draw = np.random.default_rng(seed)
+    a, b = draw.integers(0, 50, (2, 300))
+    a, b = a[a < b], b[a < b]
+    w = (draw.integers(0, 30, len(a)) / 30).astype(np.float32)
+    w[draw.random(len(w)) < 0.05] = np.nan
+    order = np.lexsort((b, a, w))
+    for step in (1, 7, 100):
+        parts = (order[i : i + step] for i in range(0, len(a), step))
+        got = segmentation.merged_in_order(50, ((a[p], b[p], w[p]) for p in parts), 0.3, 4, step)
+        assert got.tolist() == segmentation.merged(50, a, b, w, 0.3, 4).tolist()
+
+
+@pytest.mark.parametrize("k, radius", [(6, None), (9, 1.5)])
+def test_supervoxels_by_places_are_those_of_all_links(spark, monkeypatch, k, radius):
+    draw = np.random.default_rng(3)
+    grid_of = np.argwhere(np.ones((4, 4, 2)))
+    xyz = np.concatenate([grid_of, grid_of, grid_of[:20], grid_of[5:6].repeat(8, axis=0), draw.uniform(0, 9, (30, 3))])
+    points = copied(spark, draw.permutation(xyz)).withColumns({c: F.pmod(F.xxhash64("point_id", F.lit(c)), F.lit(16)) / 16.0 for c in "rgb"}).withColumn("label", F.lit(0))
+    colours = {r["point_id"]: np.array([r["r"], r["g"], r["b"]]) for r in points.collect()}
+    near = knn.neighbour_links(knn.search(points, points, k, radius)).collect()
+    links = {(r["a"], r["b"]): np.float32(((colours[r["a"]] - colours[r["b"]]) ** 2).sum()) for r in near}
+    assert {(r["a"], r["b"]): np.float32(r["w"]) for r in pipelines.colour_links(points, k, radius).collect()} == links
+    a, b = np.array(list(links)).T
+    roots = segmentation.merged(len(xyz), a, b, np.array(list(links.values())), 0.2, 5)
+    monkeypatch.setattr(segmentation, "LOCAL_LINKS", 10)
+    monkeypatch.setattr(segmentation, "_rounds", None)
+    got = pipelines.graph_supervoxels(points, 0.2, 5, k, radius).select("point_id", "label").collect()
+    assert {tuple(r) for r in got} == set(enumerate(np.unique(roots, return_inverse=True)[1].tolist()))
