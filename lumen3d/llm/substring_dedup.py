@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen3d.llm.common import broadcast_if_small, row_key, shared_table, whole_text
-from lumen3d.llm.words import Words, by_size, mixed, windows
+from lumen3d.llm.words import Words, by_size, windows
 
 #: Words of a phrase that stands for the passages around it.
 PHRASE = 16
@@ -64,7 +64,7 @@ def anchors(rows: DataFrame, width: int) -> DataFrame:
 
 
 def dealt(texts: DataFrame) -> DataFrame:
-    """Rows (cls, copies, own, own_shard, shards, body) as rows of shards: the phrases that a text owns (kind 0), as letters, and the text (kind 1)."""
+    """Rows (cls, copies, own, own_shard, shards, body) as rows of shards: the phrases that a text owns (kind 0), as letters, with their hashes in place of copies, and the text (kind 1)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 5):
@@ -73,8 +73,8 @@ def dealt(texts: DataFrame) -> DataFrame:
                 if own:
                     phrases = windows(words, PHRASE)
                     order = np.argsort(phrases, kind="stable")
-                    for p in order[np.searchsorted(phrases[order], np.array(own, np.int64).view(np.uint64))].tolist():
-                        out.append((own_shard, 0, cls, 0, letters(words[p : p + PHRASE])))
+                    at = order[np.searchsorted(phrases[order], np.array(own, np.int64).view(np.uint64))]
+                    out += [(own_shard, 0, cls, phrase, letters(words[p : p + PHRASE])) for p, phrase in zip(at.tolist(), own, strict=True)]
                 out += [(shard, 1, cls, copies, body) for shard in shards]
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "kind", "cls", "copies", "body"])
@@ -90,17 +90,22 @@ def automaton_of(phrases: list[str]) -> ahocorasick.Automaton:
     return automaton
 
 
-def anchored_windows(words: np.ndarray, automaton: ahocorasick.Automaton, width: int) -> np.ndarray:
-    """Starts of the windows whose least phrase the automaton holds."""
-    hit = np.zeros(len(words) + 1, bool)
+def anchored_windows(words: np.ndarray, automaton: ahocorasick.Automaton, known: np.ndarray, width: int) -> np.ndarray:
+    """Starts of the windows whose least phrase the automaton holds; known are the hashes of its phrases, sorted.
+
+    Phrases of different words may have the same letters. Hashes tell them apart, so that a window is one shard's alone
+    and is counted once.
+    """
+    hit, phrases = np.zeros(len(words) + 1, bool), windows(words, PHRASE)
     if automaton.kind == ahocorasick.AHOCORASICK:
-        hit[np.fromiter((end for end, _ in automaton.iter(letters(words))), np.int64) - (PHRASE - 1)] = True
-    return np.flatnonzero(hit[least_phrases(windows(words, PHRASE), width)])
+        at = np.fromiter((end for end, _ in automaton.iter(letters(words))), np.int64) - (PHRASE - 1)
+        hit[at] = known[np.minimum(np.searchsorted(known, phrases[at]), len(known) - 1)] == phrases[at]
+    return np.flatnonzero(hit[least_phrases(phrases, width)])
 
 
 def located(rows: DataFrame, width: int, tasks: int) -> DataFrame:
     """(cls, sure, start, high, low, n): of each text, the ranges of words that windows seen twice in the same task cover, and the windows
-    of which it has the first in the task, with 128-bit hashes and the number that the task has seen.
+    of which it has the first in the task, with 128-bit hashes (64 bits of both values of their words) and the number that the task has seen.
 
     Rows come sorted by shard, salt and kind: a shard's phrases are compiled when its first text comes, and texts
     are streamed through. A task holds one automaton, and the windows of TEXTS_PER_TASK texts or so.
@@ -130,22 +135,24 @@ def located(rows: DataFrame, width: int, tasks: int) -> DataFrame:
         )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, phrases, automaton, held = None, [], None, []
+        at, phrases, hashes, automaton, held = None, [], [], None, []
         for batch in by_size(batches, 5):
-            texts = each_text(batch.column(5))
-            for words, shard, salt, kind, cls, copies, body in zip(texts, *(c.to_pylist() for c in batch.columns), strict=True):
+            texts = each_text(batch.column(5), checks=True)
+            for (words, checks), shard, salt, kind, cls, copies, body in zip(texts, *(c.to_pylist() for c in batch.columns), strict=True):
                 if (shard, salt) != at:
                     if held:
                         yield judged(held)
-                    at, phrases, automaton, held = (shard, salt), [], None, []
+                    at, phrases, hashes, automaton, held = (shard, salt), [], [], None, []
                 if kind == 0:
                     phrases.append(body)
+                    hashes.append(copies)
                     continue
                 if automaton is None:
-                    automaton, phrases = automaton_of(phrases), []
-                own = anchored_windows(words, automaton, width)
+                    automaton, known = automaton_of(phrases), np.sort(np.array(hashes, np.int64).view(np.uint64))
+                    phrases, hashes = [], []
+                own = anchored_windows(words, automaton, known, width)
                 if len(own):
-                    held.append((cls, copies, own, windows(words, width)[own], windows(mixed(words), width)[own]))
+                    held.append((cls, copies, own, windows(words, width)[own], windows(checks, width)[own]))
         if held:
             yield judged(held)
 
