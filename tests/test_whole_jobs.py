@@ -118,3 +118,27 @@ def test_supervoxels_by_places_are_those_of_all_links(spark, monkeypatch, k, rad
     monkeypatch.setattr(segmentation, "_rounds", None)
     got = pipelines.graph_supervoxels(points, 0.2, 5, k, radius).select("point_id", "label").collect()
     assert {tuple(r) for r in got} == set(enumerate(np.unique(roots, return_inverse=True)[1].tolist()))
+
+
+@pytest.mark.parametrize("n", [2, 3, 9])
+def test_complete_graphs_at_once_have_the_segments_of_each(n):
+    draw = np.random.default_rng(n)
+    a, b = np.triu_indices(n, 1)
+    for ratio, least in ((0.3, 3), (0.05, 1), (0.6, 20)):
+        w = draw.integers(0, 20, (60, len(a))) / 20
+        w[draw.random(w.shape) < 0.1] = np.nan
+        got = segmentation.merged_complete(w, n, ratio, least)
+        assert got.tolist() == [segmentation.merged(n, a, b, x, ratio, least).tolist() for x in w]
+
+
+@pytest.mark.parametrize("k, radius", [(4, None), (4, 0.9), (9, 0.5)])
+def test_places_by_themselves_are_settled_without_links_as_rows(spark, monkeypatch, k, radius):
+    draw = np.random.default_rng(1)
+    xyz = np.concatenate([np.argwhere(np.ones((3, 3, 1))).repeat(draw.integers(1, 9, 9), axis=0) * 1.0, [[40.0, 0, 0]] * 12, [[41.0, 0, 0]] * 5, [[np.nan, 0, 0]] * 2])
+    points = copied(spark, draw.permutation(xyz)).withColumns({c: F.pmod(F.xxhash64("point_id", F.lit(c)), F.lit(16)) / 16.0 for c in "rgb"}).withColumn("label", F.lit(0))
+    links = pipelines.colour_links(points, k, radius)
+    want = segmentation.graph_segments(points.select(F.col("point_id").alias("node")), links, 0.2, 3).collect()
+    asked = []
+    monkeypatch.setattr(segmentation, "graph_roots", lambda nodes, links, *rest, f=segmentation.graph_roots: asked.append(nodes.count()) or f(nodes, links, *rest))
+    got = pipelines.graph_supervoxels(points, 0.2, 3, k, radius).select("point_id", "label").collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want} and sum(asked) < len(xyz) - 18
